@@ -3,6 +3,7 @@ driver's tables through :mod:`jobscope.fixtures` (or the tables directly)."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,17 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
+_ANALYSES: dict[tuple[str, str, int], Analysis] = {}
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    mon = fixtures.load(spark, sf_dir)
-    return Analysis(mon, half_period(mon.measurements), scan_chunk(spark))
+    """The period's analysis (shared by all reports of a session, like one
+    analysis run: the time series is built and materialized once)."""
+    key = (os.path.abspath(sf_dir), spark.sparkContext.applicationId, scan_chunk(spark))
+    if key not in _ANALYSES:
+        mon = fixtures.load(spark, sf_dir)
+        _ANALYSES[key] = Analysis(mon, half_period(mon.measurements), scan_chunk(spark))
+    return _ANALYSES[key]
 
 
 def _q(fn: Callable[[Analysis, SparkSession], DataFrame]) -> Query:
