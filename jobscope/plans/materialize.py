@@ -23,3 +23,9 @@ def materialize(df: DataFrame, name: str, sort_by: list[str] | None = None) -> D
     out = df.sortWithinPartitions(*sort_by) if sort_by else df
     out.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def scratch_path(spark, name: str) -> str:
+    """A fresh folder for ``name`` under the cluster's checkpoint folder."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/jobscope/{name}-{uuid.uuid4().hex[:12]}"
