@@ -106,7 +106,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     c = ordered_scan(base, ["jobid", "stepid"], ["recordid"], [
         ("cu", "sum_incl", "du"), ("cs", "sum_incl", "ds"), ("n", "sum_incl", F.lit(1))],
-        scan_chunk(spark))
+        scan_chunk(spark), persist=False)
     return c.select(
         "recordid", "watcherid", "jobid", "stepid",
         F.lit(None).cast(L).alias("dev_in"), F.lit(None).cast(L).alias("dev_out"),

@@ -46,17 +46,18 @@ def gpu_problem_tag(df: DataFrame) -> Column:
 
 
 # ---- E2 / E3 --------------------------------------------------------------
-def latest_gpu_usage(a: Analysis) -> DataFrame:
+def latest_gpu_usage(a: Analysis, ordered: bool = True) -> DataFrame:
     gu = a.gpu_usage.where(F.col("is_new_in_period"))
-    return gu.withColumn("problem_tag", gpu_problem_tag(gu)).orderBy(
-        "user", F.length("problem_tag").desc(), "name", "jobid", "stepid", "target_node", "gpuid_raw")
+    out = gu.withColumn("problem_tag", gpu_problem_tag(gu))
+    return out.orderBy("user", F.length("problem_tag").desc(), "name", "jobid", "stepid", "target_node",
+                       "gpuid_raw") if ordered else out
 
 
 def _rep(agg_jobid="jobid", agg_stepid="stepid") -> Column:
     return F.max(F.struct(F.col(agg_jobid).alias("j"), F.col(agg_stepid).alias("s")))
 
 
-def gpu_usage_history(a: Analysis) -> DataFrame:
+def gpu_usage_history(a: Analysis, ordered: bool = True) -> DataFrame:
     gu = a.gpu_usage
     n = F.col("measurement_cnt")
     w = lambda c: F.try_divide(F.sum(F.col(c) * n), F.sum(n).cast("double"))
@@ -69,24 +70,24 @@ def gpu_usage_history(a: Analysis) -> DataFrame:
     g = g.select("user", F.col("rep.j").alias("jobid"), F.col("rep.s").alias("stepid"), "name", "submit_line",
                  "measurement_cnt", "avg_util", "zero_util_cnt", "low_util_cnt", "longest_continuous_zero_util",
                  "avg_clock", "avg_power_usage")
-    return g.withColumn("problem_tag", gpu_problem_tag(g)).orderBy(
-        "user", F.length("problem_tag").desc(), "name", "submit_line")
+    out = g.withColumn("problem_tag", gpu_problem_tag(g))
+    return out.orderBy("user", F.length("problem_tag").desc(), "name", "submit_line") if ordered else out
 
 
 # ---- E4 / E5 / E6 -----------------------------------------------------------
-def latest_sys_ratio(a: Analysis) -> DataFrame:
-    return a.sys_ratio.where(F.col("is_new_in_period")).orderBy(
-        "user", "name", "jobid", "stepid", "measurement_batch")
+def latest_sys_ratio(a: Analysis, ordered: bool = True) -> DataFrame:
+    out = a.sys_ratio.where(F.col("is_new_in_period"))
+    return out.orderBy("user", "name", "jobid", "stepid", "measurement_batch") if ordered else out
 
 
-def problem_sys_ratio(a: Analysis) -> DataFrame:
+def problem_sys_ratio(a: Analysis, ordered: bool = True) -> DataFrame:
     sr = a.sys_ratio
-    return sr.where(F.col("is_new_in_period") & (F.col("major_ratio_unified_tot") >= F.col("tot_in_batch"))) \
-             .withColumn("problem_tag", F.lit("sys_ratio")) \
-             .orderBy("user", "name", "jobid", "stepid", "measurement_batch")
+    out = sr.where(F.col("is_new_in_period") & (F.col("major_ratio_unified_tot") >= F.col("tot_in_batch"))) \
+            .withColumn("problem_tag", F.lit("sys_ratio"))
+    return out.orderBy("user", "name", "jobid", "stepid", "measurement_batch") if ordered else out
 
 
-def sys_ratio_history(a: Analysis) -> DataFrame:
+def sys_ratio_history(a: Analysis, ordered: bool = True) -> DataFrame:
     sr = a.sys_ratio
     g = sr.groupBy("user", "name", "submit_line").agg(
         _rep().alias("rep"), F.max("is_new_in_period").alias("any_new"),
@@ -98,13 +99,15 @@ def sys_ratio_history(a: Analysis) -> DataFrame:
         "major_ratio_unified_tot",
         F.when(F.col("major_ratio_unified_tot") >= F.col("tot_in_batch"), F.lit("sys_ratio"))
          .otherwise(F.lit("")).alias("problem_tag"))
+    if not ordered:
+        return g
     return g.orderBy("user", F.col("problem_tag").desc(),
                      F.try_divide(F.col("major_ratio_unified_tot"), F.col("tot_in_batch").cast("double")),
                      "name", "submit_line")
 
 
 # ---- E7 ---------------------------------------------------------------------
-def resource_usage_report(a: Analysis, literal_mem_divisor: bool = False) -> DataFrame:
+def resource_usage_report(a: Analysis, literal_mem_divisor: bool = False, ordered: bool = True) -> DataFrame:
     ru = a.resource_usage
     job = ru.groupBy("user", "jobid").agg(
         F.max("peak_res_size").alias("job_peak"), F.max("mem_limit").alias("job_mem"),
@@ -140,10 +143,10 @@ def resource_usage_report(a: Analysis, literal_mem_divisor: bool = False) -> Dat
         F.col("problem"),
         F.when(F.col("agg_peak") < F.col("agg_mem") * 0.75, F.lit("| mem_underusage")).otherwise(F.lit(""))),
         "| ")
-    return x.select(
+    out = x.select(
         "user", "jobid", F.when(is_job, F.col("jobid")).alias("agg_jobid"), "stepid", name.alias("name"),
-        mem_text.alias("mem_usage"), "timespan", "cpu_usage", "ngpu", "gpu_usage", tag.alias("problem_tag"),
-    ).orderBy("user", "jobid", F.col("stepid").asc_nulls_first())
+        mem_text.alias("mem_usage"), "timespan", "cpu_usage", "ngpu", "gpu_usage", tag.alias("problem_tag"))
+    return out.orderBy("user", "jobid", F.col("stepid").asc_nulls_first()) if ordered else out
 
 
 # ---- E8 / E9 ------------------------------------------------------------------
@@ -155,9 +158,9 @@ def split_tags(col: Column) -> Column:
 
 def _tagged_reports(a: Analysis) -> list[tuple[str, str, DataFrame]]:
     return [
-        ("GPU Usage", "latest", latest_gpu_usage(a)),
-        ("System time ratio", "latest_problem", problem_sys_ratio(a)),
-        ("Resource Usage", "latest", resource_usage_report(a)),
+        ("GPU Usage", "latest", latest_gpu_usage(a, ordered=False)),
+        ("System time ratio", "latest_problem", problem_sys_ratio(a, ordered=False)),
+        ("Resource Usage", "latest", resource_usage_report(a, ordered=False)),
     ]
 
 
@@ -173,6 +176,13 @@ def _tags_of(reports: list[tuple[str, str, DataFrame]]) -> DataFrame:
 
 def problem_listing(a: Analysis, spark: SparkSession) -> DataFrame:
     """(user, jobid, stepid, problem) of latest reports; problem = display name."""
+    if getattr(a, "_problem_listing", None) is not None:
+        return a._problem_listing
+    a._problem_listing = a._keep(_problem_listing(a, spark))
+    return a._problem_listing
+
+
+def _problem_listing(a: Analysis, spark: SparkSession) -> DataFrame:
     tags = _tags_of(_tagged_reports(a))
     d = broadcast_if_small(problem_dictionary(spark).select("tag", "problem"))
     return tags.join(d, "tag").select("user", "jobid", "stepid", "problem") \
@@ -185,15 +195,15 @@ def unknown_problems(a: Analysis, spark: SparkSession) -> DataFrame:
     return tags.join(d, "tag", "left_anti").select("user", "jobid", "stepid", "analysis", "report", "tag")
 
 
-def all_reports(a: Analysis) -> list[tuple[str, str, DataFrame]]:
+def all_reports(a: Analysis, ordered: bool = False) -> list[tuple[str, str, DataFrame]]:
     """The report registry in run order (analysis, report, frame)."""
     return [
-        ("Resource Usage", "latest", resource_usage_report(a)),
-        ("GPU Usage", "latest", latest_gpu_usage(a)),
-        ("GPU Usage", "history", gpu_usage_history(a)),
-        ("System time ratio", "latest_problem", problem_sys_ratio(a)),
-        ("System time ratio", "latest", latest_sys_ratio(a)),
-        ("System time ratio", "history", sys_ratio_history(a)),
+        ("Resource Usage", "latest", resource_usage_report(a, ordered=ordered)),
+        ("GPU Usage", "latest", latest_gpu_usage(a, ordered=ordered)),
+        ("GPU Usage", "history", gpu_usage_history(a, ordered=ordered)),
+        ("System time ratio", "latest_problem", problem_sys_ratio(a, ordered=ordered)),
+        ("System time ratio", "latest", latest_sys_ratio(a, ordered=ordered)),
+        ("System time ratio", "history", sys_ratio_history(a, ordered=ordered)),
     ]
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,17 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+_PERSISTED: list[DataFrame] = []
+
+
+def release_cached() -> None:
+    """Unpersist the inputs cached by :func:`ordered_scan`."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 specs: Sequence[tuple[str, str, object]], chunk: int) -> DataFrame:
+                 specs: Sequence[tuple[str, str, object]], chunk: int, persist: bool = True) -> DataFrame:
     """Add one column per spec ``(name, kind, expr)`` to ``df``.
 
     kinds: ``lag``/``lead`` (1 row, NULL at the edges), ``sum_incl``/``sum_excl``
@@ -42,6 +52,10 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     max of earlier rows), ``first`` (value of the first row of the group),
     ``max_all``/``min_all`` (whole group).  ``order`` must be unique inside a
     group and its first column numeric (the bucketed position).
+
+    The rows are read twice (windows, then the bucket summary; Catalyst prunes
+    the window out of the summary branch), so an input that is not a plain
+    scan is persisted (memory and disk, lineage kept) to be computed once.
     """
     for _, kind, _ in specs:
         if kind not in KINDS:
@@ -50,6 +64,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     K, B = "__scan_key", "__scan_bkt"
     d = df.withColumn(K, F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)) \
           .withColumn(B, F.expr(f"`{order[0]}` div {int(chunk)}"))
+    if persist:
+        d = d.persist(StorageLevel.MEMORY_AND_DISK)
+        _PERSISTED.append(d)
     wl = Window.partitionBy(K, B).orderBy(*order)
     unb, unf = Window.unboundedPreceding, Window.unboundedFollowing
     ord_struct = F.struct(*[F.col(o) for o in order])
