@@ -357,3 +357,23 @@ def _f07() -> str:
 
 
 ORACLES_OPS["f07_expressions"] = _f07()
+
+
+def _f06() -> str:
+    from jobscope.operators.olap import NUMERIC_COLUMNS, PROBLEM_NAMES
+    parts = []
+    for c in ["Period", *NUMERIC_COLUMNS, *PROBLEM_NAMES]:
+        parts.append(f"SELECT '{c}' AS column_name, CASE WHEN bool_or(\"{c}\" IS NOT NULL AND "
+                     f"(\"{c}\" <> floor(\"{c}\") OR \"{c}\" > 2147483647)) THEN 'float' ELSE 'integer' END AS type "
+                     f"FROM flat")
+    return with_ctes(" UNION ALL ".join(parts), REPORT_CTES + "," + _flat_sql())
+
+
+ORACLES_OPS["f06_promote_types"] = _f06()
+ORACLES_OPS["e10_with_percentages"] = with_ctes("""
+    SELECT "user", jobid, stepid, tot_in_batch,
+           round(CAST(sys_ratio_1_10 AS DOUBLE) / nullif(CAST(tot_in_batch AS DOUBLE), 0) * 100, 6) AS sys_ratio_1_10_pct,
+           round(CAST(sys_ratio_1_3 AS DOUBLE) / nullif(CAST(tot_in_batch AS DOUBLE), 0) * 100, 6) AS sys_ratio_1_3_pct,
+           round(CAST(sys_ratio_2_3 AS DOUBLE) / nullif(CAST(tot_in_batch AS DOUBLE), 0) * 100, 6) AS sys_ratio_2_3_pct,
+           round(CAST(sys_ratio_gt_1 AS DOUBLE) / nullif(CAST(tot_in_batch AS DOUBLE), 0) * 100, 6) AS sys_ratio_gt_1_pct
+    FROM e04""", REPORT_CTES)

@@ -22,14 +22,13 @@ def test_stream_gate_equals_batch(spark):
 
 def test_rollup_grand_total_and_fill(spark):
     from jobscope.queries_ops import f04
-    flat = f04(spark, SF_SMALL)
+    flat = f04(spark, SF_SMALL).cache()
     r = olap.rollup_report(flat)
     total = r.where(F.col("grouping_id") == 127).first()
     plain = olap.with_expressions(flat).agg(F.avg("AvgGPUUtil").alias("a"), F.avg("NodeCnt").alias("n")).first()
     assert abs((total["AvgGPUUtil"] or 0) - (plain.a or 0)) < 1e-9 and abs((total["NodeCnt"] or 0) - (plain.n or 0)) < 1e-9
-    probs = flat.where(F.col("Source") == "Problems")
-    for p in olap.PROBLEM_NAMES:  # filled values are only 0 / 100 / NULL
-        assert {x[0] for x in probs.select(p).distinct().collect()} <= {0, 100, None}
+    probs = flat.where(F.col("Source") == "Problems").select(*olap.PROBLEM_NAMES).distinct().collect()
+    assert {v for row in probs for v in row} <= {0, 100, None}  # filled values are only 0 / 100 / NULL
     types = olap.promote_types(flat)
     assert types["AvgGPUUtil"] == "float" and types["NodeCnt"] == "integer"
     assert r.where(F.col("grouping_id") >= 63).count() == r.where(F.col("Period").isNotNull()).select("Period").distinct().count() + 1
@@ -49,8 +48,8 @@ def test_plans_stay_in_jvm_and_split_hot_keys(spark):
 
 def test_chunk_size_does_not_change_results(spark):
     mon = fixtures.load(spark, SF_SMALL)
-    big = Analysis(mon, half_period(mon.measurements), 1 << 22, materialize=False)
-    small = Analysis(mon, half_period(mon.measurements), 16, materialize=False)
+    big = Analysis(mon, half_period(mon.measurements), 1 << 22)
+    small = Analysis(mon, half_period(mon.measurements), 16)
     cols = ["recordid", "measurement_batch", "delta_user_time", "delta_res_size_from_midline"]
     assert sorted(big.timeseries.select(*cols).collect()) == sorted(small.timeseries.select(*cols).collect())
     gc = ["batch", "gpuid", "zero_segment_length"]
