@@ -310,23 +310,37 @@ SECTIONS: dict[str, Callable] = {
 
 
 # ---- E20 --------------------------------------------------------------------
-def export_user_documents(a: Analysis, spark: SparkSession) -> DataFrame:
-    """One JSON document per analysed user nesting the seven sections.
-
-    Each section is collected per user (bounded by that user's steps in one
-    period) and the sections are joined on user.  Users without rows get an
-    empty list ("empty" report).
-    """
-    docs = a.active_users
+DOCUMENT_PART_ENTRIES = 5000
+
+
+def export_user_documents(a: Analysis, spark: SparkSession, part_entries: int = DOCUMENT_PART_ENTRIES) -> DataFrame:
+    """Per-user JSON documents of the seven sections, in bounded parts.
+
+    Each (user, section) is numbered with the bucketed scan and cut into parts
+    of at most ``part_entries`` entries, so a heavy user never becomes one
+    unbounded collection in one task; a reader concatenates the parts of a
+    user in (section, part) order.  Users without rows get one empty document."""
+    from jobscope.plans.scan import ordered_scan
+    entries = None
     for name, fn in SECTIONS.items():
         sec = fn(a, spark)
         fields = [c for c in sec.columns if c != "user"]
         if name == "Problems":
-            entry = F.map_concat(F.create_map(F.lit("Job"), F.col("Job"), F.lit("Step"), F.col("Step")),
-                                 F.transform_values(F.col("Problems"), lambda k, v: v.cast("bigint")))
+            entry = F.to_json(F.map_concat(F.create_map(F.lit("Job"), F.col("Job"), F.lit("Step"), F.col("Step")),
+                                           F.transform_values(F.col("Problems"), lambda k, v: v.cast("bigint"))))
         else:
-            entry = F.struct(*[F.col(c) for c in fields])
-        coll = sec.groupBy("user").agg(F.collect_list(entry).alias(name))
-        docs = docs.join(coll, "user", "left")
-    doc = F.struct(*[F.coalesce(F.col(n), F.array()).alias(n) for n in SECTIONS])
-    return docs.select("user", F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+            entry = F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields]), {"ignoreNullFields": "false"})
+        e = sec.select("user", F.lit(name).alias("section"), F.col("Job").cast("bigint").alias("__job"),
+                       entry.alias("__entry"))
+        entries = e if entries is None else entries.unionByName(e)
+    entries = entries.withColumn("__h", F.xxhash64("__entry"))
+    n = ordered_scan(entries, ["user", "section"], ["__job", "__h", "__entry"], [("__n", "sum_incl", F.lit(1))],
+                     a.chunk)
+    n = n.withColumn("part", F.floor((F.col("__n") - 1) / part_entries).cast("bigint"))
+    out = n.groupBy("user", "section", "part").agg(
+        F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.struct("__job", "__h", "__entry")))
+                                          .getField("__entry"), ","), F.lit("]")).alias("entries"))
+    empty = a.active_users.join(out.select("user").distinct(), "user", "left_anti") \
+             .select("user", F.lit(None).cast("string").alias("section"), F.lit(0).cast("bigint").alias("part"),
+                     F.lit("{}").alias("entries"))
+    return out.unionByName(empty)

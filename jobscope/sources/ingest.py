@@ -183,22 +183,21 @@ def quality_gate(measurements: DataFrame, watcher: DataFrame, chunk: int | None
 
 
 # ---- A8: sampling-interval change log -----------------------------------------------------
-def interval_change_log(settings: DataFrame, literal: bool = False) -> DataFrame:
+def interval_change_log(settings: DataFrame, literal: bool = False, chunk: int | None = None) -> DataFrame:
     """settings(start, scrape_interval, seq) in arrival order -> change log.
 
-    Default: log when the interval differs from the latest logged one and the
-    start is not older than the latest logged start.  ``literal=True``: an
-    interval used at any time before is never logged again (reference quirk)."""
-    # the settings stream is a short log of operator changes: one ordered pass
-    w = Window.orderBy("start", "seq")
-    s = settings
+    Default: log when the interval differs from the latest logged one (starts
+    are max(recordid) at the time, so they never go back).  ``literal=True``:
+    an interval used at any time before is never logged again (reference
+    quirk) - the first use of each interval.  The global order is walked with
+    the bucketed scan (no single-partition window), the literal form is an
+    aggregate."""
     if literal:
-        seen = Window.partitionBy("scrape_interval").orderBy("start", "seq")
-        out = s.withColumn("__n", F.row_number().over(seen)).where(F.col("__n") == 1)
-        return out.select("start", "scrape_interval")
-    prev = F.lag("scrape_interval").over(w)
-    return s.withColumn("__prev", prev).where(~F.col("__prev").eqNullSafe(F.col("scrape_interval"))) \
-            .select("start", "scrape_interval")
+        first = settings.groupBy("scrape_interval").agg(F.min(F.struct("start", "seq")).alias("f"))
+        return first.select(F.col("f.start").alias("start"), "scrape_interval")
+    chunk = chunk or scan_chunk(settings.sparkSession)
+    s = ordered_scan(settings, [], ["start", "seq"], [("__prev", "lag", "scrape_interval")], chunk)
+    return s.where(~F.col("__prev").eqNullSafe(F.col("scrape_interval"))).select("start", "scrape_interval")
 
 
 # ---- A9: watcher registry --------------------------------------------------------------------
@@ -221,9 +220,12 @@ def watcher_registry(registrations: DataFrame) -> DataFrame:
         F.min("id").alias("id"), F.min_by("pid", "id").alias("pid"), F.min_by("jobid", "id").alias("jobid"),
         F.min_by("stepid", "id").alias("stepid"), F.min_by("privileged", "id").alias("privileged"),
         F.min_by("source", "id").alias("source"),
-        F.max("lastfetch").alias("lastfetch"),
-        F.try_element_at(F.array_sort(F.collect_set("lastfetch")), F.lit(-2)).alias("prev_lastfetch"))
-    return g
+        F.max("lastfetch").alias("lastfetch"))
+    # the fetch before the latest: a second bounded aggregate, not a collected set
+    prev = null_safe_join(w.select(*keys, F.col("lastfetch").alias("__lf")), g.select(*keys, "lastfetch"), keys,
+                          "inner") \
+        .groupBy(*keys).agg(F.max(F.when(F.col("__lf") < F.col("lastfetch"), F.col("__lf"))).alias("prev_lastfetch"))
+    return null_safe_join(g, prev, keys, "inner")
 
 
 # ---- A10: constraint validation -----------------------------------------------------------------

@@ -41,11 +41,14 @@ GATE_STATE = T.StructType([T.StructField("max_accuracy", T.LongType()),
                            T.StructField("seen", T.ArrayType(T.StringType()))])
 
 
-def _gate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _gate(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None = None
+          ) -> Iterator[pd.DataFrame]:
     """Row-by-row trigger semantics for one (jobid, stepid), over micro-batches."""
     if state.hasTimedOut:
         state.remove()
         return
+    if timeout_ms:
+        state.setTimeoutDuration(timeout_ms)
     if state.exists:
         max_acc, seen = state.get
         seen = set(seen or [])
@@ -62,6 +65,9 @@ def _gate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
             keep.append(False)
             continue
         keep.append(True)
+        if max_acc is not None and acc > max_acc:
+            # rows below the new maximum are refused from now on: their keys can go
+            seen = {k for k in seen if int(k.split("|", 1)[0]) >= acc}
         seen.add(dkey)
         max_acc = acc if max_acc is None else max(max_acc, acc)
     state.update((int(max_acc) if max_acc is not None else None, sorted(seen)))
@@ -70,14 +76,18 @@ def _gate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
         yield out[[f.name for f in MEASUREMENT_SCHEMA.fields]]
 
 
-def quality_gate_stream(stream: DataFrame, watcher: DataFrame, state_timeout: str | None = None) -> DataFrame:
-    """The stateful quality gate over a measurement stream."""
+def quality_gate_stream(stream: DataFrame, watcher: DataFrame, state_timeout_ms: int | None = None) -> DataFrame:
+    """The stateful quality gate over a measurement stream.  With a timeout
+    the state of a (job, step) that stopped reporting is dropped (S6)."""
     w = watcher_registry_columns(watcher).select(F.col("id").alias("watcherid"), "accuracy", "target_node")
     x = stream.join(broadcast_if_small(w), "watcherid").withColumn(
         "__tot", F.col("user_sec") * 1000000 + F.col("user_usec") + F.col("sys_sec") * 1000000 + F.col("sys_usec"))
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if state_timeout else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if state_timeout_ms else GroupStateTimeout.NoTimeout
+
+    def gate(key, pdfs, state):
+        return _gate(key, pdfs, state, state_timeout_ms)
     return x.groupBy("jobid", "stepid").applyInPandasWithState(
-        _gate, MEASUREMENT_SCHEMA, GATE_STATE, "append", timeout)
+        gate, MEASUREMENT_SCHEMA, GATE_STATE, "append", timeout)
 
 
 def read_measurement_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
