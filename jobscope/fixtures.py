@@ -81,9 +81,9 @@ def jobinfo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measured_jobs(spark: SparkSession, sf_dir: str):
-    """Scalar column: number of jobs the samples are spread over."""
+    """Number of jobs the samples are spread over (one scalar aggregate)."""
     o = _read(spark, sf_dir, "orders")
-    return o.select(F.floor(F.count(F.lit(1)) / 250).cast(L)).scalar()
+    return F.lit(int(o.count()) // 250).cast(L)
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ def load(spark: SparkSession, sf_dir: str) -> Monitoring:
         d = derive(spark, sf_dir)
         m = materialize(d.measurements, "measurements", ["recordid"])
         _CURATED[key] = Monitoring(
-            watcher=materialize(d.watcher, "watcher"),
+            watcher=d.watcher,
             jobinfo=materialize(d.jobinfo, "jobinfo"),
             measurements=m,
             gpu_measurements=materialize(gpu_measurements(m), "gpu_measurements", ["batch"]),

@@ -178,7 +178,7 @@ def problem_listing(a: Analysis, spark: SparkSession) -> DataFrame:
     """(user, jobid, stepid, problem) of latest reports; problem = display name."""
     if getattr(a, "_problem_listing", None) is not None:
         return a._problem_listing
-    a._problem_listing = a._keep(_problem_listing(a, spark))
+    a._problem_listing = a._keep(_problem_listing(a, spark), "problem_listing")
     return a._problem_listing
 
 
