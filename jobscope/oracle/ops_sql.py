@@ -187,7 +187,7 @@ ORACLES_OPS: dict[str, str] = {
     "a04_scrape_gpu_measurements": _plain("""
       SELECT event_id % 25 + 1 AS watcherid, event_id * 65536 AS batch, i + 100 AS pid, user_id + 1 AS jobid,
              CASE WHEN event_id % 3 - 1 <> 0 THEN event_id % 3 - 1 END AS stepid, CAST(i AS BIGINT) AS gpuid,
-             event_id % 5 AS age, CAST(floor(value * 10) AS BIGINT) AS power_usage, event_id % 40 + 30 AS temperature,
+             event_id % 5 AS age, CAST(floor(value * 10) AS BIGINT) // 10 AS power_usage, event_id % 40 + 30 AS temperature,
              user_id % 7 * 100 + 900 AS sm_clock, event_id % 101 AS util, '-' AS clock_limit_reason, 'nvml' AS source
       FROM events, LATERAL generate_series(0, 2) t(i) WHERE i < event_id % 3""", "x AS (SELECT 1)"),
     "a05_application_usage": _plain("""

@@ -127,8 +127,11 @@ def scrape_measurements(envelopes: DataFrame, hz: int = 100) -> DataFrame:
         F.when(F.coalesce(F.size("r.gpu"), F.lit(0)) > 0, F.col("recordid")).alias("gpu_measurement_batch"))
 
 
-def scrape_gpu_measurements(envelopes: DataFrame) -> DataFrame:
-    """GPU rows of each sample; batch = the sample's record id; step 0 -> NULL."""
+def scrape_gpu_measurements(envelopes: DataFrame, normalize_nvml_power: bool = True) -> DataFrame:
+    """GPU rows of each sample; batch = the sample's record id; step 0 -> NULL.
+
+    Power is stored as W x 100; NVML reports mW, so NVML rows are divided by 10
+    (``normalize_nvml_power=False`` keeps the raw value, as the reference does)."""
     r = _results(envelopes).where(F.coalesce(F.size("r.gpu"), F.lit(0)) > 0)
     g = r.select("recordid", "r.watcherid", "r.jobid", "r.stepid", F.explode("r.gpu").alias("g"))
     return g.select(
@@ -136,7 +139,10 @@ def scrape_gpu_measurements(envelopes: DataFrame) -> DataFrame:
         F.col("g.pid").cast(L).alias("pid"), F.col("jobid").cast(L).alias("jobid"),
         F.when(F.col("stepid") != 0, F.col("stepid")).cast(L).alias("stepid"),
         F.col("g.gpuid").cast(L).alias("gpuid"), F.col("g.age").cast(L).alias("age"),
-        F.col("g.power_usage").cast(L).alias("power_usage"), F.col("g.temperature").cast(L).alias("temperature"),
+        F.when(F.lit(normalize_nvml_power) & (F.col("g.source") == "nvml"),
+               F.call_function("div", F.col("g.power_usage").cast(L), F.lit(10).cast(L)))
+         .otherwise(F.col("g.power_usage")).cast(L).alias("power_usage"),
+        F.col("g.temperature").cast(L).alias("temperature"),
         F.col("g.sm_clock").cast(L).alias("sm_clock"), F.col("g.util").cast(L).alias("util"),
         F.col("g.clock_limit_reason").alias("clock_limit_reason"), F.col("g.source").alias("source"))
 
