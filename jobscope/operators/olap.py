@@ -203,6 +203,29 @@ def prune_config(schema: T.StructType) -> dict[str, list]:
 
 
 # ---- F8 ---------------------------------------------------------------------------
+NANO = 1_000_000_000  # aggregation unit: 1e-9
+
+
+def _nano(c: Column) -> Column:
+    return F.round(c.cast("double") * NANO).cast("decimal(38,0)")
+
+
+def _div6(num: Column, den: Column) -> Column:
+    """num / den to 6 decimals, rounded half up, from exact integer sums."""
+    q = F.call_function("div", num * 2 * 1_000_000 + den, den * 2)
+    return F.when(den != 0, q.cast("double") / 1_000_000)
+
+
+def exact_avg(c: Column) -> Column:
+    """Average whose value does not depend on summation order: each value is
+    taken in 1e-9 units and summed exactly (DECIMAL), then divided once."""
+    return _div6(F.sum(_nano(c)), F.count(c).cast("decimal(38,0)") * NANO)
+
+
+def exact_weighted_mean(c: Column, w: Column) -> Column:
+    return _div6(F.sum(_nano(c * w)), F.sum(F.when(c.isNotNull(), _nano(w))))
+
+
 def rollup_report(flat: DataFrame, depth: int | None = None) -> DataFrame:
     """Seven-level rollup; each level aggregates the leaf rows.
 
@@ -211,9 +234,9 @@ def rollup_report(flat: DataFrame, depth: int | None = None) -> DataFrame:
     x = with_expressions(flat)
     cfg = prune_config(x.schema)
     levels = cfg["levels"]
-    aggs = [F.avg(_c(c)).alias(c) for c in cfg["avg"]]
+    aggs = [exact_avg(_c(c)).alias(c) for c in cfg["avg"]]
     for c, w in cfg["weighted"]:
-        aggs.append(F.try_divide(F.sum(_c(c) * _c(w)), F.sum(F.when(_c(c).isNotNull(), _c(w)))).alias(c))
+        aggs.append(exact_weighted_mean(_c(c), _c(w)).alias(c))
     for c in cfg["join"]:
         s = F.array_sort(F.collect_set(_c(c)))
         aggs.append(F.when(F.size(s) > 0, F.array_join(s, ", ")).alias(c))

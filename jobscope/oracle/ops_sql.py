@@ -131,8 +131,14 @@ def _expr_sql() -> str:
 
 def _rollup_sql() -> str:
     from jobscope.operators.olap import AVG_COLUMNS, JOIN_COLUMNS, ROLLUP_LEVELS, WEIGHTED_COLUMNS
-    aggs = [f'round(avg("{c}"), 6) AS "{c}"' for c in AVG_COLUMNS]
-    aggs += [f'round(sum("{c}" * "{w}") / nullif(sum("{w}") FILTER (WHERE "{c}" IS NOT NULL), 0), 6) AS "{c}"'
+    def nano(x):
+        return f"CAST(round(CAST({x} AS DOUBLE) * 1000000000) AS HUGEINT)"
+
+    def div6(num, den):
+        return f"CAST((({num}) * 2000000 + ({den})) // nullif(({den}) * 2, 0) AS DOUBLE) / 1000000"
+    aggs = [f'{div6(f"sum({nano(chr(34) + c + chr(34))})", f"count({chr(34)}{c}{chr(34)}) * 1000000000")} AS "{c}"'
+            for c in AVG_COLUMNS]
+    aggs += [f'{div6(f"sum({nano(chr(34) + c + chr(34) + " * " + chr(34) + w + chr(34))})", f"sum({nano(chr(34) + w + chr(34))}) FILTER (WHERE {chr(34)}{c}{chr(34)} IS NOT NULL)")} AS "{c}"'
              for c, w in WEIGHTED_COLUMNS]
     aggs += [f'string_agg(DISTINCT "{c}", \', \' ORDER BY "{c}") AS "{c}"' for c in JOIN_COLUMNS]
     lv = ", ".join(f'"{c}"' for c in ROLLUP_LEVELS)
