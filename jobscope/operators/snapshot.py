@@ -171,7 +171,7 @@ def ranked_nodes(load: DataFrame, partition_of: DataFrame) -> DataFrame:
     """Busy-node ranking inside each partition (descending step count)."""
     x = load.join(partition_of, "node")
     w = Window.partitionBy("partition").orderBy(F.col("cnt").desc(), "node")
-    return x.withColumn("rank", F.rank().over(w))
+    return x.withColumn("rank", F.rank().over(w).cast("bigint"))
 
 
 # ---- C12 -----------------------------------------------------------------------------------------

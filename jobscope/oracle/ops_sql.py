@@ -67,8 +67,8 @@ def _flat_sql() -> str:
     from jobscope.operators.olap import PROBLEM_NAMES
     probs = ", ".join(f'CASE WHEN list_contains(probs, \'{p}\') THEN 100 END AS "{p}"' for p in PROBLEM_NAMES)
     fill = ",\n".join(
-        f'CASE WHEN "Source" = \'Problems\' AND "{p}" IS NULL AND bool_or("{p}" IS NOT NULL) FILTER '
-        f'(WHERE "Source" = \'Problems\') OVER (PARTITION BY "Period", job_level) THEN 0 ELSE "{p}" END AS "{p}"'
+        f'CAST(CASE WHEN "Source" = \'Problems\' AND "{p}" IS NULL AND bool_or("{p}" IS NOT NULL) FILTER '
+        f'(WHERE "Source" = \'Problems\') OVER (PARTITION BY "Period", job_level) THEN 0 ELSE "{p}" END AS BIGINT) AS "{p}"'
         for p in PROBLEM_NAMES)
     return f"""
 names AS (SELECT "user", jobid AS "Job", max(name) AS nm FROM (

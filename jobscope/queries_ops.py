@@ -246,7 +246,7 @@ def f03(spark, sf):
     d = _read(spark, sf, "documents")
     contents, refs = olap.dedupe_sections(d, ["doc_id"], "text")
     n = refs.groupBy("content_id").agg(F.count(F.lit(1)).alias("n_refs"), F.min("doc_id").alias("first_doc"))
-    return n.join(contents.select("content_id", F.length("text").alias("n_chars")), "content_id")
+    return n.join(contents.select("content_id", F.length("text").cast("bigint").alias("n_chars")), "content_id")
 
 
 def f04(spark, sf):
