@@ -49,6 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster (e.g. on the "
+                           "distributed file system); jobscope writes its intermediate tables there")
+    # local mode only (tests, single machine): a private folder is shared by the one JVM
     local = tempfile.mkdtemp(prefix="jobscope-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
