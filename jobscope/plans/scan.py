@@ -63,7 +63,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys, order = list(keys), list(order)
     K, B = "__scan_key", "__scan_bkt"
     d = df.withColumn(K, F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)) \
-          .withColumn(B, F.expr(f"`{order[0]}` div {int(chunk)}"))
+          .withColumn(B, F.coalesce(F.expr(f"`{order[0]}` div {int(chunk)}"), F.lit(-(2 ** 63)).cast("bigint")))
+    # a NULL position gets the lowest bucket (windows order NULLS FIRST): no row is ever dropped by the join
     if persist:
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
         _PERSISTED.append(d)
