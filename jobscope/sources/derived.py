@@ -1,7 +1,7 @@
 """Raw records derived from the driver's tables, for the ingest and snapshot
 operators (their sources in production are the accounting system, scrape
 envelopes and host snapshots).  Every builder reads whole tables, so the work
-grows with them.  The matching DuckDB text lives in jobscope.oracle.extra_sql.
+grows with them.  The matching DuckDB text lives in jobscope.oracle.ops_sql.
 """
 
 from __future__ import annotations
