@@ -383,3 +383,16 @@ ORACLES_OPS["e10_with_percentages"] = with_ctes("""
            round(CAST(sys_ratio_2_3 AS DOUBLE) / nullif(CAST(tot_in_batch AS DOUBLE), 0) * 100, 6) AS sys_ratio_2_3_pct,
            round(CAST(sys_ratio_gt_1 AS DOUBLE) / nullif(CAST(tot_in_batch AS DOUBLE), 0) * 100, 6) AS sys_ratio_gt_1_pct
     FROM e04""", REPORT_CTES)
+
+ORACLES_OPS["a11_analysis_range"] = _plain(
+    "SELECT max(recordid) // 2 AS offset_start, max(recordid) AS offset_end, true AS \"commit\" FROM measurements",
+    FIXTURE_CTES)
+ORACLES_OPS["a12_fetch_range"] = _plain(
+    "SELECT event_id + 1 AS id, event_id * 60 AS fetch_start, CAST(1000000000 AS BIGINT) AS fetch_end FROM events",
+    "x AS (SELECT 1)")
+ORACLES_OPS["a15_backfill_watcher"] = _plain("""
+    SELECT m.recordid, m.jobid, m.stepid,
+           CASE WHEN m.watcherid = 0 THEN (SELECT min(id) FROM watcher WHERE target_node IS NULL AND jobid = 0
+                                                                        AND privileged = 0)
+                ELSE m.watcherid END AS watcherid
+    FROM measurements m""", FIXTURE_CTES)

@@ -76,6 +76,22 @@ def a10(spark, sf):
     return out
 
 
+def a11(spark, sf):
+    mon = fixtures.load(spark, sf)
+    state = mon.measurements.agg(F.call_function("div", F.max("recordid"), F.lit(2).cast("bigint"))
+                                 .alias("analysis_offset"), F.lit(0).cast("bigint").alias("period_started"))
+    return A.analysis_range(mon.measurements, state, F.lit(7 * 86400), 7 * 86400)
+
+
+def a12(spark, sf):
+    return A.fetch_range(D.registrations(spark, sf), F.lit(1_000_000_000).cast("bigint"))
+
+
+def a15(spark, sf):
+    mon = fixtures.load(spark, sf)
+    return A.backfill_watcher(mon.measurements, mon.watcher).select("recordid", "jobid", "stepid", "watcherid")
+
+
 def a13(spark, sf):
     return A.filter_states(D.jobs_raw(spark, sf), "import").select("jobid", "state")
 
@@ -307,7 +323,8 @@ REGISTRY_OPS = {
     "a01_normalize_jobs": _r(a01), "a02_accounting_measurements": _r(a02), "a03_scrape_measurements": _r(a03),
     "a04_scrape_gpu_measurements": _r(a04), "a05_application_usage": _r(a05), "a06_cpu_available": _r(a06),
     "a07_quality_gate": _r(a07), "a08_interval_change_log": _r(a08), "a09_watcher_registry": _r(a09),
-    "a10_validate": _r(a10), "a13_filter_states": _r(a13), "a14_latest_global_record": _r(a14),
+    "a10_validate": _r(a10), "a11_analysis_range": _r(a11), "a12_fetch_range": _r(a12),
+    "a13_filter_states": _r(a13), "a15_backfill_watcher": _r(a15), "a14_latest_global_record": _r(a14),
     "b01_tres_decode": _r(b01), "b02_explode_hostlist": _r(b02), "b03_cpuset_count": _r(b03),
     "b04_clock_reasons": _r(b04), "b05_step_name": _r(b05), "b06_parse_entity": _r(b06),
     "b07_slurm_duration": _r(b07), "b08_split_ticks": _r(b08), "b09_parse_proc_stat": _r(b09),
