@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from jobscope.plans.materialize import materialize
 from jobscope.plans.scan import ordered_scan
-from jobscope.session import scan_chunk
+from jobscope.session import scan_chunk, session_id
 
 L = "bigint"
 
@@ -200,7 +200,7 @@ def load(spark: SparkSession, sf_dir: str) -> Monitoring:
     """Curated monitoring tables, once per session and sf directory: the
     measurements are written as Parquet under ``spark.checkpoint.dir`` and read
     back; the other tables are plans over stored data."""
-    key = (os.path.abspath(sf_dir), spark.sparkContext.applicationId)
+    key = (os.path.abspath(sf_dir), session_id(spark))
     if key not in _CURATED:
         d = derive(spark, sf_dir)
         # only the measurements carry real work (the cumulative counters); the

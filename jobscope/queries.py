@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from jobscope import fixtures
 from jobscope.operators import reports as R
 from jobscope.operators.core import Analysis, half_period
-from jobscope.session import scan_chunk
+from jobscope.session import scan_chunk, session_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +30,7 @@ _ANALYSES: dict[tuple[str, str, int], Analysis] = {}
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     """The period's analysis (shared by all reports of a session, like one
     analysis run: the time series is built and materialized once)."""
-    key = (os.path.abspath(sf_dir), spark.sparkContext.applicationId, scan_chunk(spark))
+    key = (os.path.abspath(sf_dir), session_id(spark), scan_chunk(spark))
     if key not in _ANALYSES:
         mon = fixtures.load(spark, sf_dir)
         _ANALYSES[key] = Analysis(mon, half_period(mon.measurements), scan_chunk(spark))

@@ -30,7 +30,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.ansi.enabled", "true")
     )
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    if _context(spark) is not None:
+        spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -42,24 +43,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     from the session and never replaced.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
-    sc_dir = spark.sparkContext.getCheckpointDir()
+    sc_dir = sc.getCheckpointDir() if sc is not None else None
     if sc_dir:
         return sc_dir
-    master = spark.sparkContext.master or ""
+    master = (sc.master if sc is not None else spark.conf.get("spark.master", "")) or ""
     if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster (e.g. on the "
                            "distributed file system); jobscope writes its intermediate tables there")
     # local mode only (tests, single machine): a private folder is shared by the one JVM
     local = tempfile.mkdtemp(prefix="jobscope-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     return local
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session (None on Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # pragma: no cover - Spark Connect
+        return None
+
+
+def session_id(spark: SparkSession) -> str:
+    """Identifier of the running application, for per-session memoization."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.applicationId
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def scan_chunk(spark: SparkSession) -> int:
     try:
         return int(spark.conf.get(SCAN_CHUNK_CONF, str(DEFAULT_SCAN_CHUNK)))
