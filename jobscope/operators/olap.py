@@ -238,6 +238,7 @@ def rollup_report(flat: DataFrame, depth: int | None = None) -> DataFrame:
     for c, w in cfg["weighted"]:
         aggs.append(exact_weighted_mean(_c(c), _c(w)).alias(c))
     for c in cfg["join"]:
+        # distinct application names per group: bounded by the installed applications
         s = F.array_sort(F.collect_set(_c(c)))
         aggs.append(F.when(F.size(s) > 0, F.array_join(s, ", ")).alias(c))
     out = x.rollup(*[_c(c) for c in levels]).agg(F.grouping_id().alias("grouping_id"), *aggs)

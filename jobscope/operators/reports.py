@@ -260,6 +260,7 @@ def export_apps(a: Analysis) -> DataFrame:
 
 def export_problems(a: Analysis, spark: SparkSession) -> DataFrame:
     pl = problem_listing(a, spark)
+    # at most one entry per dictionary problem per (job, step)
     return pl.groupBy("user", "jobid", "stepid").agg(
         F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.col("problem"), F.lit(1))))).alias("Problems")) \
         .select("user", F.col("jobid").alias("Job"), F.col("stepid").alias("Step"), "Problems")

@@ -170,6 +170,7 @@ def node_partition(partitions: DataFrame) -> DataFrame:
 def ranked_nodes(load: DataFrame, partition_of: DataFrame) -> DataFrame:
     """Busy-node ranking inside each partition (descending step count)."""
     x = load.join(partition_of, "node")
+    # one partition's nodes (bounded by the cluster's node count) per window task
     w = Window.partitionBy("partition").orderBy(F.col("cnt").desc(), "node")
     return x.withColumn("rank", F.rank().over(w).cast("bigint"))
 
