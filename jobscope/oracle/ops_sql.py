@@ -396,3 +396,6 @@ ORACLES_OPS["a15_backfill_watcher"] = _plain("""
                                                                         AND privileged = 0)
                 ELSE m.watcherid END AS watcherid
     FROM measurements m""", FIXTURE_CTES)
+ORACLES_OPS["a16_upgrade_schema"] = _plain("""
+    SELECT recordid, jobid, tot_time, CAST(NULL AS BIGINT) AS gpu_measurement_batch,
+           CAST(NULL AS BIGINT) AS minor_pagefault FROM measurements""", FIXTURE_CTES)

@@ -92,6 +92,13 @@ def a15(spark, sf):
     return A.backfill_watcher(mon.measurements, mon.watcher).select("recordid", "jobid", "stepid", "watcherid")
 
 
+def a16(spark, sf):
+    mon = fixtures.load(spark, sf)
+    v2 = mon.measurements.drop("gpu_measurement_batch", "minor_pagefault")  # the version-2 layout
+    up = A.upgrade_schema(v2, "measurements", 2)
+    return up.select("recordid", "jobid", "tot_time", "gpu_measurement_batch", "minor_pagefault")
+
+
 def a13(spark, sf):
     return A.filter_states(D.jobs_raw(spark, sf), "import").select("jobid", "state")
 
@@ -324,7 +331,7 @@ REGISTRY_OPS = {
     "a04_scrape_gpu_measurements": _r(a04), "a05_application_usage": _r(a05), "a06_cpu_available": _r(a06),
     "a07_quality_gate": _r(a07), "a08_interval_change_log": _r(a08), "a09_watcher_registry": _r(a09),
     "a10_validate": _r(a10), "a11_analysis_range": _r(a11), "a12_fetch_range": _r(a12),
-    "a13_filter_states": _r(a13), "a15_backfill_watcher": _r(a15), "a14_latest_global_record": _r(a14),
+    "a13_filter_states": _r(a13), "a15_backfill_watcher": _r(a15), "a16_upgrade_schema": _r(a16), "a14_latest_global_record": _r(a14),
     "b01_tres_decode": _r(b01), "b02_explode_hostlist": _r(b02), "b03_cpuset_count": _r(b03),
     "b04_clock_reasons": _r(b04), "b05_step_name": _r(b05), "b06_parse_entity": _r(b06),
     "b07_slurm_duration": _r(b07), "b08_split_ticks": _r(b08), "b09_parse_proc_stat": _r(b09),
