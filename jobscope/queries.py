@@ -19,8 +19,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every DOUBLE column (the comparison rounds to 6 places)."""
-    return df.select(*[F.round(F.col(f.name), places).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+    """Round every DOUBLE column to ``places`` decimals as round(x * 10^p) / 10^p
+    (half away from zero on the scaled value), the same arithmetic SQL engines
+    use for round(x, p) on doubles, so results are bit-identical."""
+    m = float(10 ** places)
+    return df.select(*[(F.round(F.col(f.name) * m) / m).alias(f.name) if isinstance(f.dataType, T.DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 
