@@ -60,13 +60,18 @@ def _rep(agg_jobid="jobid", agg_stepid="stepid") -> Column:
 def gpu_usage_history(a: Analysis, ordered: bool = True) -> DataFrame:
     gu = a.gpu_usage
     n = F.col("measurement_cnt")
-    w = lambda c: F.try_divide(F.sum(F.col(c) * n), F.sum(n).cast("double"))
+
+    def w(c: str, scale: float = 1.0) -> Column:
+        # count-weighted mean: avg * n is the (integer) sum of the readings, recovered
+        # exactly with round(), so the result does not depend on summation order
+        tot = F.sum(F.round(F.col(c) * n * scale).cast("bigint"))
+        return F.try_divide(tot.cast("double"), F.sum(n).cast("double")) / scale
     g = gu.groupBy("user", "name", "submit_line").agg(
         _rep().alias("rep"),
         F.sum(n).alias("measurement_cnt"), w("avg_util").alias("avg_util"),
         F.sum("zero_util_cnt").alias("zero_util_cnt"), F.sum("low_util_cnt").alias("low_util_cnt"),
         F.max("longest_continuous_zero_util").alias("longest_continuous_zero_util"),
-        w("avg_clock").alias("avg_clock"), w("avg_power_usage").alias("avg_power_usage"))
+        w("avg_clock").alias("avg_clock"), w("avg_power_usage", 100.0).alias("avg_power_usage"))
     g = g.select("user", F.col("rep.j").alias("jobid"), F.col("rep.s").alias("stepid"), "name", "submit_line",
                  "measurement_cnt", "avg_util", "zero_util_cnt", "low_util_cnt", "longest_continuous_zero_util",
                  "avg_clock", "avg_power_usage")

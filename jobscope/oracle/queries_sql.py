@@ -21,11 +21,12 @@ e03 AS (
   SELECT *, {GPU_TAG} AS problem_tag FROM (
     SELECT "user", max({{'j': jobid, 's': stepid}}).j AS jobid, max({{'j': jobid, 's': stepid}}).s AS stepid,
            name, submit_line, sum(measurement_cnt)::BIGINT AS measurement_cnt,
-           sum(avg_util * measurement_cnt) / sum(measurement_cnt) AS avg_util,
+           CAST(sum(CAST(round(avg_util * measurement_cnt) AS BIGINT)) AS DOUBLE) / sum(measurement_cnt) AS avg_util,
            sum(zero_util_cnt)::BIGINT AS zero_util_cnt, sum(low_util_cnt)::BIGINT AS low_util_cnt,
            max(longest_continuous_zero_util) AS longest_continuous_zero_util,
-           sum(avg_clock * measurement_cnt) / sum(measurement_cnt) AS avg_clock,
-           sum(avg_power_usage * measurement_cnt) / sum(measurement_cnt) AS avg_power_usage
+           CAST(sum(CAST(round(avg_clock * measurement_cnt) AS BIGINT)) AS DOUBLE) / sum(measurement_cnt) AS avg_clock,
+           CAST(sum(CAST(round(avg_power_usage * measurement_cnt * 100.0) AS BIGINT)) AS DOUBLE)
+             / sum(measurement_cnt) / 100.0 AS avg_power_usage
     FROM gpu_usage GROUP BY "user", name, submit_line)),
 e04 AS (SELECT * FROM sys_ratio WHERE is_new_in_period),
 e05 AS (SELECT *, 'sys_ratio' AS problem_tag FROM sys_ratio
