@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import CHUNK_BYTES, id_text, row_chunks
+from jobscope.llm.common import CHUNK_BYTES, id_text, map_batches, row_chunks
 
 NO_MERGE = 1 << 30
 # Symbols up to which a word is merged by scanning the rank array.
@@ -189,7 +189,7 @@ def bpe_encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_
                                        pa.array([codec.decode(x) for x in ids], pa.string())],
                                       names=["doc_id", "ids", "decoded"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(encode, SCHEMA)
+    return map_batches(id_text(docs, id_col, text_col), encode, SCHEMA)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

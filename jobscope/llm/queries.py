@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobscope.llm import bpe
-from jobscope.llm.common import documents
+from jobscope.llm import bpe, gam, toxicity
+from jobscope.llm.common import documents, fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,25 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def _teaching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows outside the held-out fold."""
+    return labels(spark, sf_dir).where(fold(F.col("doc_id"), 4) != 2)
+
+
+@query
+def op5_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = gam.fit_quality(docs, _teaching(spark, sf_dir))
+    return gam.verdicts(gam.quality_scores(docs, model), fold(F.col("doc_id"), 4) == 2, 0.7)
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.bpe_encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit_toxicity(docs, _teaching(spark, sf_dir))
+    return gam.verdicts(toxicity.toxicity_scores(docs, model), fold(F.col("doc_id"), 4) == 2, 0.3)
