@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import bpe, gam, toxicity
+from jobscope.llm import ann, bpe, gam, license_scan, toxicity
 from jobscope.llm.common import documents, fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,13 @@ def op5_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.verdicts(gam.quality_scores(docs, model), fold(F.col("doc_id"), 4) == 2, 0.7)
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"),
+                        F.concat_ws(",", "labels").alias("labels"), "score")
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.bpe_encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
@@ -42,3 +49,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit_toxicity(docs, _teaching(spark, sf_dir))
     return gam.verdicts(toxicity.toxicity_scores(docs, model), fold(F.col("doc_id"), 4) == 2, 0.3)
+
+
+@query
+def op10_srs_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
