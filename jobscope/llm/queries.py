@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import ann, bpe, gam, license_scan, toxicity
+from jobscope.llm import ann, bpe, gam, license_scan, line_rules, toxicity
 from jobscope.llm.common import documents, fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_rules.line_verdicts(line_rules.counted(documents(spark, sf_dir)))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "n_removed_words")
+
+
 def _teaching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows outside the held-out fold."""
     return labels(spark, sf_dir).where(fold(F.col("doc_id"), 4) != 2)
