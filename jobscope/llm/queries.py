@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import ann, bpe, gam, license_scan, line_rules, toxicity
+from jobscope.llm import ann, bpe, gam, license_scan, line_rules, mixing, toxicity
 from jobscope.llm.common import documents, fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,22 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_removed_words")
 
 
+# Target weights of the domains (languages) and the table that labels them.
+DOMAIN_WEIGHTS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def labelled_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return labels(spark, sf_dir).select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rates = mixing.document_rates(docs, labelled_domains(spark, docs, sf_dir), DOMAIN_WEIGHTS)
+    return rates.select("doc_id", "tokens", "domain", "rate",
+                        *[F.get("p", F.lit(j)).alias(f"p_{d}") for j, d in enumerate(sorted(DOMAIN_WEIGHTS))])
+
+
 def _teaching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows outside the held-out fold."""
     return labels(spark, sf_dir).where(fold(F.col("doc_id"), 4) != 2)
