@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import ann, bpe, gam, license_scan, line_rules, mixing, toxicity
+from jobscope.llm import ann, bpe, gam, license_scan, line_rules, mixing, ppm, toxicity
 from jobscope.llm.common import documents, fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 10) == 0
+    scores = ppm.score_texts(documents(spark, sf_dir), training=~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_rules.line_verdicts(line_rules.counted(documents(spark, sf_dir)))
