@@ -35,6 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows up to which a narrow table of ids may be broadcast (some 16 bytes each).
+BROADCAST_IDS = 1_000_000
+
+
+def small_or_shuffled(table: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has been counted to have ``rows`` rows at most."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import ann, bpe, gam, license_scan, line_rules, mixing, ppm, toxicity
+from jobscope.llm import ann, bpe, gam, license_scan, line_rules, mixing, ppm, rtree_join, toxicity
 from jobscope.llm.common import documents, fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         *[F.get("p", F.lit(j)).alias(f"p_{d}") for j, d in enumerate(sorted(DOMAIN_WEIGHTS))])
 
 
+@query
+def op4_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rtree_join.similar_components(documents(spark, sf_dir), percent=85, words=4)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def _teaching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows outside the held-out fold."""
     return labels(spark, sf_dir).where(fold(F.col("doc_id"), 4) != 2)
