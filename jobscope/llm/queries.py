@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import ann, bpe, gam, license_scan, line_rules, mixing, ppm, rtree_join, toxicity
+from jobscope.llm import ann, bpe, bwt_dedup, gam, license_scan, line_rules, mixing, ppm, rtree_join, toxicity
 from jobscope.llm.common import documents, fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.bpe_encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+@query
+def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(documents(spark, sf_dir), length=100).drop("kept")
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
