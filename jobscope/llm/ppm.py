@@ -137,6 +137,7 @@ class Level:
         self.total = np.add.reduceat(counts, first) if len(keys) else counts
         self.distinct = np.diff(np.append(first, len(keys)))
         self.row = np.repeat(np.arange(len(first)), self.distinct)
+        self.left_total, self.left_distinct = self.total, self.distinct
         if parent is not None and len(keys):
             shorter = np.uint64((1 << 8 * order) - 1)
             shared = parent.counts[np.searchsorted(parent.keys, keys & shorter)]

@@ -5,7 +5,7 @@ shouting, repeated abuse, several themes at once) and term lists mined from the
 clean, or nothing.  A generative label model, fitted without the labels by expectation maximisation, estimates how
 each voter votes given the unseen class; pairs of voters that agree beyond what the class explains are correlated, and
 a voter's evidence is shared out among those it is correlated with.  Its posteriors are the targets of a linear
-classifier over words and votes, which scores every text.
+classifier over words, stems and votes, which scores every text.
 
 Labels mine the term lists and set the share of toxic rows, from a bounded sample of at most about ``SAMPLE_ROWS``
 labelled rows and ``SAMPLE_BYTES`` bytes of their texts; the label model and the classifier are fitted on those rows' votes and words.
@@ -37,9 +37,11 @@ SAMPLE_ROWS = 20_000
 # Bound on the text of those rows; beyond it, a hash of the id thins them out.
 SAMPLE_BYTES = 24_000_000
 DEFAULT_SHARE = 0.1
-# Words of the classifier: the most frequent of the sample, that occur in so many of its documents at least.
-VOCABULARY = 20_000
+# Words and stems of the classifier: the most frequent of the sample, that occur in so many of its documents at least.
+VOCABULARY = 30_000
 LEAST_DOCS = 5
+# Characters of a stem (and one more).
+STEM = 4
 MINED_LISTS = 4
 MINED_TERMS = 80
 EM_ROUNDS = 60
@@ -96,7 +98,7 @@ class Voters:
         for w in hits:
             mask |= self.of[w]
         by_list = [1 if mask >> i & 1 else 0 for i in range(len(self.themes))]
-        n_hits = sum(w in hits for w in words)
+        n_hits = sum(w in hits or w[:STEM] + "-" in hits or w[:STEM + 1] + "-" in hits for w in words)
         written = sum(by_list[:len(LEXICONS)])  # the hand-written lists come first
         address = any(m.group(1) in hits for m in _ADDRESS.finditer(text.lower()))
         shouting = any(w.upper() in text for w in hits if len(w) > 2)
@@ -108,6 +110,13 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def terms_of(words: list[str]) -> set[str]:
+    """Distinct words, and the stems that inflected and compound words begin with (marked by a hyphen)."""
+    distinct = set(words)
+    longer = [w for w in distinct if len(w) > STEM]
+    return distinct.union([w[:STEM] + "-" for w in longer], [w[:STEM + 1] + "-" for w in longer])
+
+
 def mine_terms(texts: list[set[str]], toxic: np.ndarray) -> list[frozenset]:
     """Words that toxic rows have far more often than others, dealt out to a few lists by strength in turn."""
     with_word: tuple[Counter, Counter] = (Counter(), Counter())
@@ -178,7 +187,7 @@ class ToxicityModel:
         known = self.words.keys()
         for i, text in enumerate(texts):
             words = words_of(text)
-            distinct = set(words)
+            distinct = terms_of(words)
             out[i] += sum(self.words[w] for w in known & distinct)
             out[i] += self.vote_weights @ self.voters.votes(text, words, distinct)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
@@ -207,7 +216,7 @@ def fit_linear(rows: list[np.ndarray], width: int, target: np.ndarray, rounds: i
 
 def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
     """Voters, label model and classifier from texts with labels (0 or 1)."""
-    distinct = [{sys.intern(w) for w in words_of(t)} for t in texts]
+    distinct = [{sys.intern(w) for w in terms_of(words_of(t))} for t in texts]
     mined = mine_terms(distinct, toxic)
     voters = Voters([(n, frozenset(t.split())) for n, t in LEXICONS.items()] +
                     [(f"mined {i}", t) for i, t in enumerate(mined)])
