@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,7 @@ def differing(n: int, t: Fraction) -> int:
     return int((1 - t) / t * n)
 
 
+@lru_cache(maxsize=1 << 16)
 def level_of(n: int) -> int:
     """0 below LEAST_CUT, else the number of the size class."""
     if n < LEAST_CUT:
@@ -77,19 +79,33 @@ def level_start(level: int) -> int:
     return 1 if level == 0 else int(np.ceil(LEAST_CUT * LEVEL_RATIO ** (level - 1)))
 
 
+@lru_cache(maxsize=1 << 12)
+def cuts_of(level: int, t: Fraction) -> int:
+    """Groups into which sets of a level are cut: with a wide margin more of them hold something than may differ.
+    0: the shingles themselves are the groups."""
+    if level == 0:
+        return 0
+    ends = (level_start(level), level_start(level + 1) - 1)
+    cuts = int(1.3 * (differing(ends[1] + 1, t) + 1)) + 6
+    while any(cuts * (1 - np.exp(-n / cuts)) < 1.15 * (differing(n, t) + 1) + 4 for n in ends):
+        cuts = int(cuts * 1.25) + 1
+        if cuts > 4 * ends[1]:
+            return 0
+    return cuts
+
+
 def bucket_keys(h: np.ndarray, t: Fraction) -> np.ndarray:
     """Bucket names of the sorted set ``h`` of hashes."""
     n = len(h)
     need = differing(n, t) + 1
     own = level_of(n)
-    levels = [own] if n / t < level_start(own + 1) else [own, own + 1]
     out = []
-    for level in levels:
+    for level in range(own, level_of(int(n / t)) + 1):  # its own level and those of larger partners
         tag = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        if level == 0:
+        cuts = cuts_of(level, t)
+        if not cuts:
             out.append(mix(h[:need] + tag))
             continue
-        cuts = int(1.3 * (differing(level_start(level + 1), t) + 1)) + 6
         group = (h >> np.uint64(32)) * np.uint64(cuts) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         contents = np.add.reduceat(h, first)[:need]
