@@ -49,10 +49,12 @@ LEAF = 32
 LEAST_CUT = 16
 LEVEL_RATIO = 1.5
 BLOCK_ROWS = 2048
+# Rows of buckets that one call searches, about.
+CALL_ROWS = 1 << 15
 FIRST_HUBS = 2
 SALTS = 16
 CLASS_SCHEMA = "doc_id long, n long, fp long, keys array<long>"
-SET_SCHEMA = "fp long, n long, counts array<int>, h binary"
+SET_SCHEMA = "fp long, n long, point binary, h binary"
 
 
 # ---------------------------------------------------------------- buckets
@@ -210,46 +212,90 @@ class CountTree:
         return self.order[nodes[fits]]
 
 
+def _leaf_pairs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of neighbours-in-order within the runs of equal ``group`` numbers."""
+    size = np.bincount(group)[group] if len(group) else group
+    place = np.arange(len(group)) - np.searchsorted(group, group)
+    behind = size - 1 - place
+    left = np.repeat(np.arange(len(group)), behind)
+    step = np.arange(len(left)) - np.repeat(np.cumsum(behind) - behind, behind)
+    return left, left + 1 + step
+
+
+def pairs_of_buckets(rows: pd.DataFrame, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes of different components that some bucket (``key, i, j``) brings together and the bound lets
+    through.  A bucket that fits one leaf has no tree above it: its points are compared as they are."""
+    rows = rows.sort_values(["key", "i", "j"], kind="stable")
+    fp, comp, n = (rows[c].to_numpy(np.int64) for c in ("fp", "comp", "n"))
+    points_ = np.frombuffer(b"".join(rows["point"]), "<i4").reshape(-1, GROUPS).astype(np.int64)
+    key, i, j, block = (rows[c].to_numpy(np.int64) for c in ("key", "i", "j", "block"))
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    group = np.cumsum(new) - 1
+    size = np.bincount(group)[group]
+    small = np.flatnonzero((size <= LEAF) & (i == j))
+    left, right = (small[x] for x in _leaf_pairs(group[small]))
+    fits = comp[left] != comp[right]
+    a, b = [np.minimum(fp[left], fp[right])[fits]], [np.maximum(fp[left], fp[right])[fits]]
+    if len(a[0]):
+        _, once = np.unique(np.stack([a[0], b[0]]), axis=1, return_index=True)
+        left, right = left[fits][once], right[fits][once]
+        num, den = t.numerator, t.numerator + t.denominator
+        least, most = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+        bound = (np.minimum(points_[left], points_[right]).sum(axis=1) * den >= num * (n[left] + n[right])) & \
+            (least * t.denominator >= most * t.numerator)
+        a, b = [a[0][once][bound]], [b[0][once][bound]]
+    first = np.flatnonzero(new)
+    for lo, hi in zip(first, np.append(first[1:], len(rows))):
+        if hi - lo <= LEAF and i[lo] == j[lo]:
+            continue
+        own = np.arange(lo, hi)
+        ours, theirs = own[block[own] == i[lo]], own[block[own] == j[lo]]
+        if not len(ours) or not len(theirs):
+            continue
+        tree = CountTree(points_[theirs], n[theirs])
+        for x in ours:
+            at = theirs[tree.search(points_[x], int(n[x]), t)]
+            at = at[comp[at] != comp[x]]
+            if i[lo] == j[lo]:
+                at = at[fp[at] > fp[x]]
+            a.append(np.minimum(fp[at], fp[x]))
+            b.append(np.maximum(fp[at], fp[x]))
+    return np.concatenate(a), np.concatenate(b)
+
+
 def search_pairs(members: DataFrame, t: Fraction) -> DataFrame:
-    """``a, b``: pairs of members (``key, fp, comp, n, counts``) of one bucket, of different components, that the bound
-    lets through.  Buckets above BLOCK_ROWS are cut into blocks, and every pair of blocks is searched by itself."""
+    """``a, b``: pairs of members (``key, fp, comp, n, point``) of one bucket, of different components, that the bound
+    lets through.  Buckets above BLOCK_ROWS are cut into blocks, and every pair of blocks is searched by itself; small
+    buckets are searched many at a time."""
     ship(members.sparkSession)
     size = members.groupBy("key").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    dealt = members.join(size, "key").withColumn("blocks", blocks) \
-        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+    dealt = written(
+        members.join(size, "key").withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        .select("key", "i", "j", "block", "fp", "comp", "n", "point"), "members")
+    calls = -(-dealt.count() // CALL_ROWS) or 1
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-        tree = CountTree(np.array(right["counts"].to_list(), np.int64).reshape(-1, GROUPS), right["n"].to_numpy(np.int64))
-        r_fp, r_comp = right["fp"].to_numpy(), right["comp"].to_numpy()
-        a, b = [], []
-        for fp, comp, n, counts in zip(left["fp"], left["comp"], left["n"], left["counts"]):
-            at = tree.search(np.asarray(counts, np.int64), int(n), t)
-            at = at[r_comp[at] != comp]
-            if i == j:
-                at = at[r_fp[at] > fp]
-            a += [fp] * len(at)
-            b += r_fp[at].tolist()
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        return pd.DataFrame({"a": np.asarray(lo, np.int64), "b": np.asarray(hi, np.int64)})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(search, "a long, b long").distinct()
+        a, b = pairs_of_buckets(rows, t)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(calls)).alias("call")) \
+        .applyInPandas(search, "a long, b long").distinct()
 
 
 def set_rows(texts: DataFrame, words: int) -> DataFrame:
-    """``fp, n, counts, h``: point and whole set (sorted 64-bit hashes) of each text (``fp, text``) with that fingerprint."""
+    """``fp, n, point, h``: point and whole set (sorted 64-bit hashes) of each text (``fp, text``) with that fingerprint."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in text_pieces(batches):
             # an id may have another text in another row
             sets = [(fp, h) for fp, h in zip(piece.column(0).to_pylist(), _sets(data, offsets, words)) if fp == fingerprint(h)]
             yield pa.record_batch(
                 [pa.array([fp for fp, _ in sets], pa.int64()), pa.array([len(h) for _, h in sets], pa.int64()),
-                 pa.array([points(h).astype(np.int32) for _, h in sets], pa.list_(pa.int32())),
-                 pa.array([h.astype("<u8").tobytes() for _, h in sets], pa.binary())], names=["fp", "n", "counts", "h"])
+                 pa.array([points(h).astype("<i4").tobytes() for _, h in sets], pa.binary()),
+                 pa.array([h.astype("<u8").tobytes() for _, h in sets], pa.binary())], names=["fp", "n", "point", "h"])
 
     return map_batches(texts, rows, SET_SCHEMA)
 
@@ -301,7 +347,7 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     placed = buckets.join(first.withColumnRenamed("v", "fp"), "fp", "left") \
         .select("key", "fp", F.coalesce("label", "fp").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1"))
-    members = placed.join(mixed.select("key"), "key", "left_semi").join(sets.select("fp", "n", "counts"), "fp")
+    members = placed.join(mixed.select("key"), "key", "left_semi").join(sets.select("fp", "n", "point"), "fp")
     more = written(verified(written(search_pairs(members, t), "pairs"), sets, t), "links")
     final = components(links.union(more)).withColumnsRenamed({"v": "fp"})
 
