@@ -114,8 +114,8 @@ def sort_out(rows: DataFrame) -> DataFrame:
             # rows that repeat the earliest one (an id twice) stand next to it and are no repeats
             earliest = np.flatnonzero(new_seg)
             own = anchor[earliest]
-            next_same = np.concatenate([own[1:] == own[:-1], [False]])
-            prev_same = np.concatenate([[False], own[1:] == own[:-1]])
+            next_same, prev_same = np.zeros(len(own), bool), np.zeros(len(own), bool)
+            next_same[:-1] = prev_same[1:] = own[1:] == own[:-1]
             if len(earliest) and not new_anchor[earliest[0]]:
                 prev_same[0] = True  # a further content of the anchor that the last batch ended in
             out = earliest[next_same | prev_same]

@@ -78,6 +78,18 @@ def test_hot_passages_split_over_buckets(spark, monkeypatch, bucket_bytes):
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got} == want
 
 
+@pytest.mark.parametrize("rows", [1, 2, 7])
+def test_segments_stream_over_small_batches(spark, rows):
+    texts = [(i, f"{'common words of a passage that several documents share ' * 4}{chr(97 + i % 3) * 90}{i % 5}") for i in range(12)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        got = bwt_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = plain([(i, t.encode()) for i, t in texts], 100)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got} == want
+
+
 def test_edge_cases(edge, empty):
     got = bwt_dedup.remove_repeats(edge).toPandas()
     assert len(got) == edge.count()

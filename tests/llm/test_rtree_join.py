@@ -82,6 +82,17 @@ def test_tree_search_equals_the_bound_on_every_point(size):
         assert set(tree.search(vectors[q], int(sizes[q]), t)) == set(np.flatnonzero(want))
 
 
+@pytest.mark.parametrize("rows", [1, 3])
+def test_buckets_stream_over_small_batches(spark, rows):
+    texts = [(i, " ".join(f"w{k + i % 4 * (k % 23 == 0)}" for k in range(90 + i % 3))) for i in range(15)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        got = rtree_join.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), 75).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {x.doc_id: x.component_id for x in got} == plain_components({i: shingles(t) for i, t in texts}, 75)
+
+
 def test_components_of_a_long_path(spark):
     got = components(spark.createDataFrame([(i, i + 1) for i in range(0, 90)] + [(500, 501), (7, 7)], "a long, b long")).collect()
     assert {r.v: r.label for r in got} == {**{i: 0 for i in range(91)}, 500: 500, 501: 500}
