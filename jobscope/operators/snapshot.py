@@ -20,7 +20,7 @@ HELPER_COMMANDS = ["slurmstepd", "slurm_script", "srun"]
 
 
 # ---- C1 / C2: nearest step root of every process -----------------------------------------
-def nearest_root(procs: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
+def nearest_root(procs: DataFrame, roots: DataFrame) -> DataFrame:
     """(host, ts, pid) -> root pid of the step it runs under (NULL if none).
 
     A root maps to itself; another process follows its parent.  A parent that
@@ -36,13 +36,19 @@ def nearest_root(procs: DataFrame, roots: DataFrame, max_rounds: int = 64) -> Da
     s = s.select(*K, "pid", "__root", F.when(F.col("__root"), F.col("pid"))
                  .when((F.col("ppid") != F.col("pid")) & F.coalesce(F.col("__palive"), F.lit(False)), F.col("ppid"))
                  .alias("ptr")).checkpoint(eager=True)
-    return _double(s, max_rounds)
+    return _double(s)
 
 
-def _double(s: DataFrame, max_rounds: int) -> DataFrame:
-    """ptr := ptr(ptr) until nothing changes (log2 of the tree depth rounds)."""
-    cur = s
-    for _ in range(max_rounds):
+def _double(s: DataFrame) -> DataFrame:
+    """ptr := ptr(ptr) until nothing changes (log2 of the tree depth rounds).
+
+    A path of n processes ends after log2(n) rounds; one that goes on is a cycle
+    of parents (a pid used again within the snapshot), and is an error."""
+    cur, rounds = s, max(s.count(), 1).bit_length() + 2
+    while True:
+        rounds -= 1
+        if rounds < 0:
+            raise ValueError("the parents of some processes form a cycle: their steps cannot be told")
         t = cur.select(*K, F.col("pid").alias("ptr"), F.col("ptr").alias("__next"))
         nxt = cur.join(t, K + ["ptr"], "left") \
                  .select(*K, "pid", "__root", F.col("ptr").alias("__old"), F.col("__next").alias("ptr"))

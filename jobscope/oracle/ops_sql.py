@@ -183,19 +183,21 @@ ORACLES_OPS: dict[str, str] = {
                   ELSE CAST(floor(o_totalprice * 100) AS BIGINT) END
       FROM li JOIN orders ON o_orderkey = l_orderkey""", LI),
     "a03_scrape_measurements": _plain("""
-      SELECT event_id * 65536 AS recordid, event_id % 25 + 1 AS watcherid, user_id + 1 AS jobid, event_id % 3 - 1 AS stepid,
+      SELECT recordid, event_id % 25 + 1 AS watcherid, user_id + 1 AS jobid, event_id % 3 - 1 AS stepid,
              CASE WHEN rc <> 0 THEN rc END AS dev_in, CASE WHEN rc <> 0 THEN CAST(floor(value * 500) AS BIGINT) END AS dev_out,
              ut // 100 AS user_sec, ut % 100 * 10000 AS user_usec, st // 100 AS sys_sec, st % 100 * 10000 AS sys_usec,
              CAST(floor(value * 1000) AS BIGINT) * 4096 AS res_size, event_id % 1000 AS minor_pagefault,
-             CASE WHEN event_id % 3 > 0 THEN event_id * 65536 END AS gpu_measurement_batch
-      FROM (SELECT *, CASE WHEN event_type = 'view' THEN 0 ELSE CAST(floor(value * 1000) AS BIGINT) END AS rc,
+             CASE WHEN event_id % 3 > 0 THEN recordid END AS gpu_measurement_batch
+      FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS recordid,
+                   CASE WHEN event_type = 'view' THEN 0 ELSE CAST(floor(value * 1000) AS BIGINT) END AS rc,
                    CAST(floor(value * 100) AS BIGINT) AS ut, CAST(floor(value * 30) AS BIGINT) AS st FROM events)""", "x AS (SELECT 1)"),
     "a04_scrape_gpu_measurements": _plain("""
-      SELECT event_id % 25 + 1 AS watcherid, event_id * 65536 AS batch, i + 100 AS pid, user_id + 1 AS jobid,
+      SELECT event_id % 25 + 1 AS watcherid, recordid AS batch, i + 100 AS pid, user_id + 1 AS jobid,
              CASE WHEN event_id % 3 - 1 <> 0 THEN event_id % 3 - 1 END AS stepid, CAST(i AS BIGINT) AS gpuid,
              event_id % 5 AS age, CAST(floor(value * 10) AS BIGINT) // 10 AS power_usage, event_id % 40 + 30 AS temperature,
              user_id % 7 * 100 + 900 AS sm_clock, event_id % 101 AS util, '-' AS clock_limit_reason, 'nvml' AS source
-      FROM events, LATERAL generate_series(0, 2) t(i) WHERE i < event_id % 3""", "x AS (SELECT 1)"),
+      FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS recordid FROM events), LATERAL generate_series(0, 2) t(i)
+      WHERE i < event_id % 3""", "x AS (SELECT 1)"),
     "a05_application_usage": _plain("""
       SELECT DISTINCT user_id + 1 AS jobid, event_id % 3 - 1 AS stepid, event_type AS application FROM events""",
                                     "x AS (SELECT 1)"),
@@ -210,30 +212,76 @@ ORACLES_OPS: dict[str, str] = {
           FROM events WHERE event_type = 'signup'))
       WHERE p IS DISTINCT FROM scrape_interval""", "x AS (SELECT 1)"),
     "a09_watcher_registry": _plain("""
-      SELECT jobstep_str, target_node, accuracy, min(id) AS id, arg_min(pid, id) AS pid, arg_min(source, id) AS source,
-             max(lastfetch) AS lastfetch, list_sort(list(DISTINCT lastfetch))[-2] AS prev_lastfetch
-      FROM (SELECT *, CASE source WHEN 'parent' THEN 3 WHEN 'privileged' THEN 2 WHEN 'sacct' THEN 1 ELSE 0 END AS accuracy,
-                   coalesce(CAST(jobid AS VARCHAR), '') || '.' || coalesce(CAST(stepid AS VARCHAR), '') AS jobstep_str
-            FROM (SELECT *, CASE WHEN jobid > 0 THEN 'parent' WHEN privileged = 1 THEN 'privileged'
-                                 WHEN target_node IS NULL THEN 'sacct' ELSE 'raw_readings' END AS source
+      SELECT jobstep_str, target_node, accuracy, id, pid, source, lastfetch, prev_lastfetch
+      FROM (SELECT jobstep_str, target_node, accuracy, lastfetch,
+                   first_value(id) OVER w AS id, first_value(pid) OVER w AS pid, first_value(source) OVER w AS source,
+                   lag(lastfetch, 1, lastfetch - 2419200) OVER (PARTITION BY jobstep_str, target_node, accuracy ORDER BY id) AS prev_lastfetch,
+                   row_number() OVER (PARTITION BY jobstep_str, target_node, accuracy ORDER BY id DESC) AS back
+            FROM (SELECT *, CAST(jobid AS VARCHAR) || '.' || CASE WHEN stepid IS NULL THEN 'n' ELSE CAST(stepid AS VARCHAR) END AS jobstep_str,
+                         CASE WHEN jobid > 0 THEN 3 WHEN privileged = 1 THEN 2 WHEN target_node IS NULL THEN 1 ELSE 0 END AS accuracy,
+                         CASE WHEN jobid > 0 THEN 'parent' WHEN privileged = 1 THEN 'privileged'
+                              WHEN target_node IS NULL THEN 'sacct' ELSE 'raw_readings' END AS source
                   FROM (SELECT event_id + 1 AS id, user_id + 1000 AS pid,
                                CASE WHEN event_type = 'view' THEN NULL ELSE 'node-' || CAST(user_id % 5 AS VARCHAR) END AS target_node,
                                CASE WHEN event_type = 'click' THEN user_id ELSE 0 END AS jobid,
                                CASE WHEN event_type = 'click' THEN event_id % 2 END AS stepid,
                                CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS privileged, event_id * 60 AS lastfetch
-                        FROM events)))
-      GROUP BY jobstep_str, target_node, accuracy""", "x AS (SELECT 1)"),
+                        FROM events))
+            WINDOW w AS (PARTITION BY jobstep_str, target_node, accuracy ORDER BY id))
+      WHERE back = 1""", "x AS (SELECT 1)"),
     "a10_validate": _plain("""
-      SELECT * FROM (
-        SELECT 'jobinfo' AS table_name, 'user_xor_step' AS rule, count(*) FILTER (WHERE NOT coalesce(("user" IS NULL) <> (stepid IS NULL), false)) AS n_bad FROM jobinfo
-        UNION ALL SELECT 'jobinfo', 'ngpu_xor_step', count(*) FILTER (WHERE NOT coalesce((ngpu IS NULL) <> (stepid IS NULL), false)) FROM jobinfo
-        UNION ALL SELECT 'jobinfo', 'ended_after_start', count(*) FILTER (WHERE NOT coalesce(ended_at = 0 OR ended_at >= started_at, false)) FROM jobinfo
-        UNION ALL SELECT 'jobinfo', 'jobid_not_null', count(*) FILTER (WHERE jobid IS NULL) FROM jobinfo
-        UNION ALL SELECT 'measurements', 'tot_time_positive', count(*) FILTER (WHERE NOT coalesce(user_sec * 1000000 + user_usec + sys_sec * 1000000 + sys_usec > 0, false)) FROM measurements
-        UNION ALL SELECT 'measurements', 'jobid_not_null', count(*) FILTER (WHERE jobid IS NULL) FROM measurements
-        UNION ALL SELECT 'gpu_measurements', 'sm_clock_positive', count(*) FILTER (WHERE NOT coalesce(sm_clock > 0, false)) FROM gpu_measurements
-        UNION ALL SELECT 'gpu_measurements', 'util_not_negative', count(*) FILTER (WHERE NOT coalesce(util >= 0, false)) FROM gpu_measurements)
-      WHERE n_bad > 0""", FIXTURE_CTES),
+      SELECT table_name, rule, count(*) AS n_bad FROM (
+        SELECT 'watcher' AS table_name, unnest([
+                 CASE WHEN pid IS NULL THEN 'pid_not_null' END, CASE WHEN jobid IS NULL THEN 'jobid_not_null' END,
+                 CASE WHEN privileged IS NULL THEN 'privileged_not_null' END, CASE WHEN lastfetch IS NULL THEN 'lastfetch_not_null' END,
+                 CASE WHEN prev_lastfetch IS NULL THEN 'prev_lastfetch_not_null' END, CASE WHEN pid < 0 THEN 'pid_not_negative' END,
+                 CASE WHEN jobid < 0 THEN 'jobid_not_negative' END, CASE WHEN privileged NOT IN (0, 1) THEN 'privileged_flag' END,
+                 CASE WHEN prev_lastfetch > lastfetch THEN 'fetches_in_order' END]) AS rule
+        FROM (SELECT CASE WHEN event_id % 41 <> 0 THEN event_id % 37 - 1 END AS pid, CASE WHEN event_id % 43 <> 0 THEN user_id % 11 - 1 END AS jobid,
+                     CASE WHEN event_id % 47 <> 0 THEN event_id % 3 END AS privileged, CASE WHEN event_id % 53 <> 0 THEN event_id * 60 END AS lastfetch,
+                     CASE WHEN event_id % 59 <> 0 THEN event_id * 60 + event_id % 5 - 3 END AS prev_lastfetch FROM events)
+        UNION ALL
+        SELECT 'jobinfo', unnest([
+                 CASE WHEN jobid IS NULL THEN 'jobid_not_null' END, CASE WHEN jobid <= 0 THEN 'jobid_positive' END,
+                 CASE WHEN event_id % 4 < 2 AND event_id % 2 = 0 OR event_id % 4 >= 2 AND event_id % 2 = 1 THEN 'user_xor_step' END,
+                 CASE WHEN event_id % 6 < 3 AND event_id % 2 = 0 OR event_id % 6 >= 3 AND event_id % 2 = 1 THEN 'ngpu_xor_step' END,
+                 CASE WHEN started_at <= 0 THEN 'started_positive' END,
+                 CASE WHEN ended_at <> 0 AND ended_at < started_at THEN 'ended_after_start' END,
+                 CASE WHEN nnodes <= 0 THEN 'nnodes_positive' END, CASE WHEN ncpu <= 0 THEN 'ncpu_positive' END])
+        FROM (SELECT event_id, CASE WHEN event_id % 41 <> 0 THEN event_id % 29 END AS jobid, CASE WHEN event_id % 43 <> 0 THEN event_id % 23 END AS started_at,
+                     CASE WHEN event_id % 47 <> 0 THEN event_id % 31 END AS ended_at, CASE WHEN event_id % 53 <> 0 THEN event_id % 3 END AS nnodes,
+                     CASE WHEN event_id % 59 <> 0 THEN event_id % 5 - 1 END AS ncpu FROM events)
+        UNION ALL
+        SELECT 'measurements', unnest([
+                 CASE WHEN event_id % 41 = 0 THEN 'watcherid_not_null' END, CASE WHEN event_id % 43 = 0 THEN 'jobid_not_null' END,
+                 CASE WHEN event_id % 47 = 0 THEN 'user_sec_not_null' END, CASE WHEN event_id % 53 = 0 THEN 'user_usec_not_null' END,
+                 CASE WHEN event_id % 59 = 0 THEN 'sys_sec_not_null' END, CASE WHEN event_id % 61 = 0 THEN 'sys_usec_not_null' END,
+                 CASE WHEN event_id % 47 <> 0 AND event_id % 53 <> 0 AND event_id % 59 <> 0 AND event_id % 61 <> 0
+                           AND event_id % 2 = 0 AND event_id % 3 = 0 THEN 'tot_time_positive' END])
+        FROM events
+        UNION ALL
+        SELECT 'gpu_measurements', unnest([
+                 CASE WHEN event_id % 41 = 0 THEN 'watcherid_not_null' END, CASE WHEN event_id % 43 = 0 THEN 'batch_not_null' END,
+                 CASE WHEN event_id % 47 = 0 THEN 'jobid_not_null' END, CASE WHEN event_id % 53 = 0 THEN 'pid_not_null' END,
+                 CASE WHEN event_id % 59 = 0 THEN 'gpuid_not_null' END, CASE WHEN event_id % 61 = 0 THEN 'source_not_null' END,
+                 CASE WHEN event_id % 43 <> 0 AND event_id % 13 = 0 THEN 'batch_positive' END,
+                 CASE WHEN event_id % 5 <> 0 AND event_id % 3 = 0 THEN 'sm_clock_positive' END,
+                 CASE WHEN event_id % 7 <> 0 AND event_id % 4 = 0 THEN 'util_not_negative' END])
+        FROM events
+        UNION ALL
+        SELECT 'application_usage', unnest([CASE WHEN event_id % 41 = 0 THEN 'jobid_not_null' END, CASE WHEN event_id % 43 = 0 THEN 'stepid_not_null' END,
+                 CASE WHEN event_id % 47 = 0 THEN 'application_not_null' END]) FROM events
+        UNION ALL
+        SELECT 'analyze_user_info', unnest([CASE WHEN event_id % 41 = 0 THEN 'user_not_null' END, CASE WHEN event_id % 43 = 0 THEN 'skip_not_null' END,
+                 CASE WHEN event_id % 43 <> 0 AND event_id % 3 = 2 THEN 'skip_flag' END]) FROM events
+        UNION ALL
+        SELECT 'scrape_freq_log', unnest([CASE WHEN event_id % 41 = 0 THEN 'start_not_null' END, CASE WHEN event_id % 43 = 0 THEN 'scrape_interval_not_null' END,
+                 CASE WHEN event_id % 41 <> 0 AND event_id % 17 = 0 THEN 'start_positive' END,
+                 CASE WHEN event_id % 43 <> 0 AND event_id % 19 = 0 THEN 'interval_positive' END]) FROM events
+        UNION ALL
+        SELECT 'job_step_cpu_available', unnest([CASE WHEN event_id % 41 = 0 THEN 'watcherid_not_null' END, CASE WHEN event_id % 43 = 0 THEN 'jobid_not_null' END,
+                 CASE WHEN event_id % 47 = 0 THEN 'stepid_not_null' END, CASE WHEN event_id % 53 = 0 THEN 'ncpu_not_null' END]) FROM events)
+      WHERE rule IS NOT NULL GROUP BY table_name, rule""", "x AS (SELECT 1)"),
     "a13_filter_states": _plain("""
       SELECT o_orderkey AS jobid, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'running' END AS state
       FROM orders WHERE o_orderstatus IN ('F', 'O')""", "x AS (SELECT 1)"),
@@ -388,14 +436,30 @@ ORACLES_OPS["a11_analysis_range"] = _plain(
     "SELECT max(recordid) // 2 AS offset_start, max(recordid) AS offset_end, true AS \"commit\" FROM measurements",
     FIXTURE_CTES)
 ORACLES_OPS["a12_fetch_range"] = _plain(
-    "SELECT event_id + 1 AS id, event_id * 60 AS fetch_start, CAST(1000000000 AS BIGINT) AS fetch_end FROM events",
+    """SELECT event_id + 1 AS id, CASE WHEN (event_id + 1) % 3 = 0 THEN 1000000000 - 2419200 ELSE event_id * 60 END AS fetch_start,
+              CAST(1000000000 AS BIGINT) AS fetch_end FROM events""",
     "x AS (SELECT 1)")
 ORACLES_OPS["a15_backfill_watcher"] = _plain("""
-    SELECT m.recordid, m.jobid, m.stepid,
-           CASE WHEN m.watcherid = 0 THEN (SELECT min(id) FROM watcher WHERE target_node IS NULL AND jobid = 0
-                                                                        AND privileged = 0)
-                ELSE m.watcherid END AS watcherid
-    FROM measurements m""", FIXTURE_CTES)
+    SELECT recordid, jobid, stepid,
+           CASE WHEN recordid % 7 = 0 THEN (SELECT id FROM watcher WHERE target_node IS NULL AND jobid = 0 AND privileged = 0
+                                            ORDER BY id LIMIT 1)
+                ELSE watcherid END AS watcherid
+    FROM measurements""", FIXTURE_CTES)
+ORACLES_OPS["a14_replace_global"] = _plain("""
+    SELECT recordid, watcherid, jobid, stepid, user_sec, user_usec, sys_sec, tot_time, res_size FROM measurements m
+    WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.recordid = m.recordid)
+    UNION ALL
+    SELECT coalesce(recordid, (SELECT max(recordid) FROM measurements) + row_number() OVER (PARTITION BY recordid IS NULL ORDER BY jobid, stepid)),
+           8, jobid, stepid, user_sec, 1, sys_sec, user_sec * 1000000 + sys_sec * 1000000 + 3, res_size
+    FROM placed""", FIXTURE_CTES.strip().rstrip(",") + """,
+steps AS (SELECT jobid, stepid, max(user_sec) AS user_sec, max(sys_sec) AS sys_sec, max(res_size) AS res_size
+          FROM measurements WHERE jobid % 2 = 0 GROUP BY jobid, stepid),
+accounted AS (SELECT m.jobid, m.stepid, max(m.recordid) AS recordid FROM measurements m JOIN watcher w ON w.id = m.watcherid
+              WHERE w.target_node IS NULL AND w.jobid = 0 AND w.privileged = 0 GROUP BY m.jobid, m.stepid),
+placed AS (SELECT s.*, a.recordid FROM steps s LEFT JOIN accounted a ON a.jobid = s.jobid AND a.stepid IS NOT DISTINCT FROM s.stepid
+           UNION ALL SELECT jobid + 1000000, stepid, user_sec, sys_sec, res_size, NULL FROM steps)""")
 ORACLES_OPS["a16_upgrade_schema"] = _plain("""
-    SELECT recordid, jobid, tot_time, CAST(NULL AS BIGINT) AS gpu_measurement_batch,
-           CAST(NULL AS BIGINT) AS minor_pagefault FROM measurements""", FIXTURE_CTES)
+    SELECT v AS from_version, jobid, stepid, mem, CASE WHEN v >= 3 THEN ncpu END AS ncpu, CASE WHEN v >= 3 THEN timelimit END AS timelimit,
+           CASE WHEN v >= 4 THEN started_at END AS started_at, CASE WHEN v >= 4 THEN ended_at END AS ended_at,
+           CASE WHEN v >= 5 THEN nnodes END AS nnodes, CAST(NULL AS BIGINT) AS peak_res_size
+    FROM jobinfo, (VALUES (2), (3), (4), (5)) AS versions(v)""", FIXTURE_CTES)

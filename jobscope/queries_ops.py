@@ -65,10 +65,8 @@ def a09(spark, sf):
 
 
 def a10(spark, sf):
-    mon = fixtures.load(spark, sf)
     out = None
-    for table, df in (("jobinfo", mon.jobinfo), ("measurements", mon.measurements),
-                      ("gpu_measurements", mon.gpu_measurements)):
+    for table, df in D.constraint_rows(spark, sf).items():
         _, bad = A.validate(table, df)
         c = bad.select(F.explode("failed_rules").alias("rule")).groupBy("rule").agg(
             F.count(F.lit(1)).alias("n_bad")).select(F.lit(table).alias("table_name"), "rule", "n_bad")
@@ -84,19 +82,33 @@ def a11(spark, sf):
 
 
 def a12(spark, sf):
-    return A.fetch_range(D.registrations(spark, sf), F.lit(1_000_000_000).cast("bigint"))
+    """Every third registration is a first fetch."""
+    r = D.registrations(spark, sf).withColumn("lastfetch", F.when(F.col("id") % 3 != 0, F.col("lastfetch")))
+    return A.fetch_range(r, F.lit(1_000_000_000).cast("bigint"))
+
+
+def a14_replace(spark, sf):
+    mon = fixtures.load(spark, sf)
+    out = A.replace_global(mon.measurements, D.new_global_rows(mon.measurements), mon.watcher)
+    return out.select("recordid", "watcherid", "jobid", "stepid", "user_sec", "user_usec", "sys_sec", "tot_time", "res_size")
 
 
 def a15(spark, sf):
+    """A seventh of the rows come from before watchers were told apart."""
     mon = fixtures.load(spark, sf)
-    return A.backfill_watcher(mon.measurements, mon.watcher).select("recordid", "jobid", "stepid", "watcherid")
+    old = mon.measurements.withColumn("watcherid", F.when(F.col("recordid") % 7 == 0, F.lit(0).cast("bigint")).otherwise(F.col("watcherid")))
+    return A.backfill_watcher(old, mon.watcher).select("recordid", "jobid", "stepid", "watcherid")
 
 
 def a16(spark, sf):
     mon = fixtures.load(spark, sf)
-    v2 = mon.measurements.drop("gpu_measurement_batch", "minor_pagefault")  # the version-2 layout
-    up = A.upgrade_schema(v2, "measurements", 2)
-    return up.select("recordid", "jobid", "tot_time", "gpu_measurement_batch", "minor_pagefault")
+    out = None
+    for version in (2, 3, 4, 5):
+        up = A.upgrade_schema(D.old_jobinfo(mon.jobinfo, version), "jobinfo", version)
+        up = up.select(F.lit(version).alias("from_version"), "jobid", "stepid", "mem", "ncpu", "timelimit", "started_at",
+                       "ended_at", "nnodes", "peak_res_size")
+        out = up if out is None else out.unionByName(up)
+    return out
 
 
 def a13(spark, sf):
@@ -313,7 +325,8 @@ def s02(spark, sf):
 
 def s03(spark, sf):
     mon = fixtures.load(spark, sf)
-    src = mon.measurements.inputFiles()[0].rsplit("/", 1)[0]
+    src = scratch_path(spark, "stream-src")
+    mon.measurements.write.parquet(src)
     st = S.read_measurement_stream(spark, src)
     return S.run_to_table(S.dedupe_stream(st, ["watcherid", "jobid", "stepid"]), "dedupe").select(
         "watcherid", "jobid", "stepid")
@@ -332,6 +345,7 @@ REGISTRY_OPS = {
     "a07_quality_gate": _r(a07), "a08_interval_change_log": _r(a08), "a09_watcher_registry": _r(a09),
     "a10_validate": _r(a10), "a11_analysis_range": _r(a11), "a12_fetch_range": _r(a12),
     "a13_filter_states": _r(a13), "a15_backfill_watcher": _r(a15), "a16_upgrade_schema": _r(a16), "a14_latest_global_record": _r(a14),
+    "a14_replace_global": _r(a14_replace),
     "b01_tres_decode": _r(b01), "b02_explode_hostlist": _r(b02), "b03_cpuset_count": _r(b03),
     "b04_clock_reasons": _r(b04), "b05_step_name": _r(b05), "b06_parse_entity": _r(b06),
     "b07_slurm_duration": _r(b07), "b08_split_ticks": _r(b08), "b09_parse_proc_stat": _r(b09),

@@ -190,3 +190,55 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "click", eid % 2).cast(L).alias("stepid"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).alias("privileged"),
         (eid * 60).cast(L).alias("lastfetch"))
+
+
+def constraint_rows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Raw rows of every constrained table, one per event, in which each rule is broken by some rows and each
+    nullable column is NULL in others."""
+    e = _read(spark, sf_dir, "events")
+
+    def table(**columns: str) -> DataFrame:
+        return e.select(*[F.expr(x).alias(c) for c, x in columns.items()])
+
+    def gap(n: int, x: str) -> str:
+        return f"CASE WHEN event_id % {n} = 0 THEN NULL ELSE {x} END"
+
+    return {
+        "watcher": table(pid=gap(41, "event_id % 37 - 1"), jobid=gap(43, "user_id % 11 - 1"), privileged=gap(47, "event_id % 3"),
+                         lastfetch=gap(53, "event_id * 60"), prev_lastfetch=gap(59, "event_id * 60 + event_id % 5 - 3")),
+        "jobinfo": table(jobid=gap(41, "event_id % 29"), stepid="CASE WHEN event_id % 2 = 0 THEN event_id % 7 END",
+                         user="CASE WHEN event_id % 4 < 2 THEN 'u' END", ngpu="CASE WHEN event_id % 6 < 3 THEN 1 END",
+                         started_at=gap(43, "event_id % 23"), ended_at=gap(47, "event_id % 31"), nnodes=gap(53, "event_id % 3"),
+                         ncpu=gap(59, "event_id % 5 - 1")),
+        "measurements": table(watcherid=gap(41, "1"), jobid=gap(43, "user_id"), user_sec=gap(47, "event_id % 2"), user_usec=gap(53, "0"),
+                              sys_sec=gap(59, "0"), sys_usec=gap(61, "event_id % 3")),
+        "gpu_measurements": table(watcherid=gap(41, "1"), batch=gap(43, "event_id % 13"), jobid=gap(47, "user_id"), pid=gap(53, "1"),
+                                  gpuid=gap(59, "event_id % 4"), source=gap(61, "'nvml'"), sm_clock=gap(5, "event_id % 3"),
+                                  util=gap(7, "event_id % 4 - 1")),
+        "application_usage": table(jobid=gap(41, "user_id"), stepid=gap(43, "0"), application=gap(47, "event_type")),
+        "analyze_user_info": table(user=gap(41, "event_type"), skip=gap(43, "event_id % 3")),
+        "scrape_freq_log": table(start=gap(41, "event_id % 17"), scrape_interval=gap(43, "event_id % 19 * 10")),
+        "job_step_cpu_available": table(watcherid=gap(41, "1"), jobid=gap(43, "user_id"), stepid=gap(47, "0"), ncpu=gap(53, "4")),
+    }
+
+
+def old_jobinfo(current: DataFrame, version: int) -> DataFrame:
+    """The rows of ``current`` as layout ``version`` (2 to 5) held them."""
+    held = ["jobid", "stepid", "user", "name", "submit_line", "mem", "ngpu"]
+    held += ["ncpu", "timelimit", "ended_at"] if version >= 3 else []
+    held += ["started_at"] if version >= 4 else []
+    node = F.concat(F.lit("node-"), (F.col("jobid") % 5).cast("string")).alias("node")
+    return current.select(*held, F.col("nnodes") if version >= 5 else node)
+
+
+def new_global_rows(measurements: DataFrame) -> DataFrame:
+    """One accounting row for each second job and step, and for as many jobs that were never measured."""
+    step = measurements.where(F.col("jobid") % 2 == 0).groupBy("jobid", "stepid").agg(
+        F.max("user_sec").alias("user_sec"), F.max("sys_sec").alias("sys_sec"), F.max("res_size").alias("res_size"))
+    rows = step.unionByName(step.withColumn("jobid", F.col("jobid") + 1000000))
+    null = F.lit(None).cast(L)
+    return rows.select(
+        F.lit(8).cast(L).alias("watcherid"), "jobid", "stepid", null.alias("dev_in"), null.alias("dev_out"), "user_sec",
+        F.lit(1).cast(L).alias("user_usec"), "sys_sec", F.lit(2).cast(L).alias("sys_usec"),
+        (F.col("user_sec") * 1000000 + 1 + F.col("sys_sec") * 1000000 + 2).alias("tot_time"), "res_size",
+        null.alias("minor_pagefault"), null.alias("gpu_measurement_batch"))

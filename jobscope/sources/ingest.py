@@ -4,7 +4,7 @@ operations (latest-wins, insert-ignore, the measurement quality gate, ...)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.functions.decode import split_ticks, tres_get, tres_map
@@ -30,7 +30,8 @@ def normalize_jobs(jobs_raw: DataFrame, tres: dict[str, int] = TRES_IDS,
     Job row: mem = mem TRES * 1024^2, ncpu/ngpu/nnodes from TRES; a job with
     nnodes = 0 is skipped with its steps.  Step rows only when the job tracks
     steps: user, limits and counts NULL, peak_res_size = usage-max mem TRES.
-    ``ingest_seq`` orders snapshots (then the step's position)."""
+    ``ingest_seq`` (a struct) orders snapshots, then the job row and its steps by
+    position, however many steps a job has."""
     seq = seq if seq is not None else F.lit(0).cast(L)
     j = jobs_raw.withColumn("__alloc", tres_map(F.col("tres_alloc_str"))).withColumn("__seq", seq.cast(L))
     j = j.where(tres_get(F.col("__alloc"), tres["node"]) != 0)
@@ -44,7 +45,7 @@ def normalize_jobs(jobs_raw: DataFrame, tres: dict[str, int] = TRES_IDS,
         tres_get(F.col("__alloc"), tres["node"]).alias("nnodes"),
         tres_get(F.col("__alloc"), tres["cpu"]).alias("ncpu"),
         tres_get(F.col("__alloc"), tres["gpu"]).alias("ngpu"),
-        (F.col("__seq") * 1000000).alias("ingest_seq"))
+        F.struct(F.col("__seq").alias("seq"), F.lit(-1).cast(L).alias("pos")).alias("ingest_seq"))
     st = j.where(F.col("track_steps")).select("jobid", "__seq", F.posexplode("steps").alias("__pos", "s"))
     steps = st.select(
         F.col("jobid").cast(L).alias("jobid"), F.col("s.step_id").cast(L).alias("stepid"),
@@ -54,7 +55,7 @@ def normalize_jobs(jobs_raw: DataFrame, tres: dict[str, int] = TRES_IDS,
         F.lit(None).cast(L).alias("mem"),
         tres_get(tres_map(F.col("s.tres_usage_in_max")), tres["mem"]).alias("peak_res_size"),
         F.lit(None).cast(L).alias("nnodes"), F.lit(None).cast(L).alias("ncpu"), F.lit(None).cast(L).alias("ngpu"),
-        (F.col("__seq") * 1000000 + F.col("__pos") + 1).alias("ingest_seq"))
+        F.struct(F.col("__seq").alias("seq"), F.col("__pos").cast(L).alias("pos")).alias("ingest_seq"))
     return jobs.unionByName(steps)
 
 
@@ -102,18 +103,22 @@ def accounting_measurements(jobs_raw: DataFrame, watcher_id: Column,
 
 
 # ---- A3 - A6: scrape envelopes ----------------------------------------------------------
-RECORD_SHIFT = 1 << 16  # record id = envelope seq * RECORD_SHIFT + position
-
-
-def _results(envelopes: DataFrame) -> DataFrame:
-    return envelopes.select("worker", "seq", F.posexplode("scrape_results").alias("__pos", "r")) \
-                    .withColumn("recordid", (F.col("seq") * RECORD_SHIFT + F.col("__pos")).cast(L))
-
-
-def scrape_measurements(envelopes: DataFrame, hz: int = 100) -> DataFrame:
+def _results(envelopes: DataFrame, first_recordid: int = 1, chunk: int | None = None) -> DataFrame:
+    """One row per scrape result with its record id: ids are dense and follow
+    (envelope seq, position), from a running sum of the envelope sizes."""
+    chunk = chunk or scan_chunk(envelopes.sparkSession)
+    sized = envelopes.groupBy("seq").agg(F.sum(F.coalesce(F.size("scrape_results"), F.lit(0))).cast(L).alias("__n"))
+    before = ordered_scan(sized, [], ["seq"], [("__before", "sum_excl", "__n")], chunk) \
+        .select("seq", F.coalesce("__before", F.lit(0)).alias("__before"))
+    r = envelopes.select("worker", "seq", F.posexplode("scrape_results").alias("__pos", "r"))
+    return r.join(before, "seq").withColumn("recordid", (F.col("__before") + F.col("__pos") + first_recordid).cast(L))
+
+
+def scrape_measurements(envelopes: DataFrame, hz: int = 100, first_recordid: int = 1,
+                        chunk: int | None = None) -> DataFrame:
     """Flatten scrape results; ticks -> (sec, µs); rchar = 0 -> dev_in/out NULL;
     no GPU rows -> batch NULL, else batch = the sample's record id."""
-    r = _results(envelopes)
+    r = _results(envelopes, first_recordid, chunk)
     us, uu = split_ticks(F.col("r.utime"), hz)
     ss, su = split_ticks(F.col("r.stime"), hz)
     has_io = F.col("r.rchar") != 0
@@ -127,12 +132,13 @@ def scrape_measurements(envelopes: DataFrame, hz: int = 100) -> DataFrame:
         F.when(F.coalesce(F.size("r.gpu"), F.lit(0)) > 0, F.col("recordid")).alias("gpu_measurement_batch"))
 
 
-def scrape_gpu_measurements(envelopes: DataFrame, normalize_nvml_power: bool = True) -> DataFrame:
+def scrape_gpu_measurements(envelopes: DataFrame, normalize_nvml_power: bool = True, first_recordid: int = 1,
+                            chunk: int | None = None) -> DataFrame:
     """GPU rows of each sample; batch = the sample's record id; step 0 -> NULL.
 
     Power is stored as W x 100; NVML reports mW, so NVML rows are divided by 10
     (``normalize_nvml_power=False`` keeps the raw value, as the reference does)."""
-    r = _results(envelopes).where(F.coalesce(F.size("r.gpu"), F.lit(0)) > 0)
+    r = _results(envelopes, first_recordid, chunk).where(F.coalesce(F.size("r.gpu"), F.lit(0)) > 0)
     g = r.select("recordid", "r.watcherid", "r.jobid", "r.stepid", F.explode("r.gpu").alias("g"))
     return g.select(
         F.col("watcherid").cast(L).alias("watcherid"), F.col("recordid").alias("batch"),
@@ -214,48 +220,72 @@ def watcher_registry_columns(watcher: DataFrame) -> DataFrame:
     acc = F.create_map(*[x for k, v in SOURCE_ACCURACY.items() for x in (F.lit(k), F.lit(v))])
     w = watcher.withColumn("source", src).withColumn("accuracy", F.element_at(acc, F.col("source")))
     return w.withColumn("jobstep_str", F.concat(F.coalesce(F.col("jobid").cast("string"), F.lit("")), F.lit("."),
-                                                F.coalesce(F.col("stepid").cast("string"), F.lit(""))))
+                                                F.coalesce(F.col("stepid").cast("string"), F.lit("n"))))
+
 
+def watcher_registry(registrations: DataFrame, first_lookback: int = 28 * 86400) -> DataFrame:
+    """Upsert on (jobstep_str, node, accuracy), in order of arrival (``id``).
 
-def watcher_registry(registrations: DataFrame) -> DataFrame:
-    """Upsert on (jobstep_str, node, accuracy): the first id wins; the latest
-    lastfetch is kept with the one before it."""
+    The first id stays.  Every renewal moves ``lastfetch`` to ``prev_lastfetch``
+    and sets its own; a first registration starts ``first_lookback`` seconds
+    before its fetch."""
     w = watcher_registry_columns(registrations)
     keys = ["jobstep_str", "target_node", "accuracy"]
     g = w.groupBy(*keys).agg(
         F.min("id").alias("id"), F.min_by("pid", "id").alias("pid"), F.min_by("jobid", "id").alias("jobid"),
         F.min_by("stepid", "id").alias("stepid"), F.min_by("privileged", "id").alias("privileged"),
-        F.min_by("source", "id").alias("source"),
-        F.max("lastfetch").alias("lastfetch"))
-    # the fetch before the latest: a second bounded aggregate, not a collected set
-    prev = null_safe_join(w.select(*keys, F.col("lastfetch").alias("__lf")), g.select(*keys, "lastfetch"), keys,
-                          "inner") \
-        .groupBy(*keys).agg(F.max(F.when(F.col("__lf") < F.col("lastfetch"), F.col("__lf"))).alias("prev_lastfetch"))
-    return null_safe_join(g, prev, keys, "inner")
+        F.min_by("source", "id").alias("source"), F.max("id").alias("__last"),
+        F.max_by("lastfetch", "id").alias("lastfetch"))
+    # the registration before the last one: a second bounded aggregate, not a collected list
+    prev = null_safe_join(w.select(*keys, F.col("id").alias("__id"), F.col("lastfetch").alias("__lf")),
+                          g.select(*keys, "__last"), keys, "inner") \
+        .where(F.col("__id") < F.col("__last")).groupBy(*keys).agg(F.max_by("__lf", "__id").alias("__before"))
+    out = null_safe_join(g, prev, keys, "left")
+    return out.withColumn("prev_lastfetch", F.coalesce("__before", F.col("lastfetch") - first_lookback)) \
+        .drop("__before", "__last")
 
 
 # ---- A10: constraint validation -----------------------------------------------------------------
-RULES: dict[str, list[tuple[str, str]]] = {
-    "jobinfo": [("user_xor_step", "(user IS NULL) <> (stepid IS NULL)"),
-                ("ngpu_xor_step", "(ngpu IS NULL) <> (stepid IS NULL)"),
-                ("ended_after_start", "ended_at = 0 OR ended_at >= started_at"),
-                ("jobid_not_null", "jobid IS NOT NULL")],
-    "measurements": [("tot_time_positive", "user_sec * 1000000 + user_usec + sys_sec * 1000000 + sys_usec > 0"),
-                     ("jobid_not_null", "jobid IS NOT NULL")],
-    "gpu_measurements": [("sm_clock_positive", "sm_clock > 0"), ("util_not_negative", "util >= 0")],
-    "application_usage": [("application_not_null", "application IS NOT NULL")],
-    "watcher": [("privileged_flag", "privileged IN (0, 1)")],
-    "analyze_user_info": [("skip_flag", "skip IN (0, 1)")],
-    "scrape_freq_log": [("interval_positive", "scrape_interval > 0"), ("start_positive", "start > 0")],
+def _required(*columns: str) -> list[tuple[str, str, tuple[str, ...]]]:
+    return [(f"{c}_not_null", f"`{c}` IS NOT NULL", (c,)) for c in columns]
+
+
+# fixed values: (rule, condition, columns it reads) of each stored table
+RULES: dict[str, list[tuple[str, str, tuple[str, ...]]]] = {
+    "watcher": [*_required("pid", "jobid", "privileged", "lastfetch", "prev_lastfetch"),
+                ("pid_not_negative", "pid >= 0", ("pid",)), ("jobid_not_negative", "jobid >= 0", ("jobid",)),
+                ("privileged_flag", "privileged IN (0, 1)", ("privileged",)),
+                ("fetches_in_order", "prev_lastfetch <= lastfetch", ("prev_lastfetch", "lastfetch"))],
+    "jobinfo": [*_required("jobid"), ("jobid_positive", "jobid > 0", ("jobid",)),
+                ("user_xor_step", "(user IS NULL) <> (stepid IS NULL)", ("user", "stepid")),
+                ("ngpu_xor_step", "(ngpu IS NULL) <> (stepid IS NULL)", ("ngpu", "stepid")),
+                ("started_positive", "started_at > 0", ("started_at",)),
+                ("ended_after_start", "ended_at = 0 OR ended_at >= started_at", ("ended_at", "started_at")),
+                ("nnodes_positive", "nnodes > 0", ("nnodes",)), ("ncpu_positive", "ncpu > 0", ("ncpu",))],
+    "measurements": [*_required("watcherid", "jobid", "user_sec", "user_usec", "sys_sec", "sys_usec"),
+                     ("tot_time_positive", "user_sec * 1000000 + user_usec + sys_sec * 1000000 + sys_usec > 0",
+                      ("user_sec", "user_usec", "sys_sec", "sys_usec"))],
+    "gpu_measurements": [*_required("watcherid", "batch", "jobid", "pid", "gpuid", "source"),
+                         ("batch_positive", "batch > 0", ("batch",)), ("sm_clock_positive", "sm_clock > 0", ("sm_clock",)),
+                         ("util_not_negative", "util >= 0", ("util",))],
+    "application_usage": _required("jobid", "stepid", "application"),
+    "analyze_user_info": [*_required("user", "skip"), ("skip_flag", "skip IN (0, 1)", ("skip",))],
+    "scrape_freq_log": [*_required("start", "scrape_interval"), ("start_positive", "start > 0", ("start",)),
+                        ("interval_positive", "scrape_interval > 0", ("scrape_interval",))],
+    "job_step_cpu_available": _required("watcherid", "jobid", "stepid", "ncpu"),
 }
 
 
 def validate(table: str, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad rows with the list of failed rules)."""
-    rules = RULES.get(table, [])
+    """(good rows, bad rows with the list of failed rules).
+
+    A condition that is NULL holds, as a stored CHECK does; what must not be
+    NULL is a rule of its own.  Rules on columns that ``df`` lacks are not
+    applied."""
+    rules = [(name, expr) for name, expr, columns in RULES.get(table, []) if set(columns) <= set(df.columns)]
     if not rules:
         return df, df.limit(0).withColumn("failed_rules", F.array().cast("array<string>"))
-    checks = [F.when(~F.coalesce(F.expr(expr), F.lit(False)), F.lit(name)) for name, expr in rules]
+    checks = [F.when(~F.coalesce(F.expr(expr), F.lit(True)), F.lit(name)) for name, expr in rules]
     x = df.withColumn("failed_rules", F.array_compact(F.array(*checks)))
     return x.where(F.size("failed_rules") == 0).drop("failed_rules"), x.where(F.size("failed_rules") > 0)
 
@@ -299,14 +329,25 @@ def latest_global_record(measurements: DataFrame, watcher: DataFrame) -> DataFra
 
 
 def replace_global(measurements: DataFrame, new_rows: DataFrame, watcher: DataFrame) -> DataFrame:
-    """Back-fill: a new global row replaces the stale global row of its (job, step)."""
-    latest = latest_global_record(measurements, watcher).where(F.col("latest_global_recordid").isNotNull())
-    stale = latest.select(F.col("latest_global_recordid").alias("recordid"))
-    touched = new_rows.select("jobid", "stepid").distinct()
-    stale = latest.join(touched, ["jobid", "stepid"], "left_semi").select(
-        F.col("latest_global_recordid").alias("recordid"))
-    del touched
-    return measurements.join(stale, "recordid", "left_anti").unionByName(new_rows)
+    """Back-fill: a new global row of a (job, step) takes the place and the record
+    id of its latest global row; without one it gets the next free id, in order
+    of (jobid, stepid).  ``new_rows`` has one row per (job, step) and no ids."""
+    keys = ["jobid", "stepid"]
+    latest = latest_global_record(measurements, watcher)
+    placed = null_safe_join(new_rows.drop("recordid"), latest, keys, "left")
+    kept = placed.where(F.col("latest_global_recordid").isNotNull()).withColumnRenamed("latest_global_recordid", "recordid")
+    fresh = placed.where(F.col("latest_global_recordid").isNull()).drop("latest_global_recordid")
+    free = measurements.select(F.coalesce(F.max("recordid"), F.lit(0)))
+    # dense ids by job: a running sum over the jobs' counts, then the place within the job
+    chunk = scan_chunk(measurements.sparkSession)
+    sized = fresh.groupBy("jobid").agg(F.count(F.lit(1)).alias("__n"))
+    before = ordered_scan(sized, [], ["jobid"], [("__before", "sum_excl", "__n")], chunk) \
+        .select("jobid", F.coalesce("__before", F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("jobid").orderBy("stepid"))  # steps of one job
+    fresh = fresh.join(before, "jobid").withColumn("recordid", (free.scalar() + F.col("__before") + within).cast(L)).drop("__before")
+    order = measurements.columns
+    return measurements.join(kept.select("recordid"), "recordid", "left_anti").select(*order) \
+        .unionByName(kept.select(*order)).unionByName(fresh.select(*order))
 
 
 def backfill_watcher(measurements: DataFrame, watcher: DataFrame) -> DataFrame:
@@ -317,18 +358,34 @@ def backfill_watcher(measurements: DataFrame, watcher: DataFrame) -> DataFrame:
 
 SCHEMA_VERSION = 6
 
+# fixed values: (version reached, table, columns dropped, columns added) of each step, in order
+MIGRATIONS: list[tuple[int, str, list[str], list[str]]] = [
+    (3, "jobinfo", [], ["ncpu", "timelimit", "ended_at"]),
+    (3, "measurements", [], ["elapsed"]),
+    (4, "jobinfo", ["ended_at"], ["started_at", "ended_at"]),
+    (5, "measurements", ["elapsed"], []),
+    (5, "jobinfo", ["node"], ["nnodes"]),
+    (6, "jobinfo", [], ["peak_res_size"]),
+]
+
 
 def upgrade_schema(df: DataFrame, table: str, from_version: int) -> DataFrame:
-    """Additive migrations of older layouts up to the current version."""
+    """``df`` in an older layout, brought to the current one step by step; added
+    columns are NULL until they are imported anew."""
+    if not 0 <= from_version <= SCHEMA_VERSION:
+        raise ValueError(f"schema version {from_version} has no way to {SCHEMA_VERSION}")
     out = df
-    if table == "measurements" and from_version < 3 and "gpu_measurement_batch" not in out.columns:
-        out = out.withColumn("gpu_measurement_batch", F.lit(None).cast(L))
-    if table == "measurements" and from_version < 4 and "minor_pagefault" not in out.columns:
-        out = out.withColumn("minor_pagefault", F.lit(None).cast(L))
-    if table == "jobinfo" and from_version < 5 and "peak_res_size" not in out.columns:
-        out = out.withColumn("peak_res_size", F.lit(None).cast(L))
-    if table == "watcher" and from_version < 6:
-        for c in ("lastfetch", "prev_lastfetch"):
-            if c not in out.columns:
-                out = out.withColumn(c, F.lit(None).cast(L))
+    for version, of, dropped, added in MIGRATIONS:
+        if of == table and from_version < version:
+            out = out.drop(*dropped)
+            out = out.withColumns({c: F.lit(None).cast(L) for c in added})
     return out
+
+
+def upgrade_interval_log(log: DataFrame, from_version: int, scrape_interval: int) -> DataFrame:
+    """Layouts before version 5 had no interval log: it starts with the present interval at record 1."""
+    if from_version >= 5:
+        return log
+    seed = log.sparkSession.createDataFrame([(1, scrape_interval)], "start long, scrape_interval long")
+    return interval_change_log(log.select(F.col("start").cast(L), F.col("scrape_interval").cast(L))
+                               .unionByName(seed).withColumn("seq", F.col("start")))

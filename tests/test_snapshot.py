@@ -57,3 +57,14 @@ def test_node_partition_order(spark):
                                ("fast", "n1", 2, 30)], "name string, nodes string, max_nodes long, max_time long")
     got = {r.node: r.partition for r in C.node_partition(p).collect()}
     assert got == {"n1": "fast", "n2": "big", "n3": "all"}
+
+
+def test_parent_cycles_are_an_error(spark):
+    import pytest
+
+    from jobscope.operators import snapshot as C
+    procs = spark.createDataFrame([("h", 0, p, pp, True) for p, pp in ((1, 2), (2, 3), (3, 1), (4, 1))],
+                                  "host string, ts long, pid long, ppid long, alive boolean")
+    roots = spark.createDataFrame([("h", 0, 9)], "host string, ts long, pid long")
+    with pytest.raises(ValueError, match="cycle"):
+        C.nearest_root(procs, roots)
