@@ -13,7 +13,7 @@ contents: any pair that links meets in a bucket, while texts that merely share a
 of groups follows from the size; a set takes part at its own size's level and, near its upper end, at the next.
 
 1.  Equal sets are one class (their fingerprint); only classes go on.
-2.  Buckets with two classes or more are kept.  Every member is verified against the first of its bucket, and links
+2.  Buckets with two classes or more are kept.  Every member is verified against the first of one of its buckets, and links
     give a first division into components.  Members of large groups of near copies are joined here, in linear work.
 3.  Buckets that still hold several components are searched with the R-tree, in pairs of blocks of bounded size, for
     pairs of different components; survivors are verified.  With their links the components are final.
@@ -36,7 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.llm.common import id_text, map_batches, ship, small_or_shuffled, text_pieces, written
@@ -51,7 +51,9 @@ LEVEL_RATIO = 1.5
 BLOCK_ROWS = 2048
 # Rows of buckets that one call searches, about.
 CALL_ROWS = 1 << 15
-FIRST_HUBS = 2
+# Sets that one call verifies, about, and sets of a block of a family.
+CALL_SETS = 2048
+FAMILY_ROWS = 512
 SALTS = 16
 CLASS_SCHEMA = "doc_id long, n long, fp long, keys array<long>"
 SET_SCHEMA = "fp long, n long, point binary, h binary"
@@ -301,21 +303,34 @@ def set_rows(texts: DataFrame, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Those ``pairs`` (``a, b``) whose sets have a similarity of ``t`` or more."""
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                both = np.concatenate([p, q])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(shared * t.denominator >= t.numerator * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    """Those ``pairs`` (``family, a, b``) whose sets have a similarity of ``t`` or more, as ``a, b``.
 
-    left = sets.select(F.col("fp").alias("a"), F.col("h").alias("h_a"))
-    right = sets.select(F.col("fp").alias("b"), F.col("h").alias("h_b"))
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "h_a", "h_b"), check, "a long, b long")
+    A set travels once to each pair of blocks of its family that needs it, not once a pair; families above
+    FAMILY_ROWS are cut into blocks, and many small ones share a call.
+    """
+    ship(pairs.sparkSession)
+    ends = pairs.select("family", F.col("a").alias("fp")).union(pairs.select("family", F.col("b").alias("fp"))).distinct()
+    size = ends.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
+    block_a, block_b = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))
+    dealt = written(pairs.join(size, "family").select("a", "b", F.xxhash64(
+        "family", F.least(block_a, block_b), F.greatest(block_a, block_b)).alias("place")), "dealt-pairs")
+    need = dealt.select("place", F.col("a").alias("fp")).union(dealt.select("place", F.col("b").alias("fp"))).distinct()
+    need = written(need, "needed-sets")
+    calls = -(-need.count() // CALL_SETS) or 1
+    call = F.pmod(F.xxhash64("place"), F.lit(calls)).alias("call")
+    sent = sets.join(small_or_shuffled(written(need.select("fp", call).distinct(), "set-calls")), "fp").select("call", "fp", "h")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = {fp: np.frombuffer(h.as_buffer(), "<u8") for fp, h in zip(right["fp"].to_pylist(), right["h"])}
+        good = []
+        for x, y in zip(left["a"].to_pylist(), left["b"].to_pylist()):
+            both = np.concatenate([own[x], own[y]])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            good.append(shared * t.denominator >= t.numerator * (len(both) - shared))
+        return left.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return dealt.select(call, "a", "b").groupBy("call").cogroup(sent.groupBy("call")).applyInArrow(check, "a long, b long")
 
 
 # ---------------------------------------------------------------- the join
@@ -334,21 +349,22 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     needed = buckets.select("fp").distinct()
     holder = classes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     holder = small_or_shuffled(written(holder, "holders"))
-    sets = written(set_rows(texts.join(holder, "doc_id").select("fp", "text"), words).dropDuplicates(["fp"]), "sets")
+    sets = written(set_rows(texts.join(holder, "doc_id").select("fp", "text"), words), "sets")
 
-    # each member against the first ones of its buckets
-    stars = later.select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
-    few = stars.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("a"))) \
-        .where(F.col("rank") <= FIRST_HUBS).drop("rank")
-    links = written(verified(few, sets, t), "links")
+    # each member against the first class of one of its buckets
+    stars = later.groupBy(F.col("fp").alias("b")).agg(F.min("low").alias("a")).withColumn("family", F.col("a"))
+    links = written(verified(stars, sets, t), "links")
     first = components(links)
 
     # buckets that still hold several components
     placed = buckets.join(first.withColumnRenamed("v", "fp"), "fp", "left") \
         .select("key", "fp", F.coalesce("label", "fp").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1"))
-    members = placed.join(mixed.select("key"), "key", "left_semi").join(sets.select("fp", "n", "point"), "fp")
-    more = written(verified(written(search_pairs(members, t), "pairs"), sets, t), "links")
+    members = placed.join(mixed.select("key"), "key", "left_semi") \
+        .join(sets.select("fp", "n", "point").dropDuplicates(["fp"]), "fp")
+    pairs = written(search_pairs(members, t), "pairs")
+    families = components(pairs).select(F.col("v").alias("a"), F.col("label").alias("family"))
+    more = written(verified(pairs.join(families, "a"), sets, t), "links")
     final = components(links.union(more)).withColumnsRenamed({"v": "fp"})
 
     labelled = classes.select("doc_id", "n", "fp").join(final, "fp", "left") \
