@@ -8,6 +8,7 @@ with computed columns and rolled up over seven levels.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,10 +72,10 @@ def list_periods(pub: DataFrame, viewer: str | None = None, admin: bool = False)
     return rows.groupBy("period").agg(F.min("started").alias("started"), F.max("updated").alias("updated"))
 
 
-def fetch_data(pub: DataFrame, periods: Iterable[int], viewer: str | None = None, admin: bool = False,
+def fetch_data(pub: DataFrame, periods: Iterable[int | Column], viewer: str | None = None, admin: bool = False,
                sections: Iterable[str] | None = None) -> DataFrame:
     """Rows of the requested periods (partition-pruned), the viewer's own unless admin."""
-    rows = pub.where(F.col("period").isin(list(periods)))
+    rows = pub.where(reduce(lambda a, b: a | b, [F.col("period") == p for p in periods], F.lit(False)))
     if not admin:
         rows = rows.where(F.col("user") == user_of_address(F.lit(viewer)))
     if sections is not None:
@@ -82,9 +83,10 @@ def fetch_data(pub: DataFrame, periods: Iterable[int], viewer: str | None = None
     return rows
 
 
-def missing_periods(pub: DataFrame, periods: Iterable[int]) -> DataFrame:
-    spark = pub.sparkSession
-    want = spark.createDataFrame([(int(p),) for p in periods], "period bigint")
+def missing_periods(pub: DataFrame, periods: Iterable[int | Column]) -> DataFrame:
+    """Requested periods that were never published."""
+    literals = [(p if isinstance(p, Column) else F.lit(int(p))).cast("bigint") for p in periods]
+    want = pub.sparkSession.range(1).select(F.explode(F.array(*literals)).alias("period")).distinct()
     return want.join(pub.select("period").distinct(), "period", "left_anti")
 
 
@@ -203,45 +205,32 @@ def prune_config(schema: T.StructType) -> dict[str, list]:
 
 
 # ---- F8 ---------------------------------------------------------------------------
-NANO = 1_000_000_000  # aggregation unit: 1e-9
-
-
-def _nano(c: Column) -> Column:
-    return F.round(c.cast("double") * NANO).cast("decimal(38,0)")
-
-
-def _div6(num: Column, den: Column) -> Column:
-    """num / den to 6 decimals, rounded half up, from exact integer sums."""
-    q = F.call_function("div", num * 2 * 1_000_000 + den, den * 2)
-    return F.when(den != 0, q.cast("double") / 1_000_000)
-
-
-def exact_avg(c: Column) -> Column:
-    """Average whose value does not depend on summation order: each value is
-    taken in 1e-9 units and summed exactly (DECIMAL), then divided once."""
-    return _div6(F.sum(_nano(c)), F.count(c).cast("decimal(38,0)") * NANO)
-
-
-def exact_weighted_mean(c: Column, w: Column) -> Column:
-    return _div6(F.sum(_nano(c * w)), F.sum(F.when(c.isNotNull(), _nano(w))))
-
-
 def rollup_report(flat: DataFrame, depth: int | None = None) -> DataFrame:
     """Seven-level rollup; each level aggregates the leaf rows.
 
-    ``grouping_id`` tells subtotal rows from NULL keys; ``depth`` keeps levels
-    up to that depth (1 = periods only)."""
+    Leaves are summed once by all levels; the rollup then expands only those sums
+    and counts.  ``grouping_id`` tells subtotal rows from NULL keys; ``depth`` keeps
+    levels up to that depth (1 = periods only)."""
     x = with_expressions(flat)
     cfg = prune_config(x.schema)
-    levels = cfg["levels"]
-    aggs = [exact_avg(_c(c)).alias(c) for c in cfg["avg"]]
+    levels = [_c(c) for c in cfg["levels"]]
+    leaf, top = [], []
+
+    def ratio(name: str, numerator: Column, denominator: Column) -> None:
+        i = len(top)
+        leaf.extend([F.sum(numerator).alias(f"__n{i}"), F.sum(denominator).alias(f"__d{i}")])
+        top.append(F.try_divide(F.sum(f"__n{i}"), F.sum(f"__d{i}")).alias(name))
+
+    for c in cfg["avg"]:
+        ratio(c, _c(c).cast("double"), _c(c).isNotNull().cast("double"))
     for c, w in cfg["weighted"]:
-        aggs.append(exact_weighted_mean(_c(c), _c(w)).alias(c))
+        ratio(c, _c(c).cast("double") * _c(w), F.when(_c(c).isNotNull(), _c(w).cast("double")))
     for c in cfg["join"]:
         # distinct application names per group: bounded by the installed applications
-        s = F.array_sort(F.collect_set(_c(c)))
-        aggs.append(F.when(F.size(s) > 0, F.array_join(s, ", ")).alias(c))
-    out = x.rollup(*[_c(c) for c in levels]).agg(F.grouping_id().alias("grouping_id"), *aggs)
+        leaf.append(F.collect_set(_c(c)).alias(f"__{c}"))
+        s = F.array_sort(F.array_distinct(F.flatten(F.collect_set(f"__{c}"))))
+        top.append(F.when(F.size(s) > 0, F.array_join(s, ", ")).alias(c))
+    out = x.groupBy(*levels).agg(*leaf).rollup(*levels).agg(F.grouping_id().alias("grouping_id"), *top)
     if depth is not None:
         out = out.where(F.col("grouping_id") >= (1 << (len(levels) - depth)) - 1)
     return out

@@ -316,17 +316,11 @@ SECTIONS: dict[str, Callable] = {
 
 
 # ---- E20 --------------------------------------------------------------------
-DOCUMENT_PART_ENTRIES = 5000
-
-
-def export_user_documents(a: Analysis, spark: SparkSession, part_entries: int = DOCUMENT_PART_ENTRIES) -> DataFrame:
-    """Per-user JSON documents of the seven sections, in bounded parts.
-
-    Each (user, section) is numbered with the bucketed scan and cut into parts
-    of at most ``part_entries`` entries, so a heavy user never becomes one
-    unbounded collection in one task; a reader concatenates the parts of a
-    user in (section, part) order.  Users without rows get one empty document."""
-    from jobscope.plans.scan import ordered_scan
+def export_user_documents(a: Analysis, spark: SparkSession) -> DataFrame:
+    """Per-user documents of the seven sections: ``user, section, entry``, one JSON
+    entry a row however many a user has (:func:`jobscope.sources.publish.write_documents`
+    lays them out as a folder a user and section).  A user without entries has one
+    row with an empty document and no section."""
     entries = None
     for name, fn in SECTIONS.items():
         sec = fn(a, spark)
@@ -336,17 +330,20 @@ def export_user_documents(a: Analysis, spark: SparkSession, part_entries: int =
                                            F.transform_values(F.col("Problems"), lambda k, v: v.cast("bigint"))))
         else:
             entry = F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields]), {"ignoreNullFields": "false"})
-        e = sec.select("user", F.lit(name).alias("section"), F.col("Job").cast("bigint").alias("__job"),
-                       entry.alias("__entry"))
+        e = sec.select("user", F.lit(name).alias("section"), entry.alias("entry"))
         entries = e if entries is None else entries.unionByName(e)
-    entries = entries.withColumn("__h", F.xxhash64("__entry"))
-    n = ordered_scan(entries, ["user", "section"], ["__job", "__h", "__entry"], [("__n", "sum_incl", F.lit(1))],
-                     a.chunk)
-    n = n.withColumn("part", F.floor((F.col("__n") - 1) / part_entries).cast("bigint"))
-    out = n.groupBy("user", "section", "part").agg(
-        F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.struct("__job", "__h", "__entry")))
-                                          .getField("__entry"), ","), F.lit("]")).alias("entries"))
-    empty = a.active_users.join(out.select("user").distinct(), "user", "left_anti") \
-             .select("user", F.lit(None).cast("string").alias("section"), F.lit(0).cast("bigint").alias("part"),
-                     F.lit("{}").alias("entries"))
-    return out.unionByName(empty)
+    empty = a.active_users.join(entries.select("user").distinct(), "user", "left_anti") \
+        .select("user", F.lit(None).cast("string").alias("section"), F.lit("{}").alias("entry"))
+    return entries.unionByName(empty)
+
+
+def document_fields(documents: DataFrame) -> DataFrame:
+    """Entries as fields: ``..., job, step, field, value``; numbers as whole millionths, NULL fields left out."""
+    rest = [c for c in documents.columns if c != "entry"]
+    m = documents.select(*rest, F.from_json("entry", "map<string,string>").alias("m"))
+    whole = lambda k: F.try_element_at("m", F.lit(k)).cast("bigint")
+    x = m.select(*rest, whole("Job").alias("job"), whole("Step").alias("step"),
+                 F.explode_outer(F.map_filter("m", lambda k, v: ~k.isin("Job", "Step") & v.isNotNull())).alias("field", "v"))
+    number = F.col("v").try_cast("double")
+    return x.select(*rest, "job", "step", "field", F.coalesce(
+        F.floor(number * 1000000 + 0.5).cast("string"), F.col("v")).alias("value"))

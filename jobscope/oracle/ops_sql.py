@@ -118,32 +118,74 @@ flat AS (SELECT * EXCLUDE (job_level, {", ".join(f'"{p}"' for p in PROBLEM_NAMES
 """
 
 
+# fixed values: computed columns, averages and levels of the exploration view
+EXPRESSION_SQL = [
+    ("JobLengthHour", '"JobLength" / 3600.0'), ("TimeLimitHour", '"TimeLimit" / 60.0'), ("MemLimitMB", '"MemLimit" / 1048576.0'),
+    ("PeakRssSizeMB", '"PeakRssSize" / 1048576.0'), ("PeakMemUsage%", '100.0 * "PeakRssSize" / nullif("MemLimit", 0)'),
+    ("CPUUsage%", '100.0 * "CPUInUse" / nullif("AllocCPU", 0)'), ("GPUUsage%", '100.0 * "GPUInUse" / nullif("AllocGPU", 0)'),
+    ("ZeroGPUUtil%", '100.0 * "CntZeroGPUUtil" / nullif("TotGPUSamples", 0)'),
+    ("LowGPUUtil%", '100.0 * "CntLowGPUUtil" / nullif("TotGPUSamples", 0)'),
+    ("LongestNoGPUUtil%", '100.0 * "LongestNoGPUUtil" / nullif("TotGPUSamples", 0)'),
+    ("10~33%", '100.0 * "10%~33%" / nullif("TotSysTimeRatioSamples", 0)'),
+    ("33~66%", '100.0 * "33%~66%" / nullif("TotSysTimeRatioSamples", 0)'),
+    ("66~100%", '100.0 * "66%~100%" / nullif("TotSysTimeRatioSamples", 0)'),
+    ("Ratios >100%", '100.0 * ">100%" / nullif("TotSysTimeRatioSamples", 0)'),
+]
+AVERAGED = [
+    "NodeCnt", "JobLengthHour", "TimeLimitHour", "Low Concurrency", "Low Compute Power", "Jupyter Detected", "Memory Oversubscribe",
+    "Memory Underusage", "PeakMemUsage%", "MemLimitMB", "CPU Underusage", "AllocCPU", "Completely No Util", "GPU Underusage", "AllocGPU",
+    "AvgGPUUtil", "ZeroGPUUtil%", "LowGPUUtil%", "LongestNoGPUUtil%", "Investigate GPU Usage", "Try Splitting", "AvgGPUClockMHz",
+    "AvgGPUPowerUsageWatt", "AvgGPUTempC", "System Time Ratio", "10~33%", "33~66%", "66~100%", "Ratios >100%",
+]
+NUMBERS = [
+    "Period", "NodeCnt", "JobLength", "TimeLimit", "PeakRssSize", "MemLimit", "GPUCPUEntryRatio", "TotGPUCPUSamples", "AllocCPU", "AllocGPU",
+    "CPUInUse", "GPUInUse", "GPUID", "AvgGPUUtil", "TotGPUSamples", "CntZeroGPUUtil", "CntLowGPUUtil", "LongestNoGPUUtil", "AvgGPUClockMHz",
+    "AvgGPUPowerUsageWatt", "AvgGPUTempC", "TotSysTimeRatioSamples", "10%~33%", "33%~66%", "66%~100%", ">100%",
+]
+
+
 def _expr_sql() -> str:
-    from jobscope.operators.olap import EXPRESSIONS
-    out = []
-    for name, num, den, factor in EXPRESSIONS:
-        if den is None:
-            out.append(f'CAST("{num}" AS DOUBLE) * {factor!r} AS "{name}"')
-        else:
-            out.append(f'CAST("{num}" AS DOUBLE) / nullif(CAST("{den}" AS DOUBLE), 0) * {factor!r} AS "{name}"')
-    return ", ".join(out)
+    return ", ".join(f'CAST({sql} AS DOUBLE) AS "{name}"' for name, sql in EXPRESSION_SQL)
 
 
 def _rollup_sql() -> str:
-    from jobscope.operators.olap import AVG_COLUMNS, JOIN_COLUMNS, ROLLUP_LEVELS, WEIGHTED_COLUMNS
-    def nano(x):
-        return f"CAST(round(CAST({x} AS DOUBLE) * 1000000000) AS HUGEINT)"
-
-    def div6(num, den):
-        return f"CAST((({num}) * 2000000 + ({den})) // nullif(({den}) * 2, 0) AS DOUBLE) / 1000000"
-    aggs = [f'{div6(f"sum({nano(chr(34) + c + chr(34))})", f"count({chr(34)}{c}{chr(34)}) * 1000000000")} AS "{c}"'
-            for c in AVG_COLUMNS]
-    aggs += [f'{div6(f"sum({nano(chr(34) + c + chr(34) + " * " + chr(34) + w + chr(34))})", f"sum({nano(chr(34) + w + chr(34))}) FILTER (WHERE {chr(34)}{c}{chr(34)} IS NOT NULL)")} AS "{c}"'
-             for c, w in WEIGHTED_COLUMNS]
-    aggs += [f'string_agg(DISTINCT "{c}", \', \' ORDER BY "{c}") AS "{c}"' for c in JOIN_COLUMNS]
-    lv = ", ".join(f'"{c}"' for c in ROLLUP_LEVELS)
-    return (f'SELECT {lv}, CAST(GROUPING({lv}) AS BIGINT) AS grouping_id, {", ".join(aggs)} '
-            f'FROM (SELECT *, {_expr_sql()} FROM flat) GROUP BY ROLLUP ({lv})')
+    def near(x: str) -> str:
+        return f"floor({x} * 1000000 + 0.5001) / 1000000"
+
+    aggs = [f'{near(f"avg(CAST({chr(34)}{c}{chr(34)} AS DOUBLE))")} AS "{c}"' for c in AVERAGED]
+    aggs += [near(f'(sum("{c}" * "GPUCPUEntryRatio") / nullif(sum("GPUCPUEntryRatio") FILTER (WHERE "{c}" IS NOT NULL), 0))') + f' AS "{c}"'
+             for c in ("CPUUsage%", "GPUUsage%")]
+    aggs.append('string_agg(DISTINCT "App", \', \' ORDER BY "App") AS "App"')
+    levels = '"Period", "User", "Name", "Job", "Step", "Source", "Node"'
+    return (f'SELECT {levels}, CAST(GROUPING({levels}) AS BIGINT) AS grouping_id, {", ".join(aggs)} '
+            f'FROM (SELECT *, {_expr_sql()} FROM flat) GROUP BY ROLLUP ({levels})')
+
+
+def _fields_sql(section: str, source: str, step: str, numbers: dict[str, str], texts: dict[str, str]) -> str:
+    """Fields of a section's entries, numbers as whole millionths."""
+    pairs = [f"{{'f': '{k}', 'v': CAST(CAST(floor(CAST({x} AS DOUBLE) * 1000000 + 0.5) AS BIGINT) AS VARCHAR)}}" for k, x in numbers.items()]
+    pairs += [f"{{'f': '{k}', 'v': CAST({x} AS VARCHAR)}}" for k, x in texts.items()]
+    return (f"SELECT \"user\", '{section}' AS section, jobid AS job, {step} AS step, unnest([{', '.join(pairs)}]) AS p FROM {source}")
+
+
+SECTION_FIELDS = " UNION ALL ".join([
+    _fields_sql("JobInfo", "(SELECT n.*, j.name AS job_name FROM new_steps n LEFT JOIN jobinfo j ON j.jobid = n.jobid AND j.stepid IS NULL)",
+                "CAST(NULL AS BIGINT)", {"NodeCnt": "nnodes", "JobLength": "job_length", "TimeLimit": "timelimit"}, {"Name": "job_name"}),
+    _fields_sql("MemUsage", "resource_usage", "stepid", {"PeakRssSize": "peak_res_size", "MemLimit": "mem_limit"}, {}),
+    _fields_sql("Resources", "(SELECT * FROM gpucpu_usage WHERE ngpu IS DISTINCT FROM 0 AND coalesce(ncpu_in_use, ngpu_in_use) IS NOT NULL)", "stepid",
+                {"GPUCPUEntryRatio": "CAST(coalesce(cnt_cpu, cnt_gpu) AS DOUBLE) / node_tot", "TotGPUCPUSamples": "node_tot", "AllocCPU": "ncpu",
+                 "AllocGPU": "ngpu", "CPUInUse": "ncpu_in_use", "GPUInUse": "ngpu_in_use"},
+                {"Node": "node", "GPUCPUEntryType": "CASE WHEN ncpu IS NULL THEN 'GPU' ELSE 'CPU' END"}),
+    _fields_sql("GPU", "(SELECT * FROM gpu_usage WHERE is_new_in_period)", "stepid",
+                {"GPUID": "gpuid_raw", "AvgGPUUtil": "avg_util", "TotGPUSamples": "measurement_cnt", "CntZeroGPUUtil": "zero_util_cnt",
+                 "CntLowGPUUtil": "low_util_cnt", "LongestNoGPUUtil": "longest_continuous_zero_util", "AvgGPUClockMHz": "avg_clock",
+                 "AvgGPUPowerUsageWatt": "avg_power_usage", "AvgGPUTempC": "avg_temperature"}, {"Node": "target_node"}),
+    _fields_sql("AppUsage", "(SELECT n.\"user\", a.jobid, a.stepid, a.application FROM application_usage a JOIN new_steps n ON n.jobid = a.jobid "
+                            "AND n.stepid = a.stepid)", "stepid", {}, {"App": "application"}),
+    _fields_sql("SysTimeRatio", "(SELECT * FROM sys_ratio WHERE is_new_in_period)", "stepid",
+                {"TotSysTimeRatioSamples": "tot_in_batch", "10%~33%": "sys_ratio_1_10", "33%~66%": "sys_ratio_1_3", "66%~100%": "sys_ratio_2_3",
+                 ">100%": "sys_ratio_gt_1"}, {}),
+])
 
 
 def _plain(select: str, extra: str = "") -> str:
@@ -404,8 +446,7 @@ ORACLES_OPS: dict[str, str] = {
 
 
 def _f07() -> str:
-    from jobscope.operators.olap import EXPRESSIONS
-    cols = ", ".join(f'round("{e[0]}", 6) AS "{e[0]}"' for e in EXPRESSIONS)
+    cols = ", ".join(f'round("{name}", 6) AS "{name}"' for name, _ in EXPRESSION_SQL)
     return with_ctes(f'SELECT "Period", "User", "Source", "Job", "Step", "Node", {cols} '
                      f'FROM (SELECT *, {_expr_sql()} FROM flat)', REPORT_CTES + "," + _flat_sql())
 
@@ -414,9 +455,9 @@ ORACLES_OPS["f07_expressions"] = _f07()
 
 
 def _f06() -> str:
-    from jobscope.operators.olap import NUMERIC_COLUMNS, PROBLEM_NAMES
+    from jobscope.operators.olap import PROBLEM_NAMES
     parts = []
-    for c in ["Period", *NUMERIC_COLUMNS, *PROBLEM_NAMES]:
+    for c in [*NUMBERS, *PROBLEM_NAMES]:
         parts.append(f"SELECT '{c}' AS column_name, CASE WHEN bool_or(\"{c}\" IS NOT NULL AND "
                      f"(\"{c}\" <> floor(\"{c}\") OR \"{c}\" > 2147483647)) THEN 'float' ELSE 'integer' END AS type "
                      f"FROM flat")
@@ -424,6 +465,18 @@ def _f06() -> str:
 
 
 ORACLES_OPS["f06_promote_types"] = _f06()
+ORACLES_OPS["e20_user_documents"] = with_ctes("""
+    SELECT "user", section, job, step, p.f AS field, p.v AS value FROM document_fields WHERE p.v IS NOT NULL
+    UNION ALL SELECT "user", NULL, NULL, NULL, NULL, NULL FROM active_users WHERE "user" NOT IN (SELECT "user" FROM document_fields)""",
+    REPORT_CTES + ",\ndocument_fields AS (" + SECTION_FIELDS + """
+    UNION ALL SELECT DISTINCT "user", 'Problems', jobid, stepid, {'f': problem, 'v': '1000000'} FROM e08)""")
+ORACLES_OPS["f01_list_periods_viewer"] = with_ctes("""
+    SELECT s AS period, s AS started, e AS updated FROM rng WHERE EXISTS (SELECT 1 FROM document_fields WHERE "user" = 'u2')
+    UNION ALL SELECT e + 1, e + 1, e + 5 FROM rng WHERE EXISTS (SELECT 1 FROM document_fields WHERE "user" = 'u2')""",
+    REPORT_CTES + ",\ndocument_fields AS (" + SECTION_FIELDS + ")")
+ORACLES_OPS["f02_fetch_data"] = with_ctes("""
+    SELECT s AS period, "user", section, job, step, p.f AS field, p.v AS value FROM document_fields, rng WHERE "user" = 'u1' AND p.v IS NOT NULL
+    UNION ALL SELECT e + 1, NULL, NULL, NULL, NULL, NULL, NULL FROM rng""", REPORT_CTES + ",\ndocument_fields AS (" + SECTION_FIELDS + ")")
 ORACLES_OPS["e10_with_percentages"] = with_ctes("""
     SELECT "user", jobid, stepid, tot_in_batch,
            round(CAST(sys_ratio_1_10 AS DOUBLE) / nullif(CAST(tot_in_batch AS DOUBLE), 0) * 100, 6) AS sys_ratio_1_10_pct,

@@ -271,10 +271,25 @@ def f01(spark, sf):
     return olap.list_periods(P.read_periods(spark, pub_path), admin=True)
 
 
+def f01_viewer(spark, sf):
+    """Two published periods, as one user sees them."""
+    a = analysis(spark, sf)
+    rows = materialize(R.export_user_documents(a, spark).where(F.col("section").isNotNull()), "documents")
+    pub = rows.select(a.per.start.cast("bigint").alias("period"), "user", a.per.start.alias("started"), a.per.end.alias("updated")).unionByName(
+        rows.select((a.per.end + 1).cast("bigint").alias("period"), "user", (a.per.end + 1).alias("started"), (a.per.end + 5).alias("updated")))
+    return olap.list_periods(pub, viewer="u2@example.org")
+
+
 def f02(spark, sf):
+    """A published period and one that isn't, for one user."""
     a, secs = _sections(spark, sf)
-    rows = materialize(P.section_rows(secs, a.per.start, a.per.start, a.per.end), "publication")
-    return olap.fetch_data(rows, [r[0] for r in rows.select("period").distinct().collect()], viewer="u1@example.org")
+    rows = materialize(P.section_rows({k: v for k, v in secs.items() if k != "Problems"}, a.per.start, a.per.start, a.per.end), "publication")
+    want = [a.per.start, a.per.end + 1]
+    got = R.document_fields(olap.fetch_data(rows, want, viewer="u1@example.org").select("period", "user", "section", "entry"))
+    none = F.lit(None)
+    missing = olap.missing_periods(rows, want).select(
+        "period", *[none.cast(t).alias(c) for c, t in got.dtypes if c != "period"])
+    return got.unionByName(missing)
 
 
 def f03(spark, sf):
@@ -296,7 +311,7 @@ def e10(spark, sf):
 
 
 def e20(spark, sf):
-    return R.export_user_documents(analysis(spark, sf), spark)
+    return R.document_fields(R.export_user_documents(analysis(spark, sf), spark))
 
 
 def f06(spark, sf):
@@ -311,7 +326,10 @@ def f07(spark, sf):
 
 
 def f08(spark, sf):
-    return olap.rollup_report(f04(spark, sf))
+    """Means are sums of doubles in any order: compared to six decimals, away from their halves (0.5001, as in the oracle)."""
+    out = olap.rollup_report(f04(spark, sf))
+    return out.select(*[((F.floor(F.col(f"`{c}`") * 1000000 + 0.5001)) / 1000000).alias(c) if t == "double" else F.col(f"`{c}`")
+                        for c, t in out.dtypes])
 
 
 # ---- S --------------------------------------------------------------------------------------------
@@ -355,7 +373,8 @@ REGISTRY_OPS = {
     "c08_gpu_process_rows": _r(c08), "c09_node_load": _r(c09), "c10_node_partition": _r(c10),
     "c11_ranked_nodes": _r(c11), "c12_job_accounting_summary": _r(c12),
     "e10_with_percentages": _r(e10), "e20_user_documents": _r(e20), "f06_promote_types": _r(f06),
-    "f01_list_periods": _r(f01), "f02_fetch_data": _r(f02), "f03_shared_sections": _r(f03),
+    "f01_list_periods": _r(f01), "f01_list_periods_viewer": _r(f01_viewer),
+    "f02_fetch_data": _r(f02), "f03_shared_sections": _r(f03),
     "f04_flatten": _r(f04), "f07_expressions": _r(f07), "f08_rollup_report": _r(f08),
     "s02_quality_gate_stream": _r(s02), "s03_dedupe_stream": _r(s03),
 }

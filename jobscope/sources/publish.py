@@ -34,6 +34,11 @@ def write_period(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """JSON lines, a folder per user and section; no document is gathered in one place."""
+    documents.write.mode("overwrite").partitionBy("user", "section").text(path)
+
+
 def read_periods(spark: SparkSession, path: str) -> DataFrame:
     """The published table (partition-pruned by ``period`` filters)."""
     return spark.read.schema(PUBLICATION_SCHEMA).parquet(path)
