@@ -14,8 +14,8 @@ starts earlier.
     its Burrows-Wheeler transform, intervals of equal prefixes are extended backwards, breadth first, one byte a level,
     by which every border between neighbouring suffixes gets its common prefix length, in increasing order.  The
     expansion stops at LENGTH: borders that are still open lie between equal strings.  An anchor with more bytes than
-    a bucket may hold (a very common passage in ever new surroundings) is dealt again, place by place, by the hash of
-    the whole string.
+    a bucket may hold (a very common passage in ever new surroundings) is dealt again by anchors under other gram
+    orders, and what is still too much place by place, by the hash of the whole string.
 4.  Repeated places become spans by document, and the spans leave the texts.
 
 Edge cases: null and empty texts, and texts shorter than LENGTH, lose nothing; a null id counts as the smallest one; ids
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,15 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import id_text, map_batches, ship, small_or_shuffled, text_pieces, written
+from jobscope.llm.common import BROADCAST_IDS, id_text, map_batches, ship, text_pieces, written
 from jobscope.llm.shingles import mix, prefix_hash, span_hash
 
 LENGTH = 100
 GRAM = 32
+# Entries (some 16 bytes each) up to which lists by document may be broadcast.
+BROADCAST_ENTRIES = 2_000_000
 # Bytes of segments that one transform is built over.
 BUCKET_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 SEGMENT_SCHEMA = "anchor long, seg long, doc_id long, first int, places int"
+DEALT = ("deal", "doc_id", "first", "places", "content")
+# Times that a deal above BUCKET_BYTES is dealt again by another anchor before it is dealt place by place.
+REDEALS = 3
 STREAM_SCHEMA = "kind int, anchor long, doc_id long, first int, places int"
 REPEAT, FETCH = 0, 1
 
@@ -60,15 +66,17 @@ def _window_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:len(out) - rest], out[rest:]) if rest else out
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchor, content hash, text number, first place (in the text) and number of places of every segment."""
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, salt: int = 0) -> tuple[np.ndarray, ...]:
+    """Anchor, content hash, text number, first place (in the text) and number of places of every segment.
+
+    Each ``salt`` orders the grams in another way."""
     size = len(data)
     none = np.zeros(0, np.int64)
     if size < length:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     prefix = prefix_hash(data)
     at = np.arange(size - gram + 1)
-    grams = mix(span_hash(prefix, at, at + gram))
+    grams = mix(span_hash(prefix, at, at + gram) + np.uint64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1)))
     bits = np.uint64(int(size).bit_length())
     least = _window_least(grams >> bits << bits | at.astype(np.uint64), length - gram + 1)
     anchor = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
@@ -140,24 +148,27 @@ def sort_out(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the transform
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols (ties by place), by doubling; symbols fit 9 bits."""
+    """Suffixes in the order of their first ``depth`` symbols, by ranking spans of spans; symbols fit 9 bits.
+
+    Ties stand in any order: intervals of shorter prefixes hold them whole."""
     n, span = len(symbols), 7
+    times, bits = (3, np.uint64(21)) if n < 1 << 21 else (2, np.uint64(32))
     padded = np.concatenate([symbols.astype(np.uint64), np.zeros(span, np.uint64)])
     key = np.zeros(n, np.uint64)
     for k in range(span):
         key = key << np.uint64(9) | padded[k:k + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if span >= depth:
             return order
         ranked = key[order]
-        rank = np.zeros(n, np.uint64)
-        rank[order[1:]] = np.cumsum(ranked[1:] != ranked[:-1]).astype(np.uint64)
-        rank += np.uint64(1)
-        behind = np.zeros(n, np.uint64)
-        behind[:max(n - span, 0)] = rank[span:]
-        key = rank << np.uint64(32) | behind
-        span *= 2
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]]))  # 0: behind the end
+        key = rank
+        for k in range(1, times):
+            key = key << bits
+            key[:max(n - k * span, 0)] |= rank[k * span:]
+        span *= times
 
 
 def open_borders(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -250,18 +261,44 @@ def runs(doc: np.ndarray, first: np.ndarray, places: np.ndarray) -> tuple[np.nda
 def transformed(fetched: DataFrame, length: int) -> DataFrame:
     """``doc_id, first, places``: repeats among the fetched segments (``anchor, doc_id, first, places, content``)."""
     ship(fetched.sparkSession)
-    per_anchor = fetched.groupBy("anchor").agg(F.sum(F.octet_length("content") + 1).alias("bytes"))
-    hot = per_anchor.where(F.col("bytes") > BUCKET_BYTES).select("anchor")
-    hot = small_or_shuffled(written(hot, "hot-anchors"))
-    whole = fetched.join(hot, "anchor", "left_anti").select(F.col("anchor").alias("deal"), "doc_id", "first", "places", "content")
-    # segments of a hot anchor, place by place
-    single = fetched.join(hot, "anchor", "left_semi") \
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("places") - 1))) \
-        .withColumn("content", F.expr(f"substring(content, k + 1, {length})")) \
-        .select(F.xxhash64("content").alias("deal"), "doc_id", (F.col("first") + F.col("k")).alias("first"), F.lit(1).alias("places"), "content")
-    # equal strings of one document: the earliest place decides, the others are repeats
-    rows = whole.unionByName(single)
-    total = per_anchor.agg(F.sum("bytes")).first()[0] or 0
+
+    def redealt(salt: int):
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece, data, offsets in text_pieces(batches, "content"):
+                anchor, _, text, first, places = segments(data, offsets, length, salt=salt)
+                raw = data.tobytes()
+                start = offsets[:-1][text] + first
+                old, doc, at = (piece.column(i).to_numpy() for i in range(3))
+                yield pa.record_batch(
+                    [pa.array((mix(old[text].astype(np.uint64)) ^ anchor).astype(np.int64)), pa.array(doc[text]),
+                     pa.array((at[text] + first).astype(np.int32)), pa.array(places.astype(np.int32)),
+                     pa.array([raw[a:a + n + length - 1] for a, n in zip(start, places)], pa.binary())], names=list(DEALT))
+        return deal
+
+    # segments of a deal too large for a bucket are dealt again by further anchors, at last place by place
+    parts, rows = [], fetched.select(F.col("anchor").alias("deal"), "doc_id", "first", "places", "content")
+    total = 0
+    for salt in range(1, REDEALS + 2):
+        per_deal = written(rows.groupBy("deal").agg(F.sum(F.octet_length("content") + 1).alias("bytes")), "deals")
+        hot = per_deal.where(F.col("bytes") > BUCKET_BYTES).select("deal")
+        n_hot = hot.count()
+        total += per_deal.where(F.col("bytes") <= BUCKET_BYTES).agg(F.sum("bytes")).first()[0] or 0
+        if not n_hot:
+            parts.append(rows)
+            break
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+        parts.append(rows.join(hot, "deal", "left_anti").select(*DEALT))
+        warm = rows.join(hot, "deal", "left_semi").select(*DEALT)
+        if salt <= REDEALS:
+            rows = written(map_batches(warm, redealt(salt), "deal long, doc_id long, first int, places int, content binary"), "dealt-again")
+            continue
+        single = written(warm.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
+                         .withColumn("content", F.expr(f"substring(content, k + 1, {length})"))
+                         .select(F.xxhash64("content").alias("deal"), "doc_id", (F.col("first") + F.col("k")).alias("first"),
+                                 F.lit(1).alias("places"), "content"), "places")
+        total += single.count() * (length + 1)
+        parts.append(single)
+    rows = reduce(DataFrame.unionByName, parts)
     buckets = max(1, -(-2 * total // BUCKET_BYTES))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
@@ -318,7 +355,7 @@ def _narrow(lists: DataFrame) -> DataFrame:
     """A table of one list a document, marked for broadcast if all lists together have few entries."""
     column = lists.columns[1]
     entries = lists.agg(F.sum(F.size(column))).first()[0] or 0
-    return F.broadcast(lists) if entries <= 500_000 else lists
+    return F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists
 
 
 def _cut(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
