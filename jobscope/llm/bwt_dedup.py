@@ -33,6 +33,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ BROADCAST_ENTRIES = 2_000_000
 # Bytes of segments that one transform is built over.
 BUCKET_BYTES = 1 << 20
 NO_ID = -(1 << 63)
-SEGMENT_SCHEMA = "anchor long, seg long, doc_id long, first int, places int"
+SEGMENT_SCHEMA = "kind int, anchor long, seg long, doc_id long, first int, places int"
 DEALT = ("deal", "doc_id", "first", "places", "content")
 # Times that a deal above BUCKET_BYTES is dealt again by another anchor before it is dealt place by place.
 REDEALS = 3
@@ -94,13 +95,22 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
 
 
 def segment_rows(texts: DataFrame, length: int) -> DataFrame:
+    """All segments.  Of equal ones in the same piece of texts all but the earliest are repeats already; these are
+    spread by place instead of anchor, so that the copies of a hot text don't meet in one task."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in text_pieces(batches):
             anchor, seg, text, first, places = segments(data, offsets, length)
-            ids = piece.column(0).to_numpy()
-            yield pa.record_batch([pa.array(anchor.astype(np.int64)), pa.array(seg.astype(np.int64)), pa.array(ids[text]),
-                                   pa.array(first.astype(np.int32)), pa.array(places.astype(np.int32))],
-                                  names=["anchor", "seg", "doc_id", "first", "places"])
+            doc = piece.column(0).to_numpy()[text]
+            order = np.lexsort((first, doc, seg))
+            seg, doc, first = seg[order], doc[order], first[order]
+            head = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else order
+            head = np.repeat(head, np.diff(np.append(head, len(seg))))
+            repeat = (doc != doc[head]) | (first != first[head])
+            anchor = np.where(repeat, mix(doc.astype(np.uint64) ^ mix(first.astype(np.uint64))), anchor[order])
+            yield pa.record_batch([pa.array(np.where(repeat, REPEAT, FETCH).astype(np.int32)), pa.array(anchor.astype(np.int64)),
+                                   pa.array(seg.astype(np.int64)), pa.array(doc), pa.array(first.astype(np.int32)),
+                                   pa.array(places[order].astype(np.int32))],
+                                  names=["kind", "anchor", "seg", "doc_id", "first", "places"])
 
     return map_batches(texts, rows, SEGMENT_SCHEMA)
 
@@ -111,9 +121,12 @@ def sort_out(rows: DataFrame) -> DataFrame:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None  # last row; the first segment of the present anchor while it is its only one
         for batch in batches:
+            known = pa.compute.equal(batch.column(0), REPEAT)
+            yield batch.filter(known).select(["kind", "anchor", "doc_id", "first", "places"])
+            batch = batch.filter(pa.compute.invert(known))
             if not batch.num_rows:
                 continue
-            anchor, seg, doc, first, places = (batch.column(i).to_numpy() for i in range(5))
+            anchor, seg, doc, first, places = (batch.column(i).to_numpy() for i in range(1, 6))
             new_anchor = np.concatenate([[last is None or anchor[0] != last[0]], anchor[1:] != anchor[:-1]])
             new_seg = new_anchor | np.concatenate([[last is None or seg[0] != last[1]], seg[1:] != seg[:-1]])
             same_place = np.concatenate([[last is not None and (doc[0], first[0]) == last[2:4]],
@@ -141,7 +154,7 @@ def sort_out(rows: DataFrame) -> DataFrame:
                 held = (anchor[e], doc[e], first[e], places[e]) if alone else None
             last = (anchor[-1], seg[-1], doc[-1], first[-1])
 
-    order = ["anchor", "seg", "doc_id", "first"]
+    order = ["kind", "anchor", "seg", "doc_id", "first"]
     return map_batches(rows.repartition("anchor").sortWithinPartitions(*order), stream, STREAM_SCHEMA)
 
 
