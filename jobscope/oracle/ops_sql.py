@@ -516,3 +516,30 @@ ORACLES_OPS["a16_upgrade_schema"] = _plain("""
            CASE WHEN v >= 4 THEN started_at END AS started_at, CASE WHEN v >= 4 THEN ended_at END AS ended_at,
            CASE WHEN v >= 5 THEN nnodes END AS nnodes, CAST(NULL AS BIGINT) AS peak_res_size
     FROM jobinfo, (VALUES (2), (3), (4), (5)) AS versions(v)""", FIXTURE_CTES)
+
+ORACLES_OPS["d02_user_measurements"] = with_ctes(
+    'SELECT recordid, watcherid, jobid, stepid, "user", name, target_node, latest_recordid FROM stream')
+ORACLES_OPS["d05_active_groups"] = with_ctes("""
+    SELECT "user", name, submit_line, max(recordid) AS latest_recordid FROM stream GROUP BY ALL
+    HAVING max(recordid) > (SELECT s FROM rng) AND max(recordid) <= (SELECT e FROM rng)""")
+ORACLES_OPS["d06_interval_join"] = _plain("""
+    SELECT recordid, (SELECT scrape_interval FROM scrape_freq_log WHERE start <= recordid ORDER BY start DESC LIMIT 1) AS scrape_interval
+    FROM measurements""", FIXTURE_CTES)
+ORACLES_OPS["d07_cpu_join"] = with_ctes("""
+    SELECT s.recordid, s.watcherid, s.jobid, s.stepid, 1 + s.jobid % 12 AS ncpu
+    FROM stream s JOIN batch_ranges b ON b.recordid = s.recordid""")
+ORACLES_OPS["d09_ratio_class"] = with_ctes("""
+    SELECT recordid, jobid, stepid, round(CASE WHEN 10 * delta_sys_time <= delta_user_time THEN 0 WHEN 3 * delta_sys_time <= delta_user_time THEN 333
+           WHEN 3 * delta_sys_time <= 2 * delta_user_time THEN 667 WHEN delta_sys_time <= delta_user_time THEN 1000
+           ELSE CAST(delta_sys_time AS DOUBLE) / delta_user_time * 1000 END, 6) AS cat
+    FROM ts WHERE delta_sys_time >= 1000000 AND delta_user_time > 0""")
+ORACLES_OPS["d11_fresh_gpu_rows"] = with_ctes("SELECT batch, pid, gpuid, jobid, stepid, age, util FROM gf1")
+ORACLES_OPS["d14_gpus_in_use"] = with_ctes(
+    'SELECT "user", jobid, stepid, node, ngpu_in_use, cnt_gpu, ngpu, node_tot FROM gpu_rows')
+ORACLES_OPS["d15_cpus_in_use"] = with_ctes(
+    'SELECT "user", jobid, stepid, node, ncpu_in_use, cnt_cpu, ncpu, node_tot FROM cpu_rows')
+ORACLES_OPS["a18_published_periods"] = with_ctes("""
+    SELECT s AS period, s AS started, e AS updated, "user", section, job, step, p.f AS field, p.v AS value
+    FROM document_fields, rng WHERE p.v IS NOT NULL
+    UNION ALL SELECT e, e, e + 2, "user", section, job, step, p.f, p.v FROM document_fields, rng
+              WHERE section = 'MemUsage' AND p.v IS NOT NULL""", REPORT_CTES + ",\ndocument_fields AS (" + SECTION_FIELDS + ")")

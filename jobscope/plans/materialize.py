@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from jobscope.plans.scan import release_cached
 from jobscope.session import ensure_checkpoint_dir
 
 
@@ -22,6 +23,7 @@ def materialize(df: DataFrame, name: str, sort_by: list[str] | None = None) -> D
     path = f"{base}/jobscope/{name}-{uuid.uuid4().hex[:12]}"
     out = df.sortWithinPartitions(*sort_by) if sort_by else df
     out.write.mode("overwrite").parquet(path)
+    release_cached()  # what the scans below this table cached has served
     return spark.read.parquet(path)
 
 

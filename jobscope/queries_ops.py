@@ -3,7 +3,7 @@ publication (F) and streaming (S) operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobscope import fixtures
@@ -11,6 +11,7 @@ from jobscope.functions import decode as B
 from jobscope.operators import olap
 from jobscope.operators import reports as R
 from jobscope.operators import snapshot as C
+from jobscope.plans.joins import binned_range_join
 from jobscope.plans.materialize import materialize, scratch_path
 from jobscope.queries import analysis, round_doubles
 from jobscope.sources import derived as D
@@ -332,6 +333,59 @@ def f08(spark, sf):
                         for c, t in out.dtypes])
 
 
+# ---- D: parts of the chain with results of their own ---------------------------------------------
+def d02(spark, sf):
+    return analysis(spark, sf).user_stream.select("recordid", "watcherid", "jobid", "stepid", "user", "name", "target_node",
+                                                  "latest_recordid")
+
+
+def d05(spark, sf):
+    return analysis(spark, sf).active_groups
+
+
+def d06(spark, sf):
+    """The sampling interval in force at every measurement, by the binned range join."""
+    a = analysis(spark, sf)
+    freq = a.mon.scrape_freq_log.select("start", "scrape_interval", F.lead("start").over(Window.orderBy("start")).alias("endval"))
+    x = binned_range_join(a.mon.measurements.select("recordid"), "recordid", freq, "start", "endval", 256, a.per.end)
+    return x.select("recordid", "scrape_interval")
+
+
+def d07(spark, sf):
+    return analysis(spark, sf).timeseries.select("recordid", "watcherid", "jobid", "stepid", "ncpu")
+
+
+def d09(spark, sf):
+    return analysis(spark, sf).ratio_classes.select("recordid", "jobid", "stepid", "cat")
+
+
+def d11(spark, sf):
+    """GPU rows that are not repeated stale readings."""
+    return analysis(spark, sf).gpu_flagged.select("batch", "pid", "gpuid", "jobid", "stepid", "age", "util")
+
+
+def d14(spark, sf):
+    return analysis(spark, sf).gpucpu_usage.where(F.col("ngpu_in_use").isNotNull()).select(
+        "user", "jobid", "stepid", "node", "ngpu_in_use", "cnt_gpu", "ngpu", "node_tot")
+
+
+def d15(spark, sf):
+    return analysis(spark, sf).gpucpu_usage.where(F.col("ngpu_in_use").isNull()).select(
+        "user", "jobid", "stepid", "node", "ncpu_in_use", "cnt_cpu", "ncpu", "node_tot")
+
+
+def a18(spark, sf):
+    """Two periods are published, the second one twice as it grows, and all are read back."""
+    a, secs = _sections(spark, sf)
+    secs = {k: v for k, v in secs.items() if k != "Problems"}
+    path = scratch_path(spark, "publication")
+    P.write_period(P.section_rows(secs, a.per.start, a.per.start, a.per.end), path)
+    P.write_period(P.section_rows({"MemUsage": secs["MemUsage"].limit(0)}, a.per.end, a.per.end, a.per.end), path)
+    P.write_period(P.section_rows({"MemUsage": secs["MemUsage"]}, a.per.end, a.per.end, a.per.end + 1), path)
+    P.write_period(P.section_rows({"MemUsage": secs["MemUsage"]}, a.per.end, a.per.end, a.per.end + 2), path)
+    return R.document_fields(P.read_periods(spark, path).select("period", "started", "updated", "user", "section", "entry"))
+
+
 # ---- S --------------------------------------------------------------------------------------------
 def s02(spark, sf):
     mon = fixtures.load(spark, sf)
@@ -358,6 +412,8 @@ def _r(fn):
 
 
 REGISTRY_OPS = {
+    "a18_published_periods": _r(a18), "d02_user_measurements": _r(d02), "d05_active_groups": _r(d05), "d06_interval_join": _r(d06),
+    "d07_cpu_join": _r(d07), "d09_ratio_class": _r(d09), "d11_fresh_gpu_rows": _r(d11), "d14_gpus_in_use": _r(d14), "d15_cpus_in_use": _r(d15),
     "a01_normalize_jobs": _r(a01), "a02_accounting_measurements": _r(a02), "a03_scrape_measurements": _r(a03),
     "a04_scrape_gpu_measurements": _r(a04), "a05_application_usage": _r(a05), "a06_cpu_available": _r(a06),
     "a07_quality_gate": _r(a07), "a08_interval_change_log": _r(a08), "a09_watcher_registry": _r(a09),
