@@ -13,8 +13,9 @@ contents: any pair that links meets in a bucket, while texts that merely share a
 of groups follows from the size; a set takes part at its own size's level and, near its upper end, at the next.
 
 1.  Equal sets are one class (their fingerprint); only classes go on.
-2.  Buckets with two classes or more are kept.  Every member is verified against the first of one of its buckets, and links
-    give a first division into components.  Members of large groups of near copies are joined here, in linear work.
+2.  Buckets with two classes or more are kept.  Every member is verified against the class of its buckets that shares most
+    buckets with others, and links give a first division into components.  Large groups of near copies, which are edited
+    from one text, are joined here, in linear work.
 3.  Buckets that still hold several components are searched with the R-tree, in pairs of blocks of bounded size, for
     pairs of different components; survivors are verified.  With their links the components are final.
 
@@ -43,8 +44,10 @@ from jobscope.llm.common import id_text, map_batches, ship, small_or_shuffled, t
 from jobscope.llm.components import components
 from jobscope.llm.shingles import mix, shingle_hashes
 
-GROUPS = 16
+GROUPS = 128
 LEAF = 32
+# Pairs whose bounds are worked out at once.
+BOUND_PAIRS = 1 << 16
 # Smallest size whose sets are cut into groups; smaller sets are dealt by single shingles.
 LEAST_CUT = 16
 LEVEL_RATIO = 1.5
@@ -202,13 +205,13 @@ class CountTree:
         nodes = np.zeros(1, np.int64) if self.levels else np.arange(len(self.vectors))
         for depth in range(len(self.levels) - 1, -1, -1):
             high, least, most = self.levels[depth]
-            bound = np.minimum(high[nodes], vector).sum(axis=1)
+            bound = np.minimum(high[nodes], vector).sum(axis=1, dtype=np.int64)
             fits = (bound * den >= num * (size + least[nodes])) & (most[nodes] * t.denominator >= size * t.numerator) & \
                 (least[nodes] * t.numerator <= size * t.denominator)
             below = len(self.levels[depth - 1][0]) if depth else len(self.vectors)
             nodes = (nodes[fits][:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = nodes[nodes < below]
-        bound = np.minimum(self.vectors[nodes], vector).sum(axis=1)
+        bound = np.minimum(self.vectors[nodes], vector).sum(axis=1, dtype=np.int64)
         s = self.sizes[nodes]
         fits = (bound * den >= num * (size + s)) & (s * t.denominator >= size * t.numerator) & (s * t.numerator <= size * t.denominator)
         return self.order[nodes[fits]]
@@ -229,7 +232,7 @@ def pairs_of_buckets(rows: pd.DataFrame, t: Fraction) -> tuple[np.ndarray, np.nd
     through.  A bucket that fits one leaf has no tree above it: its points are compared as they are."""
     rows = rows.sort_values(["key", "i", "j"], kind="stable")
     fp, comp, n = (rows[c].to_numpy(np.int64) for c in ("fp", "comp", "n"))
-    points_ = np.frombuffer(b"".join(rows["point"]), "<i4").reshape(-1, GROUPS).astype(np.int64)
+    points_ = np.frombuffer(b"".join(rows["point"]), "<i4").reshape(-1, GROUPS)
     key, i, j, block = (rows[c].to_numpy(np.int64) for c in ("key", "i", "j", "block"))
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
     group = np.cumsum(new) - 1
@@ -243,8 +246,9 @@ def pairs_of_buckets(rows: pd.DataFrame, t: Fraction) -> tuple[np.ndarray, np.nd
         left, right = left[fits][once], right[fits][once]
         num, den = t.numerator, t.numerator + t.denominator
         least, most = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-        bound = (np.minimum(points_[left], points_[right]).sum(axis=1) * den >= num * (n[left] + n[right])) & \
-            (least * t.denominator >= most * t.numerator)
+        shared = np.concatenate([np.minimum(points_[left[k:k + BOUND_PAIRS]], points_[right[k:k + BOUND_PAIRS]]).sum(axis=1, dtype=np.int64)
+                                 for k in range(0, len(left), BOUND_PAIRS)])
+        bound = (shared * den >= num * (n[left] + n[right])) & (least * t.denominator >= most * t.numerator)
         a, b = [a[0][once][bound]], [b[0][once][bound]]
     first = np.flatnonzero(new)
     for lo, hi in zip(first, np.append(first[1:], len(rows))):
@@ -351,8 +355,14 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     holder = small_or_shuffled(written(holder, "holders"))
     sets = written(set_rows(texts.join(holder, "doc_id").select("fp", "text"), words), "sets")
 
-    # each member against the first class of one of its buckets
-    stars = later.groupBy(F.col("fp").alias("b")).agg(F.min("low").alias("a")).withColumn("family", F.col("a"))
+    # each member against one other class: that of its buckets' members which shares most buckets.  What others
+    # are edited from shares more with each of them than they share among themselves.
+    shared = buckets.groupBy("fp").agg(F.count("*").alias("shared"))
+    known = buckets.select("key", "fp").join(shared, "fp")
+    hub = known.groupBy("key").agg(F.max(F.struct("shared", "fp")).alias("hub"))
+    stars = known.join(hub, "key").where(F.col("fp") != F.col("hub.fp")) \
+        .groupBy(F.col("fp").alias("b")).agg(F.max("hub").alias("hub")) \
+        .select(F.col("hub.fp").alias("a"), "b", F.col("hub.fp").alias("family"))
     links = written(verified(stars, sets, t), "links")
     first = components(links)
 
