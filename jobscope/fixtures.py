@@ -10,7 +10,6 @@ ordered scan.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from jobscope.plans.materialize import materialize
 from jobscope.plans.scan import ordered_scan
-from jobscope.session import scan_chunk, session_id
+from jobscope.session import file_state, scan_chunk, session_id
 
 L = "bigint"
 
@@ -178,7 +177,7 @@ class Monitoring:
     analyze_user_info: DataFrame
 
 
-_CURATED: dict[tuple[str, str], Monitoring] = {}
+_CURATED: dict[tuple[str, str, str], Monitoring] = {}
 
 
 def derive(spark: SparkSession, sf_dir: str) -> Monitoring:
@@ -196,11 +195,17 @@ def derive(spark: SparkSession, sf_dir: str) -> Monitoring:
     )
 
 
+def curated_key(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """Path, session and state of the files that the monitoring tables come from: changed files are curated anew."""
+    path = sf_dir.rstrip("/")
+    return path, session_id(spark), file_state(spark, [f"{path}/{t}.parquet" for t in ("events", "orders", "nation")])
+
+
 def load(spark: SparkSession, sf_dir: str) -> Monitoring:
     """Curated monitoring tables, once per session and sf directory: the
     measurements are written as Parquet under ``spark.checkpoint.dir`` and read
     back; the other tables are plans over stored data."""
-    key = (os.path.abspath(sf_dir), session_id(spark))
+    key = curated_key(spark, sf_dir)
     if key not in _CURATED:
         d = derive(spark, sf_dir)
         # only the measurements carry real work (the cumulative counters); the

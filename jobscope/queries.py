@@ -3,7 +3,6 @@ driver's tables through :mod:`jobscope.fixtures` (or the tables directly)."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from jobscope import fixtures
 from jobscope.operators import reports as R
 from jobscope.operators.core import Analysis, half_period
-from jobscope.session import scan_chunk, session_id
+from jobscope.session import scan_chunk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,13 +26,13 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
-_ANALYSES: dict[tuple[str, str, int], Analysis] = {}
+_ANALYSES: dict[tuple, Analysis] = {}
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     """The period's analysis (shared by all reports of a session, like one
     analysis run: the time series is built and materialized once)."""
-    key = (os.path.abspath(sf_dir), session_id(spark), scan_chunk(spark))
+    key = (*fixtures.curated_key(spark, sf_dir), scan_chunk(spark))
     if key not in _ANALYSES:
         mon = fixtures.load(spark, sf_dir)
         _ANALYSES[key] = Analysis(mon, half_period(mon.measurements), scan_chunk(spark))

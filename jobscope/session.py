@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Chunk of the ordering key (recordid) used to split hot partitions of ordered
 # scans; see jobscope.plans.scan.  Overridable per session.
@@ -13,13 +15,26 @@ SCAN_CHUNK_CONF = "jobscope.scan.chunk"
 DEFAULT_SCAN_CHUNK = 1 << 22
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "jobscope") -> SparkSession:
-    master = master or os.environ.get("JOBSCOPE_MASTER", "local[8]")
+    """The running session, or a new one.
+
+    Where the cluster says a master or a number of shuffle partitions
+    (``spark-submit``, spark-defaults), that holds unless it is given here; only
+    without either does it run on this machine, with a few partitions."""
+    running = SparkSession.getActiveSession()
+    if running is not None and master is None:
+        ensure_checkpoint_dir(running)
+        return running
+    conf = SparkConf()
+    builder = SparkSession.builder.appName(app)
+    master = master or os.environ.get("JOBSCOPE_MASTER")
+    if master or not conf.contains("spark.master"):
+        builder = builder.master(master or "local[8]")
+    if shuffle_partitions or not conf.contains("spark.sql.shuffle.partitions") and not conf.contains("spark.master"):
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -79,6 +94,15 @@ def session_id(spark: SparkSession) -> str:
     return spark.conf.get("spark.app.id", None) or str(id(spark))
 
 
+def file_state(spark: SparkSession, paths: list[str]) -> str:
+    """What changes when the files of ``paths`` do: their newest modification and total length, as Spark sees them."""
+    state = []
+    for path in paths:
+        files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+        state.append(str(files.agg(F.max("file_modification_time"), F.sum("file_size"), F.count(F.lit(1))).first()))
+    return "|".join(state)
+
+
 def scan_chunk(spark: SparkSession) -> int:
     try:
         return int(spark.conf.get(SCAN_CHUNK_CONF, str(DEFAULT_SCAN_CHUNK)))
