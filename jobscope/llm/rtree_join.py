@@ -51,7 +51,7 @@ BOUND_PAIRS = 1 << 16
 # Smallest size whose sets are cut into groups; smaller sets are dealt by single shingles.
 LEAST_CUT = 16
 LEVEL_RATIO = 1.5
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 # Rows of buckets that one call searches, about.
 CALL_ROWS = 1 << 15
 # Sets that one call verifies, about, and sets of a block of a family.
@@ -173,6 +173,17 @@ def points(h: np.ndarray) -> np.ndarray:
     return np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
 
 
+def packed(point: np.ndarray) -> bytes:
+    """A byte a count, or four where one is above 255."""
+    return point.astype("u1" if point.max() < 256 else "<i4").tobytes()
+
+
+def unpacked(points_: list[bytes]) -> np.ndarray:
+    if all(len(p) == GROUPS for p in points_):
+        return np.frombuffer(b"".join(points_), "u1").reshape(-1, GROUPS).astype(np.int32)
+    return np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<i4") for p in points_]).astype(np.int32)
+
+
 class CountTree:
     """A packed R-tree over count vectors: leaves of LEAF points, tiled along the widest sides, and boxes above."""
 
@@ -232,7 +243,7 @@ def pairs_of_buckets(rows: pd.DataFrame, t: Fraction) -> tuple[np.ndarray, np.nd
     through.  A bucket that fits one leaf has no tree above it: its points are compared as they are."""
     rows = rows.sort_values(["key", "i", "j"], kind="stable")
     fp, comp, n = (rows[c].to_numpy(np.int64) for c in ("fp", "comp", "n"))
-    points_ = np.frombuffer(b"".join(rows["point"]), "<i4").reshape(-1, GROUPS)
+    points_ = unpacked(rows["point"].tolist())
     key, i, j, block = (rows[c].to_numpy(np.int64) for c in ("key", "i", "j", "block"))
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
     group = np.cumsum(new) - 1
@@ -266,30 +277,34 @@ def pairs_of_buckets(rows: pd.DataFrame, t: Fraction) -> tuple[np.ndarray, np.nd
                 at = at[fp[at] > fp[x]]
             a.append(np.minimum(fp[at], fp[x]))
             b.append(np.maximum(fp[at], fp[x]))
-    return np.concatenate(a), np.concatenate(b)
+    once = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    return once[0], once[1]
 
 
 def search_pairs(members: DataFrame, t: Fraction) -> DataFrame:
-    """``a, b``: pairs of members (``key, fp, comp, n, point``) of one bucket, of different components, that the bound
-    lets through.  Buckets above BLOCK_ROWS are cut into blocks, and every pair of blocks is searched by itself; small
-    buckets are searched many at a time."""
+    """``a, b``: pairs of members (``key, low, fp, comp, n, point``) of one bucket, of different components, that the bound
+    lets through.  Buckets with the same lowest class have most of their members in common and are searched in one call,
+    which finds a pair once however many of them bring it together; above BLOCK_ROWS members a call is cut into blocks,
+    and every pair of blocks is searched by itself.  Small calls share a task."""
     ship(members.sparkSession)
-    size = members.groupBy("key").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
+    size = members.groupBy("low").agg(F.ceil(F.count_distinct("fp") / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = written(
-        members.join(size, "key").withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        members.join(size, "low").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        .select("key", "i", "j", "block", "fp", "comp", "n", "point"), "members")
+        .select("key", "low", "i", "j", "block", "fp", "comp", "n", "point"), "members")
     calls = -(-dealt.count() // CALL_ROWS) or 1
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = pairs_of_buckets(rows, t)
-        return pd.DataFrame({"a": a, "b": b})
+        a, b = pairs_of_buckets(rows, t)  # in order of a
+        own, first = np.unique(a, return_index=True)
+        return pd.DataFrame({"a": own, "others": np.split(b, first[1:]) if len(own) else []})
 
-    return dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(calls)).alias("call")) \
-        .applyInPandas(search, "a long, b long").distinct()
+    # a class's partners travel as one row a call; calls that share a pair agree on it before it is listed
+    return dealt.groupBy(F.pmod(F.xxhash64("low", "i", "j"), F.lit(calls)).alias("call")) \
+        .applyInPandas(search, "a long, others array<long>") \
+        .groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")) \
+        .select("a", F.explode("others").alias("b"))
 
 
 def set_rows(texts: DataFrame, words: int) -> DataFrame:
@@ -300,7 +315,7 @@ def set_rows(texts: DataFrame, words: int) -> DataFrame:
             sets = [(fp, h) for fp, h in zip(piece.column(0).to_pylist(), _sets(data, offsets, words)) if fp == fingerprint(h)]
             yield pa.record_batch(
                 [pa.array([fp for fp, _ in sets], pa.int64()), pa.array([len(h) for _, h in sets], pa.int64()),
-                 pa.array([points(h).astype("<i4").tobytes() for _, h in sets], pa.binary()),
+                 pa.array([packed(points(h)) for _, h in sets], pa.binary()),
                  pa.array([h.astype("<u8").tobytes() for _, h in sets], pa.binary())], names=["fp", "n", "point", "h"])
 
     return map_batches(texts, rows, SET_SCHEMA)
@@ -368,7 +383,7 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
 
     # buckets that still hold several components
     placed = buckets.join(first.withColumnRenamed("v", "fp"), "fp", "left") \
-        .select("key", "fp", F.coalesce("label", "fp").alias("comp"))
+        .select("key", "low", "fp", F.coalesce("label", "fp").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1"))
     members = placed.join(mixed.select("key"), "key", "left_semi") \
         .join(sets.select("fp", "n", "point").dropDuplicates(["fp"]), "fp")
