@@ -58,7 +58,8 @@ CALL_ROWS = 1 << 15
 CALL_SETS = 2048
 FAMILY_ROWS = 512
 SALTS = 16
-CLASS_SCHEMA = "doc_id long, n long, fp long, keys array<long>"
+CLASS_SCHEMA = "doc_id long, n long, fp long"
+KEY_SCHEMA = "key long, fp long"
 SET_SCHEMA = "fp long, n long, point binary, h binary"
 
 
@@ -120,19 +121,29 @@ def bucket_keys(h: np.ndarray, t: Fraction) -> np.ndarray:
     return np.concatenate(out)
 
 
-def class_rows(texts: DataFrame, t: Fraction, words: int) -> DataFrame:
-    """``doc_id, n, fp, keys``: size and fingerprint of every text's set (null for the empty set), and its buckets."""
+def class_rows(texts: DataFrame, words: int) -> DataFrame:
+    """``doc_id, n, fp``: size and fingerprint of every text's set (null for the empty set)."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in text_pieces(batches):
             sets = _sets(data, offsets, words)
-            fps = [fingerprint(h) for h in sets]
-            keys = [bucket_keys(h, t).astype(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets]
-            yield pa.record_batch([piece.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps, pa.int64()),
-                                   pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "keys"])
+            yield pa.record_batch([piece.column(0), pa.array([len(h) for h in sets], pa.int64()),
+                                   pa.array([fingerprint(h) for h in sets], pa.int64())], names=["doc_id", "n", "fp"])
 
     return map_batches(texts, rows, CLASS_SCHEMA)
 
 
+def key_rows(texts: DataFrame, t: Fraction, words: int) -> DataFrame:
+    """``key, fp``: every text's buckets.  They are worked out where they are dealt, and never written."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in text_pieces(batches):
+            sets = [h for h in _sets(data, offsets, words) if len(h)]
+            keys = [bucket_keys(h, t).astype(np.int64) for h in sets]
+            fps = np.repeat(np.array([fingerprint(h) for h in sets], np.int64), [len(k) for k in keys])
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(fps)], names=["key", "fp"])
+
+    return map_batches(texts, rows, KEY_SCHEMA)
+
+
 def fingerprint(h: np.ndarray) -> int | None:
     """A number for the set of hashes, equal for equal sets; none for the empty set."""
     return int(mix(h.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h))).astype(np.int64)[0]) if len(h) else None
@@ -144,7 +155,7 @@ def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]
     return [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 
-def shared_buckets(classes: DataFrame) -> DataFrame:
+def shared_buckets(keyed: DataFrame) -> DataFrame:
     """``key, fp, low``: members of the buckets that hold two classes or more, with the bucket's lowest class.
 
     Sorted streams: a bucket's rows pass by, none is gathered.
@@ -163,8 +174,7 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(key[second]), pa.array(fp[second]), pa.array(lows[second])], names=["key", "fp", "low"])
             last_key, last_fp, low = key[-1], fp[-1], lows[-1]
 
-    rows = classes.select(F.explode("keys").alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    return map_batches(rows, later, "key long, fp long, low long")
+    return map_batches(keyed.repartition("key").sortWithinPartitions("key", "fp"), later, "key long, fp long, low long")
 
 
 # ---------------------------------------------------------------- points and their tree
@@ -298,7 +308,7 @@ def search_pairs(members: DataFrame, t: Fraction) -> DataFrame:
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = pairs_of_buckets(rows, t)  # in order of a
         own, first = np.unique(a, return_index=True)
-        return pd.DataFrame({"a": own, "others": np.split(b, first[1:]) if len(own) else []})
+        return pd.DataFrame({"a": own, "others": pd.Series([x.tolist() for x in np.split(b, first[1:])] if len(own) else [], dtype=object)})
 
     # a class's partners travel as one row a call; calls that share a pair agree on it before it is listed
     return dealt.groupBy(F.pmod(F.xxhash64("low", "i", "j"), F.lit(calls)).alias("call")) \
@@ -321,7 +331,12 @@ def set_rows(texts: DataFrame, words: int) -> DataFrame:
     return map_batches(texts, rows, SET_SCHEMA)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def sets_of(texts: DataFrame, holders: DataFrame, words: int) -> DataFrame:
+    """Sets of the classes in ``holders`` (``fp, doc_id``: a document of each), from the texts: they are never written."""
+    return set_rows(texts.join(small_or_shuffled(written(holders, "holders")), "doc_id").select("fp", "text"), words)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, holders: DataFrame, words: int, t: Fraction) -> DataFrame:
     """Those ``pairs`` (``family, a, b``) whose sets have a similarity of ``t`` or more, as ``a, b``.
 
     A set travels once to each pair of blocks of its family that needs it, not once a pair; families above
@@ -337,6 +352,7 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     need = written(need, "needed-sets")
     calls = -(-need.count() // CALL_SETS) or 1
     call = F.pmod(F.xxhash64("place"), F.lit(calls)).alias("call")
+    sets = sets_of(texts, holders.join(need.select("fp").distinct(), "fp", "left_semi"), words)
     sent = sets.join(small_or_shuffled(written(need.select("fp", call).distinct(), "set-calls")), "fp").select("call", "fp", "h")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -360,15 +376,13 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     ``words`` words with a Jaccard similarity of ``percent`` / 100 or more), and whether it has another member."""
     t = Fraction(percent, 100)
     texts = id_text(docs, id_col, text_col)
-    classes = written(class_rows(texts, t, words), "classes")
-    later = written(shared_buckets(classes.where(F.col("fp").isNotNull())), "buckets")
+    classes = written(class_rows(texts, words), "classes")
+    later = written(shared_buckets(key_rows(texts, t, words)), "buckets")
     buckets = later.union(later.select("key", F.col("low").alias("fp"), "low").distinct())
 
-    # the sets of classes in a shared bucket, from one document of each
-    needed = buckets.select("fp").distinct()
-    holder = classes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    holder = small_or_shuffled(written(holder, "holders"))
-    sets = written(set_rows(texts.join(holder, "doc_id").select("fp", "text"), words), "sets")
+    # one document of each class in a shared bucket holds its set
+    holders = written(classes.join(buckets.select("fp").distinct(), "fp", "left_semi")
+                      .groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "holders")
 
     # each member against one other class: that of its buckets' members which shares most buckets.  What others
     # are edited from shares more with each of them than they share among themselves.
@@ -378,18 +392,20 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     stars = known.join(hub, "key").where(F.col("fp") != F.col("hub.fp")) \
         .groupBy(F.col("fp").alias("b")).agg(F.max("hub").alias("hub")) \
         .select(F.col("hub.fp").alias("a"), "b", F.col("hub.fp").alias("family"))
-    links = written(verified(stars, sets, t), "links")
+    links = written(verified(stars, texts, holders, words, t), "links")
     first = components(links)
 
     # buckets that still hold several components
     placed = buckets.join(first.withColumnRenamed("v", "fp"), "fp", "left") \
         .select("key", "low", "fp", F.coalesce("label", "fp").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1"))
-    members = placed.join(mixed.select("key"), "key", "left_semi") \
-        .join(sets.select("fp", "n", "point").dropDuplicates(["fp"]), "fp")
+    members = placed.join(mixed.select("key"), "key", "left_semi")
+    asked = holders.join(members.select("fp").distinct(), "fp", "left_semi")
+    points_of = written(sets_of(texts, asked, words).select("fp", "n", "point"), "points").dropDuplicates(["fp"])
+    members = members.join(points_of, "fp")
     pairs = written(search_pairs(members, t), "pairs")
     families = components(pairs).select(F.col("v").alias("a"), F.col("label").alias("family"))
-    more = written(verified(pairs.join(families, "a"), sets, t), "links")
+    more = written(verified(pairs.join(families, "a"), texts, holders, words, t), "links")
     final = components(links.union(more)).withColumnsRenamed({"v": "fp"})
 
     labelled = classes.select("doc_id", "n", "fp").join(final, "fp", "left") \
@@ -405,4 +421,4 @@ def one_of_each(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str
     """``docs`` without the documents that have a smaller id in their component."""
     found = similar_components(docs, percent, words, id_col, text_col)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(small_or_shuffled(written(gone, "gone")), id_col, "left_anti")
