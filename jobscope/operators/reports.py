@@ -230,6 +230,13 @@ def problem_summary(a: Analysis, spark: SparkSession) -> DataFrame:
 
 
 # ---- E10 --------------------------------------------------------------------
+# fixed values: of each report, the column of totals and the counts shown as shares of it
+PERCENTAGES = {
+    "sys_ratio": ("tot_in_batch", ["sys_ratio_1_10", "sys_ratio_1_3", "sys_ratio_2_3", "sys_ratio_gt_1"]),
+    "gpu_usage": ("measurement_cnt", ["zero_util_cnt", "low_util_cnt", "longest_continuous_zero_util"]),
+}
+
+
 def with_percentages(df: DataFrame, total: str, flagged: list[str], suffix: str = "_pct") -> DataFrame:
     """flagged metric / row total * 100, NULL when the total is 0 or NULL."""
     return df.select("*", *[(F.try_divide(F.col(c).cast("double"), F.col(total).cast("double")) * 100)

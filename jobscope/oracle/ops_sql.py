@@ -543,3 +543,8 @@ ORACLES_OPS["a18_published_periods"] = with_ctes("""
     FROM document_fields, rng WHERE p.v IS NOT NULL
     UNION ALL SELECT e, e, e + 2, "user", section, job, step, p.f, p.v FROM document_fields, rng
               WHERE section = 'MemUsage' AND p.v IS NOT NULL""", REPORT_CTES + ",\ndocument_fields AS (" + SECTION_FIELDS + ")")
+ORACLES_OPS["e10_gpu_percentages"] = with_ctes("""
+    SELECT "user", jobid, stepid, gpuid, measurement_cnt, round(100.0 * zero_util_cnt / nullif(measurement_cnt, 0), 6) AS zero_util_cnt_pct,
+           round(100.0 * low_util_cnt / nullif(measurement_cnt, 0), 6) AS low_util_cnt_pct,
+           round(100.0 * longest_continuous_zero_util / nullif(measurement_cnt, 0), 6) AS longest_continuous_zero_util_pct
+    FROM e02""", REPORT_CTES)

@@ -307,10 +307,15 @@ def f04(spark, sf):
 
 def e10(spark, sf):
     sr = R.latest_sys_ratio(analysis(spark, sf), ordered=False)
-    x = R.with_percentages(sr, "tot_in_batch", ["sys_ratio_1_10", "sys_ratio_1_3", "sys_ratio_2_3", "sys_ratio_gt_1"])
+    x = R.with_percentages(sr, *R.PERCENTAGES["sys_ratio"])
     return x.select("user", "jobid", "stepid", "tot_in_batch", *[c for c in x.columns if c.endswith("_pct")])
 
 
+def e10_gpu(spark, sf):
+    x = R.with_percentages(R.latest_gpu_usage(analysis(spark, sf)), *R.PERCENTAGES["gpu_usage"])
+    return x.select("user", "jobid", "stepid", "gpuid", "measurement_cnt", *[c for c in x.columns if c.endswith("_pct")])
+
+
 def e20(spark, sf):
     return R.document_fields(R.export_user_documents(analysis(spark, sf), spark))
 
@@ -428,7 +433,7 @@ REGISTRY_OPS = {
     "c05_attribute_gpu_by_job": _r(c05), "c06_latest_gpu_job": _r(c06), "c07_pivot_gpu_metrics": _r(c07),
     "c08_gpu_process_rows": _r(c08), "c09_node_load": _r(c09), "c10_node_partition": _r(c10),
     "c11_ranked_nodes": _r(c11), "c12_job_accounting_summary": _r(c12),
-    "e10_with_percentages": _r(e10), "e20_user_documents": _r(e20), "f06_promote_types": _r(f06),
+    "e10_with_percentages": _r(e10), "e10_gpu_percentages": _r(e10_gpu), "e20_user_documents": _r(e20), "f06_promote_types": _r(f06),
     "f01_list_periods": _r(f01), "f01_list_periods_viewer": _r(f01_viewer),
     "f02_fetch_data": _r(f02), "f03_shared_sections": _r(f03),
     "f04_flatten": _r(f04), "f07_expressions": _r(f07), "f08_rollup_report": _r(f08),
