@@ -55,7 +55,7 @@ BLOCK_ROWS = 1024
 # Rows of buckets that one call searches, about.
 CALL_ROWS = 1 << 15
 # Sets that one call verifies, about, and sets of a block of a family.
-CALL_SETS = 2048
+CALL_SETS = 4096
 FAMILY_ROWS = 512
 SALTS = 16
 CLASS_SCHEMA = "doc_id long, n long, fp long"
@@ -339,10 +339,11 @@ def sets_of(texts: DataFrame, holders: DataFrame, words: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, holders: DataFrame, words: int, t: Fraction) -> DataFrame:
     """Those ``pairs`` (``family, a, b``) whose sets have a similarity of ``t`` or more, as ``a, b``.
 
-    A set travels once to each pair of blocks of its family that needs it, not once a pair; families above
-    FAMILY_ROWS are cut into blocks, and many small ones share a call.
+    The pairs of a family are verified together.  A set travels once to each call that needs it, not once a pair;
+    families above FAMILY_ROWS are cut into blocks, and many small ones share a call.
     """
     ship(pairs.sparkSession)
+    pairs = written(pairs, "pairs")
     ends = pairs.select("family", F.col("a").alias("fp")).union(pairs.select("family", F.col("b").alias("fp"))).distinct()
     size = ends.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
     block_a, block_b = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))
@@ -403,9 +404,8 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     asked = holders.join(members.select("fp").distinct(), "fp", "left_semi")
     points_of = written(sets_of(texts, asked, words).select("fp", "n", "point"), "points").dropDuplicates(["fp"])
     members = members.join(points_of, "fp")
-    pairs = written(search_pairs(members, t), "pairs")
-    families = components(pairs).select(F.col("v").alias("a"), F.col("label").alias("family"))
-    more = written(verified(pairs.join(families, "a"), texts, holders, words, t), "links")
+    pairs = search_pairs(members, t).select(F.col("a").alias("family"), "a", "b")
+    more = written(verified(pairs, texts, holders, words, t), "links")
     final = components(links.union(more)).withColumnsRenamed({"v": "fp"})
 
     labelled = classes.select("doc_id", "n", "fp").join(final, "fp", "left") \
