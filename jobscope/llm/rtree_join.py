@@ -406,10 +406,15 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     members = members.join(points_of, "fp")
     pairs = search_pairs(members, t).select(F.col("a").alias("family"), "a", "b")
     more = written(verified(pairs, texts, holders, words, t), "links")
-    final = components(links.union(more)).withColumnsRenamed({"v": "fp"})
-
-    labelled = classes.select("doc_id", "n", "fp").join(final, "fp", "left") \
-        .withColumn("label", F.coalesce("label", "fp")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # the new links join whole components: only those are labelled again
+    one = first.select(F.col("v").alias("end"), "label")
+    joined = more.join(one, F.col("a") == F.col("end"), "left").select("b", F.coalesce("label", "a").alias("a")) \
+        .join(one, F.col("b") == F.col("end"), "left").select("a", F.coalesce("label", "b").alias("b"))
+    final = components(joined).select(F.col("v").alias("label"), F.col("label").alias("last"))
+
+    labelled = classes.select("doc_id", "n", "fp").join(first.withColumnRenamed("v", "fp"), "fp", "left") \
+        .withColumn("label", F.coalesce("label", "fp")).join(final, "label", "left").withColumn("label", F.coalesce("last", "label")) \
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).drop("last")
     smallest = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")) \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return labelled.join(smallest, ["label", "salt"], "left").select(
