@@ -15,7 +15,8 @@ starts earlier.
     by which every border between neighbouring suffixes gets its common prefix length, in increasing order.  The
     expansion stops at LENGTH: borders that are still open lie between equal strings.  An anchor with more bytes than
     a bucket may hold (a very common passage in ever new surroundings) is dealt again by anchors under other gram
-    orders, and what is still too much place by place, by the hash of the whole string.
+    orders; of equal segments that this makes the earliest again stands for all.  What is still too much is settled
+    place by place, by the hash of the whole string, and never enters a transform.
 4.  Repeated places become spans by document, and the spans leave the texts.
 
 Edge cases: null and empty texts, and texts shorter than LENGTH, lose nothing; a null id counts as the smallest one; ids
@@ -49,8 +50,10 @@ BUCKET_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 SEGMENT_SCHEMA = "kind int, anchor long, seg long, doc_id long, first int, places int"
 DEALT = ("deal", "doc_id", "first", "places", "content")
-# Times that a deal above BUCKET_BYTES is dealt again by another anchor before it is dealt place by place.
+DEALT_SCHEMA = "deal long, seg long, doc_id long, first int, places int, content binary"
+# Times that a deal above BUCKET_BYTES is dealt again by another anchor before it is settled place by place.
 REDEALS = 3
+SALTS = 16
 STREAM_SCHEMA = "kind int, anchor long, doc_id long, first int, places int"
 REPEAT, FETCH = 0, 1
 
@@ -271,25 +274,46 @@ def runs(doc: np.ndarray, first: np.ndarray, places: np.ndarray) -> tuple[np.nda
     return doc[at], first[at], ends - first[at]
 
 
-def transformed(fetched: DataFrame, length: int) -> DataFrame:
-    """``doc_id, first, places``: repeats among the fetched segments (``anchor, doc_id, first, places, content``)."""
+def settled(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The earliest of the written ``rows`` with equal ``deal, seg``, and ``doc_id, first, places`` of all other places.
+
+    The earliest ones are aggregated before they are dealt, and joined back broadcast or salted: no group is gathered."""
+    own = [c for c in rows.columns if c not in ("deal", "seg")]
+    kept = written(rows.groupBy("deal", "seg").agg(F.min(F.struct("doc_id", "first", *[c for c in own if c not in ("doc_id", "first")])).alias("e"),
+                                                   F.count("*").alias("n")).select("deal", "seg", "e.*", "n"), name)
+    several = kept.where(F.col("n") > 1).select("deal", "seg", F.col("doc_id").alias("e_id"), F.col("first").alias("e_first"))
+    rows = rows.select("deal", "seg", "doc_id", "first", "places")
+    if several.count() <= BROADCAST_IDS // 4:
+        joined = rows.join(F.broadcast(several), ["deal", "seg"])
+    else:
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int")).join(
+            several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["deal", "seg", "salt"])
+    # the same place twice (rows that repeat an id) is no repeat
+    others = joined.where((F.col("doc_id") != F.col("e_id")) | (F.col("first") != F.col("e_first")))
+    return kept.select("deal", "seg", *own), others.select("doc_id", "first", "places")
+
+
+def in_buckets(fetched: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """The fetched segments (``anchor, doc_id, first, places, content``) with their ``bucket``, and the repeats that
+    were found on the way to them."""
     ship(fetched.sparkSession)
 
     def redealt(salt: int):
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece, data, offsets in text_pieces(batches, "content"):
-                anchor, _, text, first, places = segments(data, offsets, length, salt=salt)
+                anchor, seg, text, first, places = segments(data, offsets, length, salt=salt)
                 raw = data.tobytes()
                 start = offsets[:-1][text] + first
                 old, doc, at = (piece.column(i).to_numpy() for i in range(3))
                 yield pa.record_batch(
-                    [pa.array((mix(old[text].astype(np.uint64)) ^ anchor).astype(np.int64)), pa.array(doc[text]),
-                     pa.array((at[text] + first).astype(np.int32)), pa.array(places.astype(np.int32)),
-                     pa.array([raw[a:a + n + length - 1] for a, n in zip(start, places)], pa.binary())], names=list(DEALT))
+                    [pa.array((mix(old[text].astype(np.uint64)) ^ anchor).astype(np.int64)), pa.array(seg.astype(np.int64)),
+                     pa.array(doc[text]), pa.array((at[text] + first).astype(np.int32)), pa.array(places.astype(np.int32)),
+                     pa.array([raw[a:a + n + length - 1] for a, n in zip(start, places)], pa.binary())],
+                    names=["deal", "seg", "doc_id", "first", "places", "content"])
         return deal
 
-    # segments of a deal too large for a bucket are dealt again by further anchors, at last place by place
-    parts, rows = [], fetched.select(F.col("anchor").alias("deal"), "doc_id", "first", "places", "content")
+    # segments of a deal too large for a bucket are dealt again by further anchors, at last settled place by place
+    parts, repeats, rows = [], [], fetched.select(F.col("anchor").alias("deal"), "doc_id", "first", "places", "content")
     total = 0
     for salt in range(1, REDEALS + 2):
         per_deal = written(rows.groupBy("deal").agg(F.sum(F.octet_length("content") + 1).alias("bytes")), "deals")
@@ -297,31 +321,36 @@ def transformed(fetched: DataFrame, length: int) -> DataFrame:
         n_hot = hot.count()
         total += per_deal.where(F.col("bytes") <= BUCKET_BYTES).agg(F.sum("bytes")).first()[0] or 0
         if not n_hot:
-            parts.append(rows)
+            parts.append(rows.select(*DEALT))
             break
         hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
         parts.append(rows.join(hot, "deal", "left_anti").select(*DEALT))
         warm = rows.join(hot, "deal", "left_semi").select(*DEALT)
         if salt <= REDEALS:
-            rows = written(map_batches(warm, redealt(salt), "deal long, doc_id long, first int, places int, content binary"), "dealt-again")
-            continue
-        single = written(warm.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
-                         .withColumn("content", F.expr(f"substring(content, k + 1, {length})"))
-                         .select(F.xxhash64("content").alias("deal"), "doc_id", (F.col("first") + F.col("k")).alias("first"),
-                                 F.lit(1).alias("places"), "content"), "places")
-        total += single.count() * (length + 1)
-        parts.append(single)
-    rows = reduce(DataFrame.unionByName, parts)
+            rows, again = settled(written(map_batches(warm, redealt(salt), DEALT_SCHEMA), "dealt-again"), "dealt-once")
+        else:
+            # equal strings have equal deals, so all places of a string are here
+            single = written(warm.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).select(
+                "deal", F.xxhash64(F.expr(f"substring(content, k + 1, {length})")).alias("seg"), "doc_id",
+                (F.col("first") + F.col("k")).alias("first"), F.lit(1).alias("places")), "places")
+            again = settled(single, "places-once")[1]
+        repeats.append(again)
     buckets = max(1, -(-2 * total // BUCKET_BYTES))
+    rows = reduce(DataFrame.unionByName, parts).withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets)))
+    return rows, reduce(DataFrame.unionByName, repeats) if repeats else None
+
 
+def transformed(fetched: DataFrame, length: int) -> DataFrame:
+    """``doc_id, first, places``: repeats among the fetched segments (``anchor, doc_id, first, places, content``)."""
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         doc, place = repeated_places(rows["content"].tolist(), rows["doc_id"].to_numpy(np.int64), rows["first"].to_numpy(np.int64),
                                      rows["places"].to_numpy(np.int64), length)
         doc, first, places = runs(doc, place, np.ones(len(doc), np.int64))
         return pd.DataFrame({"doc_id": doc, "first": first.astype(np.int32), "places": places.astype(np.int32)})
 
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets))).groupBy("bucket") \
-        .applyInPandas(search, "doc_id long, first int, places int")
+    rows, repeats = in_buckets(fetched, length)
+    found = rows.groupBy("bucket").applyInPandas(search, "doc_id long, first int, places int")
+    return found if repeats is None else found.unionByName(repeats)
 
 
 # ---------------------------------------------------------------- spans

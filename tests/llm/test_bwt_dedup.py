@@ -78,6 +78,32 @@ def test_hot_passages_split_over_buckets(spark, monkeypatch, bucket_bytes):
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got} == want
 
 
+def test_no_deal_is_above_a_bucket_however_common_its_strings(spark, monkeypatch):
+    """A passage in ever new surroundings: many equal strings, which all have one deal."""
+    monkeypatch.setattr(bwt_dedup, "BUCKET_BYTES", 3000)
+    passage = " ".join(f"shared{k * 37 % 101}" for k in range(25)).encode()
+    rows, length = [], 100
+    for i in range(80):
+        for a in range(0, len(passage) - 140, 40):  # what straddles its border differs
+            content = b"%020d" % (i * 1000 + a) + passage[a:a + 140] + b"%021d" % (i * 7919 + a)
+            rows.append((7, i, 1000 * a, len(content) - length + 1, content))
+    for own in (rows, rows[:3]):
+        fetched = spark.createDataFrame(own, "anchor long, doc_id long, first int, places int, content binary")
+        dealt, _ = bwt_dedup.in_buckets(fetched, length)
+        left = dealt.collect()
+        sizes = defaultdict(int)
+        for r in left:
+            sizes[r.deal] += len(r.content) + 1
+        assert max(sizes.values(), default=0) <= 3000
+        at = defaultdict(list)
+        for _, d, f, p, c in own:
+            for k in range(p):
+                at[c[k:k + length]].append((d, f + k))
+        want = {x for v in at.values() for x in v if x != min(v)}
+        got = {(r.doc_id, r.first + k) for r in bwt_dedup.transformed(fetched, length).collect() for k in range(r.places)}
+        assert got == want and (own != rows or len(want) > 1000)
+
+
 @pytest.mark.parametrize("rows", [1, 7])
 def test_segments_stream_over_small_batches(spark, rows):
     texts = [(i, f"{'common words of a passage that several documents share ' * 4}{chr(97 + i % 3) * 90}{i % 5}") for i in range(12)]
