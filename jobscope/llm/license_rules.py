@@ -2,7 +2,8 @@
 
 Each line: label | kind | keyword | signature.  A signature is a regular expression in which one blank stands for any
 white space and comment leaders; it is matched without regard to (ASCII) case.  The keyword is a lower-case string that
-every text with a match contains: a rule is tried only on texts that hold it.  Kinds, in order of priority:
+every text with a match contains: a rule is tried only on texts that hold it (white space and comment leaders, the
+slash among them, count as one blank in both).  Kinds, in order of priority:
 
 text    wording of the licence itself
 notice  the notice that puts a work under the licence
@@ -12,6 +13,8 @@ mention a looser hint, suppressed inside anything better
 
 from __future__ import annotations
 
+import re
+
 SIGNATURES = r"""
 mit|text|permission is hereby|permission is hereby granted,? free of charge,? to any person obtaining a copy of this software and associated documentation files
 mit|text|the above copyright notice and this permission|the above copyright notice and this permission notice shall be included in all copies or substantial portions
@@ -33,12 +36,12 @@ apache-1.1|name|apache|\bapache(?: software)? license,? (?:version |v)?1\.1\b
 apache-1.0|name|apache|\bapache(?: software)? license,? (?:version |v)?1\.0\b
 apache|mention|apache|\bapache(?: software)? licen[sc]e\b
 gpl-3.0|notice|general public license|(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of the )?gnu general public license,? (?:version|v\.?) ?3
-gpl-3.0|text|general public license|either version 3 of the license,? or \(?at your option\)? any later version
+gpl-3.0|text|either version 3|either version 3 of the license,? or \(?at your option\)? any later version
 gpl-3.0|name|general public license|\bgnu general public license,? (?:version |v\.? ?)3(?:\.0)?\b
 gpl-3.0|name|gpl|\bgpl(?:-| )?v?3(?:\.0)?(?:-only|-or-later|\+)?\b
 gpl-3.0|name|gnu.org|gnu\.org/licenses/gpl-3\.0
 gpl-2.0|notice|general public license|(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of the )?gnu general public license,? (?:version|v\.?) ?2
-gpl-2.0|text|general public license|either version 2 of the license,? or \(?at your option\)? any later version
+gpl-2.0|text|either version 2|either version 2 of the license,? or \(?at your option\)? any later version
 gpl-2.0|name|general public license|\bgnu general public license,? (?:version |v\.? ?)2(?:\.0)?\b
 gpl-2.0|name|gpl|\bgpl(?:-| )?v?2(?:\.0)?(?:-only|-or-later|\+)?\b
 gpl-2.0|name|gnu.org|gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
@@ -75,7 +78,7 @@ bsd-0-clause|name|0bsd|\b0bsd\b
 bsd-0-clause|name|zero-clause|\bzero-clause bsd\b
 bsd|notice|bsd|(?:licensed|released|distributed|available|published) under (?:the |a )?(?:terms of the )?bsd(?:-style)? licen[sc]e
 bsd|mention|bsd|\bbsd(?:-style)? licen[sc]e\b
-isc|text|permission to use, copy, modify|permission to use,? copy,? modify,? and/or distribute this software for any purpose with or without fee is hereby granted
+isc|text|permission to use|permission to use,? copy,? modify,? and/or distribute this software for any purpose with or without fee is hereby granted
 isc|name|isc licen|\bisc licen[sc]e\b
 zlib|text|this software is provided 'as-is'|this software is provided 'as-is',? without any express or implied warranty
 zlib|name|zlib|\bzlib(?:/libpng)? licen[sc]e\b
@@ -156,7 +159,7 @@ cc-by-nc-sa|notice|by-nc-sa|licensed under (?:a )?(?:creative commons|cc)(?: |-)
 cc-by-nc|notice|by-nc|licensed under (?:a )?(?:creative commons|cc)(?: |-)by-nc(?![\w-])(?: \d(?:\.\d)?)?
 cc-by-sa|notice|by-sa|licensed under (?:a )?(?:creative commons|cc)(?: |-)by-sa(?: |-)?\d?(?:\.\d)?
 cc-by-nd|notice|by-nd|licensed under (?:a )?(?:creative commons|cc)(?: |-)by-nd(?: |-)?\d?(?:\.\d)?
-cc-by|notice|cc|licensed under (?:a )?(?:creative commons|cc)(?: |-)by(?![\w-])(?: \d(?:\.\d)?)?
+cc-by|notice|licensed under|licensed under (?:a )?(?:creative commons|cc)(?: |-)by(?![\w-])(?: \d(?:\.\d)?)?
 cc-by-nc-nd|name|by-nc-nd|\bcc(?: |-)by-nc-nd(?:[ -]\d\.\d)?\b
 cc-by-nc-sa|name|by-nc-sa|\bcc(?: |-)by-nc-sa(?:[ -]\d\.\d)?\b
 cc-by-nc|name|by-nc|\bcc(?: |-)by-nc(?!-)(?:[ -]\d\.\d)?\b
@@ -176,7 +179,7 @@ cc-by-sa|name|licenses/by|creativecommons\.org/licenses/by-sa/\d\.\d
 cc-by-nd|name|licenses/by|creativecommons\.org/licenses/by-nd/\d\.\d
 cc-by|name|licenses/by|creativecommons\.org/licenses/by/\d\.\d
 creative-commons|mention|creative commons|\bcreative commons\b
-odbl-1.0|name|open database license|\bopen (?:data commons )?database license\b
+odbl-1.0|name|database license|\bopen (?:data commons )?database license\b
 odc-by-1.0|name|open data commons|\bopen data commons attribution license\b
 pddl-1.0|name|public domain dedication|\bpublic domain dedication and license\b
 ogl-uk-3.0|name|open government licen|\bopen government licen[sc]e(?: v3\.0)?\b
@@ -187,8 +190,8 @@ all-rights-reserved|notice|all rights reserved|\ball rights reserved\b
 copyright-notice|mention|copyright|\bcopyright (?:\(c\)|©|\d{4})
 copyright-notice|mention|©|© ?\d{4}
 proprietary|notice|proprietary and confidential|\bproprietary and confidential\b
-proprietary|notice|unauthorized copying|\bunauthori[sz]ed copying of this file,? via any medium,? is strictly prohibited\b
-proprietary|name|end user license|\bend[- ]user licen[sc]e agreement\b
+proprietary|notice|copying of this file|\bunauthori[sz]ed copying of this file,? via any medium,? is strictly prohibited\b
+proprietary|name|user licen|\bend[- ]user licen[sc]e agreement\b
 proprietary|mention|proprietary licen|\bproprietary licen[sc]e\b
 non-commercial|notice|non-commercial use only|\bfor non-commercial use only\b
 non-commercial|notice|noncommercial|\bpolyform noncommercial license\b
@@ -226,6 +229,7 @@ def rules() -> list[dict]:
     lines = [x.split("|", 3) for x in SIGNATURES.strip().splitlines()]
     lines += [[i.lower(), "text", "spdx-license-identifier", r"spdx-license-identifier: ?" + i.replace(".", r"\.") + r"(?![\w.+-])"]
               for i in SPDX_IDS.split()]
+    lines = [[label, kind, re.sub(BLANK, " ", keyword), pattern] for label, kind, keyword, pattern in lines]
     return [{"rule": n, "label": label, "priority": KINDS.index(kind), "keyword": keyword,
              "pattern": "(?i)" + _spaced(pattern), "confidence": CONFIDENCE[kind],
              "stem": "licen" if "licen" in pattern else max(keyword.split(), key=len)}

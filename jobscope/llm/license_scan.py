@@ -53,8 +53,8 @@ def _base_columns(text: Column) -> list[Column]:
     return [F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), places.alias("places")]
 
 
-def detections(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, start, stop, rule, label, priority, confidence`` of what stands after suppression.
+def matches(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, start, stop, rule, label, priority, confidence`` of every match of every rule.
 
     ``docs`` has ``doc_id, text``; positions are characters from 0.
     """
@@ -73,12 +73,17 @@ def detections(docs: DataFrame) -> DataFrame:
                     F.transform(F.regexp_extract_all("text", F.col("r.pattern"), F.lit(0)), F.length).alias("len"))).alias("i", "m")) \
         .select("doc_id", "text_hash", "rule", "i", "m.gap", "m.len").where(F.col("len").isNotNull()).distinct()
     one_rule = Window.partitionBy("doc_id", "text_hash", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    found = hits.withColumn("stop", F.sum(F.col("gap") + F.col("len")).over(one_rule)) \
+    return hits.withColumn("stop", F.sum(F.col("gap") + F.col("len")).over(one_rule)) \
         .withColumn("start", F.col("stop") - F.col("len")).withColumn("r", every[F.col("rule")]) \
         .select("doc_id", "text_hash", "start", "stop", "rule", "r.label", "r.priority", "r.confidence")
+
+
+def detections(docs: DataFrame) -> DataFrame:
+    """Those :func:`matches` that stand after suppression."""
+    found = matches(docs)
     before = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("stop"), "priority", "rule") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    kinds = sorted({r["priority"] for r in table})
+    kinds = sorted({r["priority"] for r in rules()})
     reach = F.coalesce(*[F.when(F.col("priority") == k, F.max(F.when(F.col("priority") <= k, F.col("stop"))).over(before))
                          for k in kinds])
     return found.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("reach") < F.col("stop"))).drop("reach")

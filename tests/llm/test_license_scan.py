@@ -1,5 +1,6 @@
 """Operator 6 against plain word scans and interval suppression."""
 import re
+from re import _parser
 
 import pytest
 from .conftest import SF
@@ -37,7 +38,42 @@ def test_rules_are_gated_by_what_every_match_holds():
         re.compile(r["pattern"])
 
 
+def texts_of(parsed):
+    """Texts that a parsed pattern matches, for every choice among its alternatives and optional parts."""
+    texts = [""]
+    for op, value in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            parts = [chr(value)]
+        elif op == "IN":  # the class of blanks, or each member of a plain class
+            names = [str(v) for o, v in value if str(o) == "CATEGORY"]
+            parts = [" "] if "CATEGORY_SPACE" in names else ["1"] if "CATEGORY_DIGIT" in names else ["x"] if names or str(value[0][0]) == "NEGATE" \
+                else [chr(v) for _, v in value]
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            parts = ([""] if value[0] == 0 else []) + [x * max(value[0], 1) for x in texts_of(value[2])]
+        elif op == "SUBPATTERN":
+            parts = texts_of(value[3])
+        elif op == "BRANCH":
+            parts = [x for branch in value[1] for x in texts_of(branch)]
+        else:
+            parts = ["x" if op in ("ANY", "NOT_LITERAL") else ""]
+        texts = [t + p for t in texts for p in parts]
+    return texts
+
+
+def test_every_rule_fires_on_every_form_of_its_pattern(spark):
+    cases = [(r["rule"], t) for r in rules() for t in texts_of(_parser.parse(r["pattern"])) if re.search(r["pattern"], t)]
+    assert {rule for rule, _ in cases} == {r["rule"] for r in rules()}
+    cases += [(rule, f"see (https://{t.upper()}), x") for rule, t in cases if "creativecommons.org" in t]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    fired = {(m.doc_id, m.rule) for m in license_scan.matches(table).select("doc_id", "rule").collect()}
+    assert [case for i, case in enumerate(cases) if (i, case[0]) not in fired] == []
+
+
 @pytest.mark.parametrize("text, labels", [
+    ("https://creativecommons.org/licenses/by-nc-sa/4.0/", ["cc-by-nc-sa"]),
+    ("http://creativecommons.org/publicdomain/zero/1.0/", ["cc0-1.0"]),
+    ("the End-User License Agreement", ["proprietary"]),
     ("This work is licensed under the GNU General Public License, version 3.", ["gpl", "gpl-3.0"]),
     ("under the GNU Lesser General Public License", ["gpl", "lgpl"]),
     ("Licensed under CC BY-NC 4.0.", ["cc-by-nc"]),
