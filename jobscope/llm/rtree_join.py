@@ -24,7 +24,8 @@ Hashes have 64 bits: different sets or group contents count as equal with a chan
 
 Edge cases: null texts and texts without words have the empty set, and link with nothing; a text with fewer words than
 a shingle has its whole sequence as one; rows that repeat an id are rows of their own and their component is reckoned
-by id; ties don't arise (the smallest id names a component); an empty table gives an empty result; further columns are
+by id; a row without an id is compared like any other, but names no component (null where no member has an id) and is
+never taken out by :func:`one_of_each`; ties don't arise (the smallest id names a component); an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -58,7 +59,7 @@ CALL_ROWS = 1 << 15
 CALL_SETS = 4096
 FAMILY_ROWS = 512
 SALTS = 16
-CLASS_SCHEMA = "doc_id long, n long, fp long"
+CLASS_SCHEMA = "doc_id long, n long, fp long, text_hash long"
 KEY_SCHEMA = "key long, fp long"
 SET_SCHEMA = "fp long, n long, point binary, h binary"
 
@@ -122,14 +123,16 @@ def bucket_keys(h: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def class_rows(texts: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, fp``: size and fingerprint of every text's set (null for the empty set)."""
+    """``doc_id, n, fp, text_hash``: size and fingerprint of every text's set (null for the empty set), and the hash that
+    names a text without an id."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in text_pieces(batches):
             sets = _sets(data, offsets, words)
             yield pa.record_batch([piece.column(0), pa.array([len(h) for h in sets], pa.int64()),
-                                   pa.array([fingerprint(h) for h in sets], pa.int64())], names=["doc_id", "n", "fp"])
+                                   pa.array([fingerprint(h) for h in sets], pa.int64()), piece.column(2)],
+                                  names=["doc_id", "n", "fp", "text_hash"])
 
-    return map_batches(texts, rows, CLASS_SCHEMA)
+    return map_batches(texts.withColumn("text_hash", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), rows, CLASS_SCHEMA)
 
 
 def key_rows(texts: DataFrame, t: Fraction, words: int) -> DataFrame:
@@ -332,8 +335,15 @@ def set_rows(texts: DataFrame, words: int) -> DataFrame:
 
 
 def sets_of(texts: DataFrame, holders: DataFrame, words: int) -> DataFrame:
-    """Sets of the classes in ``holders`` (``fp, doc_id``: a document of each), from the texts: they are never written."""
-    return set_rows(texts.join(small_or_shuffled(written(holders, "holders")), "doc_id").select("fp", "text"), words)
+    """Sets of the classes in ``holders`` (``fp, doc_id, text_hash``: a document of each, by its text where no member has an
+    id), from the texts: they are never written."""
+    holders = written(holders, "holders")
+    found = texts.join(small_or_shuffled(holders.where(F.col("doc_id").isNotNull()).select("fp", "doc_id")), "doc_id").select("fp", "text")
+    unnamed = holders.where(F.col("doc_id").isNull()).select("fp", "text_hash")
+    if not unnamed.isEmpty():
+        once = texts.where(F.col("doc_id").isNull()).select(F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["text_hash"])
+        found = found.union(once.join(small_or_shuffled(unnamed), "text_hash").select("fp", "text"))
+    return set_rows(found, words)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, holders: DataFrame, words: int, t: Fraction) -> DataFrame:
@@ -383,7 +393,7 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
 
     # one document of each class in a shared bucket holds its set
     holders = written(classes.join(buckets.select("fp").distinct(), "fp", "left_semi")
-                      .groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "holders")
+                      .groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")), "holders")
 
     # each member against one other class: that of its buckets' members which shares most buckets.  What others
     # are edited from shares more with each of them than they share among themselves.

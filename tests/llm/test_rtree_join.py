@@ -110,3 +110,14 @@ def test_edge_cases(edge, empty):
     kept = rtree_join.one_of_each(edge)
     assert kept.columns == edge.columns and 6 not in {r.doc_id for r in kept.collect()}
     assert rtree_join.one_of_each(empty).count() == 0
+
+
+def test_near_copies_without_an_id(spark):
+    base, other = ([f"{k}{i}" for i in range(100)] for k in ("a", "b"))
+    edited = lambda words, at: " ".join(w if i != at else "edited" for i, w in enumerate(words))
+    rows = [(5, " ".join(base)), (None, edited(base, 40)), (None, edited(base, 41)), (None, edited(base, 41)), (7, "alone")]
+    rows += [(None, " ".join(other)), (None, edited(other, 50)), (None, "alone as well")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.n_shingles, r.doc_id or 0, r.component_id or 0, r.linked) for r in rtree_join.similar_components(table).collect())
+    assert got == sorted([(97, 5, 5, True), *[(97, 0, 5, True)] * 3, (1, 7, 7, False), *[(97, 0, 0, True)] * 2, (1, 0, 0, False)])
+    assert rtree_join.one_of_each(table).count() == len(rows)
