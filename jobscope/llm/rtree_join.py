@@ -58,6 +58,8 @@ CALL_ROWS = 1 << 15
 # Sets that one call verifies, about, and sets of a block of a family.
 CALL_SETS = 4096
 FAMILY_ROWS = 512
+# Classes up to which a task remembers those whose buckets it has dealt.
+SEEN_CLASSES = 1 << 19
 SALTS = 16
 CLASS_SCHEMA = "doc_id long, n long, fp long, text_hash long"
 KEY_SCHEMA = "key long, fp long"
@@ -136,12 +138,17 @@ def class_rows(texts: DataFrame, words: int) -> DataFrame:
 
 
 def key_rows(texts: DataFrame, t: Fraction, words: int) -> DataFrame:
-    """``key, fp``: every text's buckets.  They are worked out where they are dealt, and never written."""
+    """``key, fp``: every class's buckets, once a task: copies of a text don't meet in the tasks of its keys.  They are
+    worked out where they are dealt, and never written."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, data, offsets in text_pieces(batches):
-            sets = [h for h in _sets(data, offsets, words) if len(h)]
-            keys = [bucket_keys(h, t).astype(np.int64) for h in sets]
-            fps = np.repeat(np.array([fingerprint(h) for h in sets], np.int64), [len(k) for k in keys])
+            if len(seen) > SEEN_CLASSES:  # what is then dealt twice changes nothing
+                seen.clear()
+            own = {fp: h for h in _sets(data, offsets, words) if (fp := fingerprint(h)) is not None and fp not in seen}
+            seen.update(own)
+            keys = [bucket_keys(h, t).astype(np.int64) for h in own.values()]
+            fps = np.repeat(np.array(list(own), np.int64), [len(k) for k in keys])
             yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(fps)], names=["key", "fp"])
 
     return map_batches(texts, rows, KEY_SCHEMA)

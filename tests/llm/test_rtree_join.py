@@ -121,3 +121,10 @@ def test_near_copies_without_an_id(spark):
     got = sorted((r.n_shingles, r.doc_id or 0, r.component_id or 0, r.linked) for r in rtree_join.similar_components(table).collect())
     assert got == sorted([(97, 5, 5, True), *[(97, 0, 5, True)] * 3, (1, 7, 7, False), *[(97, 0, 0, True)] * 2, (1, 0, 0, False)])
     assert rtree_join.one_of_each(table).count() == len(rows)
+
+
+def test_keys_of_a_class_are_dealt_once_a_task(spark):
+    table = spark.createDataFrame([(i, f"copies of one text {'x ' * 30}{'and another' if i % 9 == 0 else ''}") for i in range(300)],
+                                  "doc_id long, text string").repartition(3)
+    got = rtree_join.key_rows(table, Fraction(85, 100), 4).groupBy("key", "fp").count().collect()
+    assert len({r.fp for r in got}) == 2 and max(r["count"] for r in got) <= 3
