@@ -16,6 +16,7 @@ rows are scored each for itself; an empty table gives an empty result; only id a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -72,7 +73,7 @@ def features(text: bytes) -> list[float]:
     head = set(words[:half]) if half >= 10 else distinct
     return [np.log1p(n), np.log1p(size), (size - n) / n, symbols / size, bangs / n, upper / max(letters, 1), digits / size,
             pipes / n, stops / n, commas / n, wide / size, len(distinct) / n, sum(map(eq, words, words[1:])) / n,
-            1 - triples / max(n - 2, 1) if n > 2 else 0.0, max(map(words.count, words[:3])) / n,
+            1 - triples / max(n - 2, 1) if n > 2 else 0.0, max(Counter(words).values()) / n,
             sum(w[-1] in _MARKS for w in words) / n, np.log1p(len(lines)), 1 - len(set(lines)) / max(len(lines), 1),
             n / max(len(lines), 1), (len(distinct) - len(head)) / max(n - half, 1) if half >= 10 else 1.0]
 

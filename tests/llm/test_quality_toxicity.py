@@ -94,3 +94,9 @@ def test_edge_cases(spark, edge, empty, edge_labels):
         scores = toxicity.toxicity_scores(edge, toxic).toPandas()
         assert len(scores) == edge.count() and scores.score.between(0, 1).all()
     assert toxicity.toxicity_scores(empty, toxic).count() == 0
+
+
+def test_the_top_word_may_stand_anywhere():
+    at = gam.FEATURES.index("top_word")
+    assert gam.features(b"one two three " + b"spam " * 7)[at] == 0.7
+    assert gam.features(b"spam spam one two")[at] == 0.5
