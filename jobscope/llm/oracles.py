@@ -40,3 +40,55 @@ edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM reach r JOIN edges e ON e.x = r.v)
 SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.c) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.v = d.doc_id GROUP BY d.doc_id"""
+
+# The remainder table of crc32 comes from its polynomial, and every distinct word goes through it byte by byte.
+RESAMPLING = r"""
+WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY b) AS crc FROM (
+  SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b))),
+texts AS (SELECT row_number() OVER () AS d, doc_id, text, true AS corpus FROM documents UNION ALL SELECT NULL, NULL, text, false FROM benchmark),
+words AS (SELECT d, corpus, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+counted AS (SELECT d, corpus, word, count(*) AS n FROM words GROUP BY ALL),
+bytes AS (SELECT word, list_transform(range(octet_length(encode(word))), lambda i: CAST('0x' || hex(encode(word))[2 * i + 1:2 * i + 2] AS BIGINT)) AS b
+          FROM (SELECT DISTINCT word FROM counted)),
+buckets AS (SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, crc[xor(c, x) % 256 + 1])), 4294967295) % 10000 AS bucket
+            FROM bytes, crc_table),
+hashed AS (SELECT d, corpus, bucket, n FROM counted JOIN buckets USING (word)),
+sizes AS (SELECT bucket, coalesce(sum(n) FILTER (corpus), 0) AS s, coalesce(sum(n) FILTER (NOT corpus), 0) AS t FROM hashed GROUP BY bucket),
+totals AS (SELECT sum(s) AS cs, sum(t) AS ct FROM sizes),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (cs + 10000)::DOUBLE / ((s + 1)::DOUBLE * (ct + 10000)::DOUBLE))) AS BIGINT) AS gain FROM sizes, totals),
+sums AS (SELECT d, sum(n) AS n, sum(n * gain) AS g FROM hashed JOIN gains USING (bucket) WHERE corpus GROUP BY d),
+weighed AS (SELECT t.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce((g - ((g % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+                   CAST('0x' || sha256('2024:' || coalesce(CAST(t.doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h
+            FROM texts t LEFT JOIN sums USING (d) WHERE t.corpus),
+scores AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM weighed),
+places AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+                  count(*) FILTER (n_features >= 20) OVER () AS long_enough FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * long_enough // 100 THEN place END AS rank FROM places"""
+
+SOURCE_DIVERGENCE = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+occurrences AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM occurrences GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM occurrences o JOIN kept k ON k.lang = o.lang AND k.term = o.term GROUP BY ALL),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+lang_total AS (SELECT lang, sum(n) AS t FROM counts GROUP BY lang),
+group_total AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS t FROM groups g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+lang_p AS (SELECT c.lang, c.term, 1 + 1000000000::HUGEINT * (sum(c.n) + 5) // (any_value(l.t) + 5 * any_value(v.v)) AS q
+           FROM counts c JOIN lang_total l ON l.lang = c.lang JOIN vocabulary v ON v.lang = c.lang GROUP BY c.lang, c.term),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.t + 5 * v.v) AS p
+      FROM group_total g JOIN vocabulary v ON v.lang = g.lang JOIN kept k ON k.lang = g.lang
+      LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value
+          FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value FROM p x
+                     JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL) d
+            ON d.lang = a.lang AND d.source = a.source AND d.other = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value
+          FROM p JOIN lang_p q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 50"""

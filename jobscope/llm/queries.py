@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import ann, bpe, bwt_dedup, gam, license_scan, line_rules, mixing, ppm, rtree_join, toxicity
+from jobscope.llm import (ann, bpe, bwt_dedup, divergence, gam, license_scan, line_rules, mixing, personal, ppm, resampling, rtree_join,
+                          toxicity)
 from jobscope.llm.common import documents, fold, labels
-from jobscope.llm.oracles import LINE_RULES, SIMILAR_COMPONENTS
+from jobscope.llm.oracles import LINE_RULES, RESAMPLING, SIMILAR_COMPONENTS, SOURCE_DIVERGENCE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # The other operators train models, compress, tokenise or approximate: tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_line_rules": LINE_RULES, "op4_rtree_join": SIMILAR_COMPONENTS}
+ORACLES: dict[str, str] = {"op2_line_rules": LINE_RULES, "op4_rtree_join": SIMILAR_COMPONENTS, "op12_resampling": RESAMPLING,
+                           "op13_source_divergence": SOURCE_DIVERGENCE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -97,3 +99,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_srs_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    field = personal.fit_field(personal.labelled_windows(docs))
+    return personal.digests(personal.personal_spans(docs, field))
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.ranked(resampling.scored(documents(spark, sf_dir), target, seed=2024, buckets=10_000), percent=10, min_words=20)
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir), min_docs=30, top=50)
