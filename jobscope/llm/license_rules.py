@@ -128,7 +128,7 @@ ncsa|name|illinois/ncsa|\b(?:university of )?illinois/ncsa open source license\b
 unlicense|text|free and unencumbered|this is free and unencumbered software released into the public domain
 unlicense|name|unlicense|\bthe unlicense\b
 wtfpl|name|wtfpl|\bwtfpl\b
-wtfpl|name|do what the|\bdo what the f\S+ you want to public license\b
+wtfpl|name|do what the|\bdo what the f\S{1,12} you want to public license\b
 beerware|name|beer|\bbeer-?ware license\b
 sil-ofl-1.1|name|open font license|\b(?:sil )?open font license,? (?:version |v\.? ?)?1\.1\b
 sil-ofl|mention|open font license|\b(?:sil )?open font license\b
@@ -197,7 +197,7 @@ non-commercial|notice|non-commercial use only|\bfor non-commercial use only\b
 non-commercial|notice|noncommercial|\bpolyform noncommercial license\b
 no-redistribution|notice|may not be reproduced|\bmay not be reproduced,? (?:distributed|stored|copied)[^\n]{0,60} without (?:the )?(?:prior )?(?:written )?(?:permission|consent)
 disclaimer|mention|without warrant|\bwithout warrant(?:y|ies) (?:or conditions )?of any kind\b
-disclaimer|mention|provided|\bprovided (?:\S+ ){0,6}?"as is"
+disclaimer|mention|provided|\bprovided (?:[^\s/*#>]++ ){0,8}?"as is"
 licensed|mention|licensed under|\blicensed under\b
 licensed|mention|released under|\breleased under (?:the|a) [^\n]{1,40}? licen[sc]e\b
 copyleft|mention|copyleft|\bcopyleft\b
@@ -218,7 +218,9 @@ Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1
 KINDS = ["text", "notice", "name", "mention"]
 # How sure a detection of each kind is.
 CONFIDENCE = {"text": 1.0, "notice": 0.95, "name": 0.9, "mention": 0.4}
-BLANK = r"[\s/*#>]+"
+# Taken whole or not at all: what follows a blank never begins with one of these characters, so a banner of comment
+# leaders is passed over once, however long it is.
+BLANK = r"[\s/*#>]++"
 
 
 def rules() -> list[dict]:

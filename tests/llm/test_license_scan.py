@@ -1,5 +1,6 @@
 """Operator 6 against plain word scans and interval suppression."""
 import re
+import time
 from re import _parser
 
 import pytest
@@ -49,7 +50,7 @@ def texts_of(parsed):
             names = [str(v) for o, v in value if str(o) == "CATEGORY"]
             parts = [" "] if "CATEGORY_SPACE" in names else ["1"] if "CATEGORY_DIGIT" in names else ["x"] if names or str(value[0][0]) == "NEGATE" \
                 else [chr(v) for _, v in value]
-        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+        elif op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             parts = ([""] if value[0] == 0 else []) + [x * max(value[0], 1) for x in texts_of(value[2])]
         elif op == "SUBPATTERN":
             parts = texts_of(value[3])
@@ -112,3 +113,24 @@ def test_edge_cases(edge, empty):
     twice = got[got.doc_id == 9]
     assert len(twice) == 2 and all(list(x) == ["gpl", "gpl-3.0", "mit"] for x in twice.labels) and twice.n_base.eq(2).all()
     assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_banners_are_passed_over_once(spark):
+    """Behind a rule's keyword, and behind each part of a text that it matches, stand long runs of comment leaders."""
+    banners = [c * 10_000 for c in "*/#> "] + ["*/" * 5_000, "* " * 5_000, "#\n" * 5_000]
+    starts = {r["keyword"] + " " for r in rules()}
+    for r in rules():
+        words = max(texts_of(_parser.parse(r["pattern"])), key=len).split(" ")
+        starts |= {" ".join(words[:k]) + " " for k in (len(words) // 2, len(words) - 1) if k > 0}
+    starts |= {"This software is provided ", "provided " * 40, "Do What The F", "may not be reproduced, copied "}
+    rows = [(i, start + banner + "/") for i, (start, banner) in enumerate((s, b) for s in sorted(starts) for b in banners)]
+    t = time.time()
+    # far more texts than a second each would allow
+    license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).count()
+    assert len(rows) > 2000 and time.time() - t < 240
+
+
+@pytest.mark.parametrize("text", ["provided to you on an \"as is\" basis", "Provided * by the\n * authors and/or others # \"AS IS\"", "provided \"as is\""])
+def test_provided_as_is(spark, text):
+    found = license_scan.matches(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert [r.label for r in found.where("label = 'disclaimer'").collect()] == ["disclaimer"]
