@@ -1,18 +1,18 @@
 """Quality rules with cross-document line frequency (operator 2).
 
 Lines are normalised (lower case, everything but letters as one blank) and hashed.  For each host the distinct documents
-that hold a line are counted (copies of one text count as one document); a line in more than ``MAX_DOCS`` documents of a
-host is boilerplate there and is removed from all of them but the first.  A document that loses most of its words, or
-keeps too few, is depleted and rejected.  Beside that stand surface rules on each document alone.
+that hold a line are counted; a line in more than ``MAX_DOCS`` documents of a host is boilerplate there and is removed
+from all of them.  A document that loses most of its words, or keeps too few, is depleted and rejected.  Beside that
+stand surface rules on each document alone.
 
 DataFrame functions only.  One pass over the texts writes the surface counts and line hashes; counting, joining and the
-verdict work on those.  The count is pre-aggregated on the map side by line and text, and the join of lines with the
-frequent ones is salted, so a line that a third of all documents share is spread over many tasks.
+verdict work on those.  Documents are counted in two steps, by line and document, then by line, and the join of lines
+with the frequent ones is salted by row, so a line that a third of all documents share is spread over many tasks,
+whether these are copies of one text or not.
 
 Edge cases: null and empty texts have no words and fail the surface rules; lines without a letter are never counted;
-a null host is a host of its own; rows that repeat an id and text get equal verdicts (words of a line that such rows
-repeat count for all of them); an empty table gives an empty
-result; only id, text and host are read.
+a null host is a host of its own; rows of one id are one document in the count, rows without an id are documents of their
+own, and every row loses the words of its own lines only; an empty table gives an empty result; only id, text and host are read.
 """
 
 from __future__ import annotations
@@ -82,49 +82,45 @@ def _line(line: Column) -> Column:
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The written table of counts and line hashes, a row for each row of ``docs``."""
+    """The written table of counts and line hashes, a row for each row of ``docs``, with a ``place`` of its own."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
     s = rows.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), surface(F.col("text")).alias("s"))
     return written(s.select("doc_id", "host", "text_hash", "s.w.n_words", "s.w.word_chars", "s.n_symbols", "s.n_dup_lines",
-                            "s.w.n_repeat_words", "s.lines"), "line-counts")
+                            "s.w.n_repeat_words", "s.lines", F.monotonically_increasing_id().alias("place")), "line-counts")
 
 
 def frequent_lines(table: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """``host, h, n_docs, first_doc`` of the lines in more than ``max_docs`` distinct documents of a host."""
-    lines = table.select("host", "doc_id", "text_hash", F.explode("lines").alias("l")).select("host", "doc_id", "text_hash", "l.h")
-    by_text = lines.groupBy("host", "h", "text_hash").agg(F.min("doc_id").alias("first_doc"))
-    return by_text.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("first_doc").alias("first_doc")) \
-        .where(F.col("n_docs") > max_docs)
+    """``host, h, n_docs`` of the lines in more than ``max_docs`` distinct documents of a host."""
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("place")).alias("unnamed")
+    lines = table.select("host", "doc_id", unnamed, F.explode("lines").alias("l")).select("host", "l.h", "doc_id", "unnamed")
+    return lines.distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
 def line_verdicts(table: DataFrame, max_docs: int = MAX_DOCS, least_share: float = LEAST_SHARE,
                   least_words: int = LEAST_WORDS) -> DataFrame:
     """Rows of ``table`` (see :func:`counted`) with ``removed`` (hashes of removed lines), ``n_removed_words``,
     ``base_failed`` and ``kept``."""
-    salted = frequent_lines(table, max_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))) \
-        .withColumnsRenamed({"host": "f_host", "h": "f_h", "salt": "f_salt"})
-    lines = table.select("host", "doc_id", "text_hash", F.explode("lines").alias("l")) \
-        .select("host", "doc_id", "text_hash", "l.h", "l.words", F.pmod("text_hash", F.lit(SALTS)).cast("int").alias("salt"))
-    hit = lines.join(salted, (lines["host"] == salted["f_host"]) & (lines["h"] == salted["f_h"]) & (lines["salt"] == salted["f_salt"])) \
-        .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    lost = hit.groupBy("doc_id", "host", "text_hash").agg(F.sum("words").alias("words"), F.collect_set("h").alias("removed")) \
-        .withColumnsRenamed({"doc_id": "l_id", "host": "l_host", "text_hash": "l_hash"})
-    same = table["doc_id"].eqNullSafe(lost["l_id"]) & (table["host"] == lost["l_host"]) & (table["text_hash"] == lost["l_hash"])
+    salted = frequent_lines(table, max_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n_docs")
+    lines = table.select("host", "place", F.explode("lines").alias("l")) \
+        .select("host", "place", "l.h", "l.words", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int").alias("salt"))
+    lost = lines.join(salted, ["host", "h", "salt"]).groupBy("place").agg(F.sum("words").alias("words"), F.collect_set("h").alias("removed"))
     base_failed = (F.col("n_words") < LEAST_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < least_share * F.col("n_words")) | (left < least_words))
-    return table.join(lost, same, "left").drop("l_id", "l_host", "l_hash", "lines") \
+    return table.join(lost, "place", "left").drop("place", "lines") \
         .withColumn("n_removed_words", F.least("n_words", F.coalesce("words", F.lit(0)))).drop("words") \
         .withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~depleted)
 
 
-def without_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the frequent lines taken out of their texts (rows of one id and text alike)."""
-    gone = verdicts.where(F.col("removed").isNotNull()).select("doc_id", "text_hash", "removed").dropDuplicates(["doc_id", "text_hash"])
-    joined = docs.join(gone.withColumnsRenamed({"doc_id": "g_id", "text_hash": "g_hash", "removed": "g_removed"}),
-                       docs[id_col].eqNullSafe(F.col("g_id")) & (F.xxhash64(docs[text_col]) == F.col("g_hash")), "left")
+def without_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``docs`` with the frequent lines taken out of their texts.  Rows that are alike in id, host and text lose the same
+    lines; a row that differs in one of them loses its own."""
+    gone = verdicts.where(F.col("removed").isNotNull()).select("doc_id", "host", "text_hash", "removed").dropDuplicates(["doc_id", "host", "text_hash"])
+    joined = docs.join(gone.withColumnsRenamed({"doc_id": "g_id", "host": "g_host", "text_hash": "g_hash", "removed": "g_removed"}),
+                       docs[id_col].eqNullSafe(F.col("g_id")) & (F.coalesce(docs[host_col].cast("string"), F.lit("")) == F.col("g_host"))
+                       & (F.xxhash64(docs[text_col]) == F.col("g_hash")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.coalesce(
         ~F.array_contains(F.col("g_removed"), _line(x)["h"]), F.lit(True))), "\n")
     return joined.withColumn(text_col, F.when(F.col("g_removed").isNull(), F.col(text_col)).otherwise(kept)) \
-        .drop("g_id", "g_hash", "g_removed")
+        .drop("g_id", "g_host", "g_hash", "g_removed")

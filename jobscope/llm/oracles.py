@@ -12,11 +12,11 @@ windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times
             FROM (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest([ws[j:j+2] FOR j IN range(1, len(ws) - 1)]) AS g FROM words)),
 repeated AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
              FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE times > 1) GROUP BY doc_id),
-lines AS (SELECT doc_id, host, text, trim(regexp_replace(lower(line), '[^\p{{L}}]+', ' ', 'g')) AS line
-          FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM texts)),
-frequent AS (SELECT host, line, min(doc_id) AS first_doc FROM lines WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT text) > 20),
+lines AS (SELECT doc_id, host, trim(regexp_replace(lower(line), '[^\p{{L}}]+', ' ', 'g')) AS line
+          FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM texts)),
+frequent AS (SELECT host, line FROM lines WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT doc_id) > 20),
 removed AS (SELECT l.doc_id, sum(len(string_split(l.line, ' '))) AS words FROM lines l JOIN frequent f ON f.host = l.host AND f.line = l.line
-            WHERE l.doc_id <> f.first_doc GROUP BY l.doc_id),
+            GROUP BY l.doc_id),
 counts AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
