@@ -4,8 +4,12 @@ A naive Bayes classifier over hashed words, counted from a labelled table (id, d
 shares of the domains.  A document's rate is how often it is to be seen; with rates r, document tokens t and posteriors p
 the expected tokens of domain k are sum(r t p_k).  Nonnegative rates that bring these totals to the targets are found
 by projected gradient steps on the squared gaps, starting at rate 1: in the metric of the token counts a step moves a
-document's rate by the inner product of its posteriors with one vector of K numbers, scaled by the K x K matrix
-sum(t p p'), and cuts it off at 0.
+document's rate by the inner product of its posteriors with one vector of K numbers and cuts it off at 0.  The vector
+is the gaps scaled by the inverse of the K x K matrix sum(t p p') over the documents whose rate is above 0, so a step
+that cuts off nothing new closes the gaps; where it doesn't help, a more cautious one is taken, at last the plain
+gradient.  A fit ends when the worst gap is ``TOLERANCE`` of all target tokens; where targets are out of reach, when no
+step helps or after ``PASSES`` passes.  The gaps that are left are returned, and above ``TOLERATED`` a warning names
+them.
 
 DataFrame functions only.  One pass over the texts writes tokens and posteriors; every gradient step is one aggregation
 of that table to K sums, and the rates are a function of a document's posteriors and the list of step vectors, so no
@@ -13,13 +17,16 @@ state is shuffled or stored between steps.  The labelled sample is at most about
 
 Edge cases: null and empty texts have no tokens and the prior as posteriors; a null domain or one without a target
 teaches nothing; without labelled rows all posteriors are equal; a domain with a target that no text can belong to
-keeps its gap; rows are rated each for itself, so equal rows get equal rates; an empty table gives an empty result;
+keeps its gap; rows are rated each for itself, so rows with equal
+texts get equal rates, whatever their ids, and :func:`mixed` repeats rows of one id alike if their rates are; an empty table gives an empty result;
 only id and text are read for scores, and :func:`mixed` keeps all columns.
 """
 
 from __future__ import annotations
 
 import json
+import warnings
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -34,8 +41,11 @@ SAMPLE_ROWS = 8_000
 SMOOTHING = 0.5
 # Posteriors are softened: a text's evidence counts as that of so many words at most.
 EVIDENCE_WORDS = 40
-STEPS = 40
-TOLERANCE = 1e-6
+# Passes over the table of posteriors that a fit takes at most (targets within reach are met in some ten).
+PASSES = 60
+TOLERANCE = 1e-7
+# Share of all target tokens by which a target may be missed without a word.
+TOLERATED = 1e-4
 
 
 def _constant(value: object, kind: str) -> Column:
@@ -104,33 +114,50 @@ def rate_column(steps: list[list[float]]) -> Column:
         F.lit(0.0), r - reduce(lambda a, b: a + b, [F.get("p", F.lit(j)) * F.get(g, F.lit(j)) for j in range(k)])))
 
 
-def fit_rates(table: DataFrame, targets: list[float]) -> list[list[float]]:
-    """Step vectors whose rates bring the expected tokens by domain to ``targets`` (tokens), as far as they can."""
+@dataclass(frozen=True)
+class Rates:
+    """Step vectors, and by how many tokens the totals exceed the targets after them."""
+
+    steps: list[list[float]]
+    gaps: list[float]
+
+
+def fit_rates(table: DataFrame, targets: list[float]) -> Rates:
+    """Rates that bring the expected tokens by domain to ``targets`` (tokens), as far as they can be."""
     k = len(targets)
-    pair = [F.sum(F.col("tokens") * F.get("p", F.lit(a)) * F.get("p", F.lit(b))) for a in range(k) for b in range(k)]
-    first = table.agg(*[x.alias(f"m{i}") for i, x in enumerate(pair)]).first()
-    m = np.array([x or 0.0 for x in first], dtype=float).reshape(k, k)
+    target, total = np.array(targets, dtype=float), max(float(np.sum(targets)), 1.0)
+
+    def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Gaps, and sum(t p p') over the documents with a rate above 0."""
+        rated = table.select("tokens", "p", rate_column(steps).alias("r"))
+        share = [F.get("p", F.lit(j)) for j in range(k)]
+        parts = [F.sum(F.col("r") * F.col("tokens") * share[j]) for j in range(k)]
+        parts += [F.sum(F.when(F.col("r") > 0, F.col("tokens") * share[a] * share[b])) for a in range(k) for b in range(k)]
+        row = np.array([x or 0.0 for x in rated.agg(*[x.alias(f"s{i}") for i, x in enumerate(parts)]).first()], dtype=float)
+        return row[:k] - target, row[k:].reshape(k, k)
+
+    steps = []
+    gap, m = sums(steps)
     if not m.any():
-        return []
-    metric = np.linalg.inv(m + np.eye(k) * 1e-9 * np.trace(m))
-    target, steps, scale, best = np.array(targets), [], 1.0, np.inf
-    totals = m.sum(axis=1)  # rate 1: the posteriors of a document sum to 1
-    for _ in range(STEPS):
-        gap = totals - target
-        size = float(gap @ metric @ gap)
-        if size > best and steps:  # overshot: take the last step again at half its size
-            scale /= 2
-            steps.pop()
-            gap = kept
+        return Rates(steps, gap.tolist())
+    size = np.trace(m)
+    safe = np.eye(k) / np.linalg.eigvalsh(m).max()
+    passes = 1
+    while passes < PASSES and np.abs(gap).max() > TOLERANCE * total:
+        # from the scaled step to the plain gradient, which always helps while anything can
+        ways = [(np.linalg.inv(m + np.eye(k) * ridge * size), 0.9) for ridge in (1e-9, 1e-2)] + [(safe, 1 - 1e-6)]
+        for metric, enough in ways:
+            step = (metric @ gap).tolist()
+            new_gap, new_m = sums([*steps, step])
+            passes += 1
+            if new_gap @ new_gap < enough * (gap @ gap):
+                steps, gap, m = [*steps, step], new_gap, new_m
+                break
         else:
-            best, kept = size, gap
-        if np.abs(gap).max() <= TOLERANCE * max(target.sum(), 1.0) or scale < 1e-3:
             break
-        steps.append([float(x) for x in scale * (metric @ gap)])
-        rate = rate_column(steps)
-        sums = table.agg(*[F.sum(rate * F.col("tokens") * F.get("p", F.lit(j))).alias(f"s{j}") for j in range(k)]).first()
-        totals = np.array([x or 0.0 for x in sums], dtype=float)
-    return steps
+    if np.abs(gap).max() > TOLERATED * total:
+        warnings.warn(f"targets are out of reach; gaps by domain: {gap.tolist()} of {target.tolist()} tokens", stacklevel=2)
+    return Rates(steps, gap.tolist())
 
 
 def token_targets(table: DataFrame, weights: list[float], never_drop: bool = False) -> list[float]:
@@ -151,7 +178,7 @@ def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     model = fit_domains(docs, labelled, domains, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = written(posteriors(rows, model).drop("text"), "posteriors")
-    steps = fit_rates(table, token_targets(table, [weights[d] for d in domains], never_drop))
+    steps = fit_rates(table, token_targets(table, [weights[d] for d in domains], never_drop)).steps
     best = F.get(_constant(domains, "array<string>"), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
     return table.withColumn("domain", best).withColumn("rate", rate_column(steps))
 
@@ -162,13 +189,13 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_co
     drawn from a hash of the id."""
     domains = sorted(weights)
     model = fit_domains(docs, labelled, domains, id_col, text_col)
-    scored = posteriors(docs.select(F.col(text_col).alias("text")), model)
-    table = written(scored.select("tokens", "p"), "posteriors")
-    steps = fit_rates(table, token_targets(table, [weights[d] for d in domains], never_drop))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                         F.col(text_col).alias("text"))
+    # the rows are written with their posteriors: the texts are scored once, the fit reads two narrow columns
+    table = written(posteriors(packed, model).drop("text"), "posteriors")
+    steps = fit_rates(table.select("tokens", "p"), token_targets(table, [weights[d] for d in domains], never_drop)).steps
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / (1 << 30)
     # a rate that is a whole number but for rounding stays that number
     copies = F.greatest(F.floor(rate_column(steps) + chance + 1e-6).cast("int"), F.lit(int(never_drop)))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
-                         F.col(text_col).alias("text"))
-    rated = posteriors(packed, model).select("row", copies.alias("copies")).where(F.col("copies") > 0)
-    return rated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return table.select("row", copies.alias("copies")).where(F.col("copies") > 0) \
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
