@@ -19,10 +19,10 @@ starts earlier.
     place by place, by the hash of the whole string, and never enters a transform.
 4.  Repeated places become spans by document, and the spans leave the texts.
 
-Edge cases: null and empty texts, and texts shorter than LENGTH, lose nothing; a null id counts as the smallest one; ids
-name documents, so rows that repeat an id are one document: a place repeated in one of them is removed at that place
-from each, and rows with equal text lose nothing to each other; matches never cross documents; an empty table gives
-an empty result; further columns are ignored (:func:`without_repeats` keeps them).
+Edge cases: null and empty texts, and texts shorter than LENGTH, lose nothing; every row is a document of its own, also
+where rows share an id or have none: a null id counts as the smallest one, rows of one id come in the order of the
+table, and the later one loses what it repeats; matches never cross documents; an empty table gives an empty result;
+further columns are ignored (:func:`without_repeats` keeps them).
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import BROADCAST_IDS, id_text, map_batches, ship, text_pieces, written
+from jobscope.llm.common import BROADCAST_IDS, id_text, map_batches, ship, text_pieces, with_row_keys, written
 from jobscope.llm.shingles import mix, prefix_hash, span_hash
 
 LENGTH = 100
@@ -47,7 +47,6 @@ GRAM = 32
 BROADCAST_ENTRIES = 2_000_000
 # Bytes of segments that one transform is built over.
 BUCKET_BYTES = 1 << 20
-NO_ID = -(1 << 63)
 SEGMENT_SCHEMA = "kind int, anchor long, seg long, doc_id long, first int, places int"
 DEALT = ("deal", "doc_id", "first", "places", "content")
 DEALT_SCHEMA = "deal long, seg long, doc_id long, first int, places int, content binary"
@@ -414,15 +413,18 @@ def _cut(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     return kept, len(raw) - len(kept), n
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    texts = id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    return _narrow(repeated_spans(texts, length))
+ROW_KEY = "repeat_row_key"
+
+
+def _keyed_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a key for every row, and the spans by key."""
+    keyed = with_row_keys(docs, id_col, ROW_KEY)
+    spans = _narrow(repeated_spans(id_text(keyed, ROW_KEY, text_col), length))
+    return keyed, spans.withColumnsRenamed({"doc_id": "s_id", "spans": "s_spans"})
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes that are left) for every row."""
-    spans = _with_spans(docs, id_col, text_col, length)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in text_pieces(batches):
             raw = data.tobytes()
@@ -432,18 +434,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                                    pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())],
                                   names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    texts = id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    out = map_batches(texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans"), cut,
-                      "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    keyed, spans = _keyed_spans(narrow, "doc_id", "text", length)
+    return map_batches(keyed.join(spans, F.col(ROW_KEY) == F.col("s_id"), "left").select("doc_id", "text", "s_spans"), cut,
+                       "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes taken out of their texts; what a cut leaves of a character goes with it."""
-    spans = _with_spans(docs, id_col, text_col, length).withColumnsRenamed({"doc_id": "s_id", "spans": "s_spans"})
     names = docs.columns
     at = names.index(text_col)
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,5 +452,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.record_batch(columns, names=names)
 
-    joined = docs.join(spans, key == F.col("s_id"), "left").select(*[docs[c] for c in names], "s_spans")
+    keyed, spans = _keyed_spans(docs, id_col, text_col, length)
+    joined = keyed.join(spans, F.col(ROW_KEY) == F.col("s_id"), "left").select(*[keyed[c] for c in names], "s_spans")
     return map_batches(joined, cut, docs.schema)

@@ -44,6 +44,38 @@ def small_or_shuffled(table: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``rank`` 1, 2, 3... in an order without ties: a range-partitioned sort, written once, and the sizes of
+    the partitions before each (one row a partition)."""
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    dealt = rows.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
+    ids = F.monotonically_increasing_id()  # partition number and place within it
+    dealt = written(dealt.withColumn("part", F.shiftright(ids, 33).cast("int")).withColumn("inside", ids.bitwiseAND((1 << 33) - 1)), name)
+    sizes = {r.part: r.n for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, n = [], 0
+    for p in sorted(sizes):
+        before.append((p, n))
+        n += sizes[p]
+    offsets = rows.sparkSession.createDataFrame(before, "part int, before long")
+    return dealt.join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("inside") + 1).drop("part", "inside", "before")
+
+
+def with_row_keys(docs: DataFrame, id_col: str, key: str) -> DataFrame:
+    """``docs`` with a number ``key`` of its own for every row, in the order of the ids (null first).
+
+    It is the id itself where no row shares or lacks one.  Otherwise the rows are written, so that each has a fixed
+    place, and numbered by id and place.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if ids.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty():
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    place = f"{key}_place"
+    placed = written(docs.withColumn(place, F.monotonically_increasing_id()), "placed-rows")
+    by_id = [F.asc_nulls_first("id"), F.asc(place)]
+    ranks = numbered(placed.select(F.col(id_col).cast("long").alias("id"), place), by_id, "row-keys")
+    return placed.join(ranks.select(place, F.col("rank").alias(key)), place).drop(place)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import CHUNK_BYTES, id_text, map_batches, text_pieces, written
+from jobscope.llm.common import CHUNK_BYTES, id_text, map_batches, numbered, text_pieces, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BUCKETS = 10_000
@@ -133,22 +133,6 @@ def draw_order() -> list[Column]:
     return [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("place")]
 
 
-def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` with ``rank`` 1, 2, 3... in the order of the draw: a range-partitioned sort, written once, and the sizes
-    of the partitions before each (one row a partition)."""
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = rows.repartitionByRange(int(parts), *draw_order()).sortWithinPartitions(*draw_order())
-    ids = F.monotonically_increasing_id()  # partition number and place within it
-    dealt = written(dealt.withColumn("part", F.shiftright(ids, 33).cast("int")).withColumn("inside", ids.bitwiseAND((1 << 33) - 1)), name)
-    sizes = {r.part: r.n for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    before, n = [], 0
-    for p in sorted(sizes):
-        before.append((p, n))
-        n += sizes[p]
-    offsets = rows.sparkSession.createDataFrame(before, "part int, before long")
-    return dealt.join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("inside") + 1).drop("part", "inside", "before")
-
-
 def bracket(rows: DataFrame, n: int, draw: int, error: float = 1e-4) -> tuple[int, int, int]:
     """Scores low and high such that the ``draw``-th highest of ``n`` scores lies between them, and the rows above high.
 
@@ -174,7 +158,7 @@ def cutoff(rows: DataFrame, percent: int) -> tuple[int, int | None, int] | None:
     if not draw:
         return None
     low, high, above = bracket(rows, n, draw)
-    inside = numbered(rows.where(F.col("score").between(low, high)).select("score", "doc_id", "place"), "resampling-bracket")
+    inside = numbered(rows.where(F.col("score").between(low, high)).select("score", "doc_id", "place"), draw_order(), "resampling-bracket")
     last = inside.where(F.col("rank") == draw - above).first()
     return last.score, last.doc_id, last.place
 
@@ -200,5 +184,5 @@ def ranked(table: DataFrame, percent: int = 10, min_words: int = 20) -> DataFram
     """doc_id, n_features, weight, score, rank of every row; the rank of rows that are not drawn is null."""
     marked = resampled(table, percent, min_words)
     columns = ["doc_id", "n_features", "weight", "score"]
-    drawn = numbered(marked.where("drawn").drop("drawn"), "resampling-drawn").select(*columns, F.col("rank").cast("long").alias("rank"))
+    drawn = numbered(marked.where("drawn").drop("drawn"), draw_order(), "resampling-drawn").select(*columns, F.col("rank").cast("long").alias("rank"))
     return marked.where("NOT drawn").select(*columns, F.lit(None).cast("long").alias("rank")).unionByName(drawn)

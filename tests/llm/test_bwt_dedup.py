@@ -125,3 +125,31 @@ def test_edge_cases(edge, empty):
     assert cut.columns == edge.columns and cut.count() == edge.count()
     assert {r.doc_id: r.text for r in cut.collect()}[6] == "" and cut.where("text is null").count() == 1
     assert bwt_dedup.remove_repeats(empty).count() == 0 and bwt_dedup.without_repeats(empty).count() == 0
+
+
+def in_order(rows):
+    """Rows (id, text) as documents of their own, in the order of ids (null first) and of the table."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
+    return [(n, (rows[k][1] or "").encode()) for n, k in enumerate(order)], [rows[k][0] for k in order]
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    r = np.random.default_rng(4)
+    own = lambda n: "".join(chr(97 + x) for x in r.integers(0, 26, n))
+    twice, shared = own(200), own(150)
+    rows = [(1, twice + twice), (1, own(400)), (None, own(300)), (None, shared + own(50)), (None, own(40) + shared), (3, own(120)), (3, None)]
+    for table in (rows, rows + [(None, rows[2][1])], rows + [(1, rows[1][1]), (2, rows[1][1])]):
+        df = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+        got = sorted((x.doc_id or 0, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in bwt_dedup.remove_repeats(df).collect())
+        numbered, ids = in_order(table)
+        want = plain(numbered, 100)
+        assert got == sorted((ids[n] or 0, *want[n]) for n, _ in numbered)
+        clean = sorted((x.doc_id or 0, x.text or "") for x in bwt_dedup.without_repeats(df).collect())
+        assert clean == sorted((ids[n] or 0, want[n][3].decode()) for n, _ in numbered)
+
+
+def test_equal_texts_without_an_id_stay_once(spark):
+    text = "".join(f"piece {k} of it, " for k in range(40))
+    df = spark.createDataFrame([(None, text)] * 5 + [(2, text)], "doc_id long, text string").repartition(3)
+    got = [x.n_removed for x in bwt_dedup.remove_repeats(df).collect()]
+    assert sorted(got) == [0] + [len(text)] * 5
