@@ -9,8 +9,10 @@ A tree over all points of a large table prunes little (counts of long texts crow
 first dealt to buckets by finer groups of the same kind, exactly.  Sets with similarity t or more differ in at most
 d = (1 - t) / t * n shingles, hence in at most d of the groups into which the hash range is cut; of the first d + 1
 groups that hold anything, one is equal in both.  Each set is dealt to the buckets named by those d + 1 groups' whole
-contents: any pair that links meets in a bucket, while texts that merely share a passage hardly ever do.  The number
-of groups follows from the size; a set takes part at its own size's level and, near its upper end, at the next.
+contents: any pair that links meets in a bucket, while texts that merely share a passage hardly ever do.  (A set that
+fills d groups or fewer, which the number of groups makes very rare, is dealt by its first d + 1 shingles as well; all
+groups that a linked pair fills can differ only if both sets are of this kind.)  The number of groups follows from the
+size; a set takes part at its own size's level and, near its upper end, at the next.
 
 1.  Equal sets are one class (their fingerprint); only classes go on.
 2.  Buckets with two classes or more are kept.  Every member is verified against the class of its buckets that shares most
@@ -23,8 +25,8 @@ Every link between different components is looked at, so no link is lost; links
 Hashes have 64 bits: different sets or group contents count as equal with a chance of 2^-64 a pair.
 
 Edge cases: null texts and texts without words have the empty set, and link with nothing; a text with fewer words than
-a shingle has its whole sequence as one; rows that repeat an id are rows of their own and their component is reckoned
-by id; a row without an id is compared like any other, but names no component (null where no member has an id) and is
+a shingle has its whole sequence as one; rows that repeat an id are rows of their own, each in the component
+of its own text; a row without an id is compared like any other, but names no component (null where no member has an id) and is
 never taken out by :func:`one_of_each`; ties don't arise (the smallest id names a component); an empty table gives an empty result; further columns are
 ignored.
 """
@@ -121,12 +123,14 @@ def bucket_keys(h: np.ndarray, t: Fraction) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         contents = np.add.reduceat(h, first)[:need]
         out.append(mix(mix(contents + group[first[:need]] * np.uint64(0xD1B54A32D192ED03)) + tag))
+        if len(first) < need:  # so few that all may differ: then a partner has no more, and both are dealt by shingles too
+            out.append(mix(h[:need] + ~tag))
     return np.concatenate(out)
 
 
 def class_rows(texts: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, fp, text_hash``: size and fingerprint of every text's set (null for the empty set), and the hash that
-    names a text without an id."""
+    """``doc_id, n, fp, text_hash``: size and fingerprint of every text's set (null for the empty set), and the hash of the
+    text, which tells rows of one id apart."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in text_pieces(batches):
             sets = _sets(data, offsets, words)
@@ -134,7 +138,7 @@ def class_rows(texts: DataFrame, words: int) -> DataFrame:
                                    pa.array([fingerprint(h) for h in sets], pa.int64()), piece.column(2)],
                                   names=["doc_id", "n", "fp", "text_hash"])
 
-    return map_batches(texts.withColumn("text_hash", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), rows, CLASS_SCHEMA)
+    return map_batches(texts.withColumn("text_hash", F.xxhash64("text")), rows, CLASS_SCHEMA)
 
 
 def key_rows(texts: DataFrame, t: Fraction, words: int) -> DataFrame:
@@ -390,8 +394,9 @@ def verified(pairs: DataFrame, texts: DataFrame, holders: DataFrame, words: int,
 
 def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, linked`` for every row: the smallest id reachable by links (sets of shingles of
-    ``words`` words with a Jaccard similarity of ``percent`` / 100 or more), and whether it has another member."""
+    """``doc_id, n_shingles, component_id, linked, text_hash`` for every row: the smallest id reachable by links (sets of
+    shingles of ``words`` words with a Jaccard similarity of ``percent`` / 100 or more), whether it has another member,
+    and the hash of its text."""
     t = Fraction(percent, 100)
     texts = id_text(docs, id_col, text_col)
     classes = written(class_rows(texts, words), "classes")
@@ -429,18 +434,21 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
         .join(one, F.col("b") == F.col("end"), "left").select("a", F.coalesce("label", "b").alias("b"))
     final = components(joined).select(F.col("v").alias("label"), F.col("label").alias("last"))
 
-    labelled = classes.select("doc_id", "n", "fp").join(first.withColumnRenamed("v", "fp"), "fp", "left") \
+    labelled = classes.select("doc_id", "n", "fp", "text_hash").join(first.withColumnRenamed("v", "fp"), "fp", "left") \
         .withColumn("label", F.coalesce("label", "fp")).join(final, "label", "left").withColumn("label", F.coalesce("last", "label")) \
         .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).drop("last")
     smallest = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")) \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return labelled.join(smallest, ["label", "salt"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        (F.coalesce("members", F.lit(1)) > 1).alias("linked"))
+        (F.coalesce("members", F.lit(1)) > 1).alias("linked"), "text_hash")
 
 
 def one_of_each(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that have a smaller id in their component."""
+    """``docs`` without the rows that have a smaller id in their component.  A row is named by id and text: where rows
+    share an id, each goes or stays by its own text."""
     found = similar_components(docs, percent, words, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(small_or_shuffled(written(gone, "gone")), id_col, "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    text_hash = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(small_or_shuffled(written(gone.distinct(), "gone")),
+                     (docs[id_col].cast("long") == F.col("gone_id")) & (text_hash == F.col("gone_hash")), "left_anti")

@@ -72,6 +72,21 @@ def test_similar_sets_meet_in_a_bucket(n, seed, t):
         assert set(rtree_join.bucket_keys(a, t)) & set(rtree_join.bucket_keys(b, t))
 
 
+@pytest.mark.parametrize("cuts", [1, 2, 5])
+def test_sets_that_fill_too_few_groups_meet_by_their_shingles(monkeypatch, cuts):
+    monkeypatch.setattr(rtree_join, "cuts_of", lambda level, t: cuts)
+    r, t, met = np.random.default_rng(cuts), Fraction(80, 100), 0
+    for _ in range(200):
+        a = np.unique(r.integers(0, 2**63, r.integers(20, 90), dtype=np.uint64) * np.uint64(2))
+        b = np.concatenate([r.permutation(a)[r.integers(0, 12):], r.integers(0, 2**63, r.integers(0, 9), dtype=np.uint64)])
+        b = np.unique(b)
+        shared = len(np.intersect1d(a, b))
+        if shared >= t * (len(a) + len(b) - shared):
+            met += 1
+            assert set(rtree_join.bucket_keys(a, t)) & set(rtree_join.bucket_keys(b, t))
+    assert met > 50
+
+
 @pytest.mark.parametrize("size", [1, 31, 33, 500, 3000])
 def test_tree_search_equals_the_bound_on_every_point(size):
     r = np.random.default_rng(size)
@@ -128,3 +143,11 @@ def test_keys_of_a_class_are_dealt_once_a_task(spark):
                                   "doc_id long, text string").repartition(3)
     got = rtree_join.key_rows(table, Fraction(85, 100), 4).groupBy("key", "fp").count().collect()
     assert len({r.fp for r in got}) == 2 and max(r["count"] for r in got) <= 3
+
+
+def test_rows_that_share_an_id_go_by_their_own_text(spark):
+    base = [f"word{i}" for i in range(60)]
+    near = " ".join(base[:-1] + ["edited"])
+    rows = [(1, " ".join(base)), (5, near), (5, "a text that stands nowhere else " * 4), (5, None), (6, near), (None, " ".join(base)), (7, None)]
+    kept = rtree_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [rows[0], rows[2], rows[3], rows[5], rows[6]]))
