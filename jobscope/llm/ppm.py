@@ -13,19 +13,21 @@ context is that of its longer one alone, and every prediction is a sum of precom
 
 Training counts (ORDER + 1)-grams, and words for the baseline, in one pass: map tasks emit what they gathered, Spark
 sums it.  Contexts of up to two bytes are at most 2^24 entries.  The longer ones are dealt by a hash of their last three
-bytes into as many shards of about ``SHARD_ENTRIES`` entries as the counts need, so that what a task holds is bounded,
-whatever the corpus; every position belongs to one shard, and a text's parts are summed.
+bytes into as many shards of about ``SHARD_ENTRIES`` entries as the counts need.  One shard's counts at a time pass through
+the driver to the tasks and are let go when its part of the scores is written, so what the driver and a task hold is
+bounded, whatever the corpus; every position belongs to one shard, and a text's parts are summed.
 
 The unigram baseline knows the most frequent ``HEAD_WORDS`` words in every task; all others are shuffled, as words with
 their counts per text, and joined with the table of counts.
 
 Edge cases: null is the empty text, which still ends (one token, one byte); rows that repeat id and text are scored
-alike; without training rows every byte has a chance of 1/256 and no word is known; an empty table gives an empty
+alike; a NUL byte in a text is the same sign as the text's end and the bytes before its beginning; without training rows every byte has a chance of 1/256 and no word is known; an empty table gives an empty
 result; only id and text are read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -38,7 +40,9 @@ from pyspark.sql import functions as F
 from jobscope.llm.common import id_text, map_batches, text_pieces, written
 
 ORDER = 4
-SHARD_ENTRIES = 4_000_000
+SHARD_ENTRIES = 2_000_000
+# Odd multiplier that spreads contexts over shards.
+SPREAD = 0x9E3779B1
 HEAD_WORDS = 150_000
 # Words that a map task gathers before it hands them on.
 FLUSH_WORDS = 400_000
@@ -276,19 +280,25 @@ def _numbers(counts: DataFrame, key: Column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shard(key: Column, shards: int) -> Column:
+    """The shard of a context's last three bytes; the same in Spark and in :func:`_own`."""
     last_three = F.shiftright(key, 8).bitwiseAND(F.lit(0xFFFFFF))
-    return F.pmod(F.xxhash64(last_three), F.lit(shards))
+    return F.shiftright((last_three * SPREAD).bitwiseAND(F.lit(0xFFFFFFFF)), 8) % shards
 
 
-def _score_shard(texts: DataFrame, levels_of: tuple, shard: int, shards: int, head: dict[bytes, float] | None,
-                 members: np.ndarray | None) -> DataFrame:
-    """Parts of every text's score: the positions of one shard of contexts, and (with ``head``) the words."""
+def _own(grams: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    last_three = grams >> np.uint64(8) & np.uint64(0xFFFFFF)
+    return ((last_three * np.uint64(SPREAD) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)) % np.uint64(shards) == np.uint64(shard)
+
+
+def _score_shard(texts: DataFrame, levels_of: tuple, shard: int, shards: int, head: dict[bytes, float] | None) -> DataFrame:
+    """The written parts of every text's score: the positions of one shard of contexts, and (with ``head``) the words.
+    The shard's counts are let go when its part is written."""
     context = texts.sparkSession.sparkContext
-    shared = context.broadcast((levels_of, head, members))
-    key = (context.applicationId, shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") else id(shared))
+    shared = context.broadcast((levels_of, head))
+    key = (context.applicationId, shard, uuid.uuid4().hex)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known, own = shared.value
+        counts, known = shared.value
         trie = _TRIES.get(key)
         if trie is None:
             _TRIES.clear()
@@ -298,8 +308,8 @@ def _score_shard(texts: DataFrame, levels_of: tuple, shard: int, shards: int, he
             buffer, starts, stops = _padded(raw, offsets)
             grams = _grams(buffer)
             inside = _within(len(buffer), starts, stops)
-            if own is not None:  # other shards' contexts
-                inside &= own[(grams >> np.uint64(8) & np.uint64(0xFFFFFF)).astype(np.int64)]
+            if shards > 1:
+                inside &= _own(grams, shard, shards)
             logs = np.zeros(len(buffer) + 1)
             logs[:-1][inside] = trie.log10(grams[inside])
             bounds = np.stack([starts, stops + 1], axis=1).ravel()
@@ -313,7 +323,9 @@ def _score_shard(texts: DataFrame, levels_of: tuple, shard: int, shards: int, he
                  pa.array(tail_n, pa.int64()), pa.array(tail, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())])))],
                 names=["doc_id", "text_hash", "shard", "bytes_log10", "n_tokens", "head_sum", "head_known", "tail_tokens", "tail"])
 
-    return map_batches(texts.withColumn("text_hash", F.xxhash64("text")), parts, PART_SCHEMA)
+    part = written(map_batches(texts.withColumn("text_hash", F.xxhash64("text")), parts, PART_SCHEMA), "ppm-parts")
+    shared.destroy()
+    return part
 
 
 def _word_part(text: bytes, known: dict[bytes, float]) -> tuple:
@@ -355,18 +367,11 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
 
     shards = -(-grams.count() // SHARD_ENTRIES) or 1
     short = _numbers(grams, F.col("gram").bitwiseAND(F.lit(0xFFFFFF)))
-    parts = None
+    table = None
     for shard in range(shards):
         own = grams if shards == 1 else grams.where(_shard(F.col("gram"), shards) == shard)
-        members = None
-        if shards > 1:
-            members = np.zeros(1 << 24, bool)
-            got = texts.sparkSession.range(1 << 24).where(F.pmod(F.xxhash64("id"), F.lit(shards)) == shard).toPandas()
-            members[got["id"].to_numpy()] = True
-        full = _numbers(own, F.col("gram"))
-        part = _score_shard(texts, (short, full), shard, shards, head if shard == 0 else None, members)
-        parts = part if parts is None else parts.unionByName(part)
-    table = written(parts, "ppm-parts")
+        part = _score_shard(texts, (short, _numbers(own, F.col("gram"))), shard, shards, head if shard == 0 else None)
+        table = part if table is None else table.unionByName(part)
 
     # rows that repeat id and text have equal parts: one of them stands for all
     once = table.groupBy("doc_id", "text_hash", "shard").agg(
