@@ -394,10 +394,9 @@ def a18(spark, sf):
 # ---- S --------------------------------------------------------------------------------------------
 def s02(spark, sf):
     mon = fixtures.load(spark, sf)
-    src = scratch_path(spark, "stream-src")
-    S.split_for_stream(mon.measurements, src, "recordid", 4)
-    gated = S.quality_gate_stream(S.read_measurement_stream(spark, src, files_per_trigger=1), mon.watcher)
-    return S.run_to_table(gated, "quality-gate").select("recordid", "watcherid", "jobid", "stepid")
+    gated = S.replay_to_table(mon.measurements, "recordid", 4,
+                              lambda path: S.quality_gate_stream(S.read_measurement_stream(spark, path), mon.watcher), "quality-gate")
+    return gated.select("recordid", "watcherid", "jobid", "stepid")
 
 
 def s03(spark, sf):

@@ -8,14 +8,16 @@
   processed in record-id order.  Equal to the batch closed form (A7) when
   records arrive in order.
 * S3: insert-ignore sets (applications, CPU availability) -> ``dropDuplicates``.
-* S4/S5: every micro-batch re-runs the period analysis and overwrites the
-  period's partition (A17); progress lives in the checkpoint location.
-* S6: an optional watermark expires the state of keys that stopped reporting.
+* S4: :mod:`jobscope.streaming.growing` takes in only a batch's new records;
+  :func:`publish_stream` overwrites the period's partition (A17).
+* S5: :mod:`jobscope.state.rounds` keeps the high-water marks.
+* S6: :mod:`jobscope.streaming.gate` expires the state of steps that stopped
+  reporting by timers on event time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobscope.plans.joins import broadcast_if_small
-from jobscope.session import ensure_checkpoint_dir
+from jobscope.plans.materialize import scratch_path
 from jobscope.sources.ingest import watcher_registry_columns
 
 MEASUREMENT_SCHEMA = T.StructType([
@@ -110,28 +112,42 @@ def run_to_table(df: DataFrame, name: str, trigger_available_now: bool = True) -
     """Run a streaming frame to completion into Parquet under the checkpoint
     folder (checkpoint location next to it) and read the result back."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    import uuid
-    tag = uuid.uuid4().hex[:12]
-    out, ckpt = f"{base}/jobscope/stream-{name}-{tag}", f"{base}/jobscope/stream-{name}-{tag}-ckpt"
-    w = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append")
+    out = scratch_path(spark, f"stream-{name}")
+    w = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-ckpt").outputMode("append")
     q = (w.trigger(availableNow=True) if trigger_available_now else w).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
-def split_for_stream(df: DataFrame, path: str, order_col: str, pieces: int) -> str:
-    """Write ``df`` as ``pieces`` successive files in ``order_col`` order, so a
-    file stream with one file per trigger replays the records in order."""
-    bounds = df.select(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = int(bounds["lo"]), int(bounds["hi"])
-    step = max(1, (hi - lo + pieces) // pieces)
-    for i in range(pieces):
-        a, b = lo + i * step, lo + (i + 1) * step
-        part = df.where((F.col(order_col) >= a) & (F.col(order_col) < b)) if i < pieces - 1 \
-            else df.where(F.col(order_col) >= a)
-        part.coalesce(1).sortWithinPartitions(order_col).write.mode("append").parquet(path)
-    return path
+def piece_bounds(df: DataFrame, order_col: str, pieces: int) -> list[tuple[int, int]]:
+    """``pieces`` ranges (from, to] of ``order_col`` that cover it."""
+    ends = df.select(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    lo, hi = int(ends["lo"] or 0) - 1, int(ends["hi"] or 0)
+    cuts = [lo + (hi - lo) * i // pieces for i in range(pieces + 1)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def replay(df: DataFrame, order_col: str, pieces: int, run: Callable[[str], None], name: str = "replay") -> None:
+    """Let the records of ``df`` arrive piece by piece in ``order_col`` order: each piece is written by as many tasks as it
+    takes, into one folder, and ``run(folder)`` then runs a stream over it to its end (one trigger a piece)."""
+    path = scratch_path(df.sparkSession, name)
+    for lo, hi in piece_bounds(df, order_col, pieces):
+        df.where((F.col(order_col) > lo) & (F.col(order_col) <= hi)).write.mode("append").parquet(path)
+        run(path)
+
+
+def replay_to_table(df: DataFrame, order_col: str, pieces: int, stream: Callable[[str], DataFrame], name: str) -> DataFrame:
+    """The result of ``stream(folder)`` over records that arrive piece by piece."""
+    spark = df.sparkSession
+    out, schema = scratch_path(spark, f"stream-{name}"), []
+
+    def run(path: str) -> None:
+        frame = stream(path)
+        schema.append(frame.schema)
+        frame.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-ckpt") \
+            .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    replay(df, order_col, pieces, run, name)
+    return spark.read.schema(schema[0]).parquet(out)
 
 
 def publish_stream(stream: DataFrame, analyse, sink_path: str, checkpoint: str):

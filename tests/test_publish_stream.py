@@ -50,15 +50,14 @@ def test_ranges_and_backfill(spark):
 
 def test_stream_publication_each_batch(spark):
     mon = fixtures.load(spark, SF_SMALL)
-    src = scratch_path(spark, "t-src")
-    S.split_for_stream(mon.measurements, src, "recordid", 2)
     sink, ckpt = scratch_path(spark, "t-sink"), scratch_path(spark, "t-ckpt")
 
     def analyse(batch, epoch_id):
         return batch.groupBy("jobid").agg(F.max("recordid").alias("latest")).withColumn("period", F.lit(1))
 
-    q = S.publish_stream(S.read_measurement_stream(spark, src, files_per_trigger=1), analyse, sink, ckpt) \
-         .trigger(availableNow=True).start()
-    q.awaitTermination()
+    def run(path):
+        S.publish_stream(S.read_measurement_stream(spark, path), analyse, sink, ckpt).trigger(availableNow=True).start().awaitTermination()
+
+    S.replay(mon.measurements, "recordid", 2, run)
     out = spark.read.parquet(sink)
     assert out.select("period").distinct().count() == 1 and out.count() > 0

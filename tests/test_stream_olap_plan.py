@@ -4,7 +4,6 @@ from conftest import SF_SMALL
 from jobscope import fixtures
 from jobscope.operators import olap
 from jobscope.operators.core import half_period, Analysis
-from jobscope.plans.materialize import scratch_path
 from jobscope.queries import analysis
 from jobscope.sources import ingest as A
 from jobscope.streaming import stream as S
@@ -12,10 +11,9 @@ from jobscope.streaming import stream as S
 
 def test_stream_gate_equals_batch(spark):
     mon = fixtures.load(spark, SF_SMALL)
-    src = scratch_path(spark, "test-stream")
-    S.split_for_stream(mon.measurements, src, "recordid", 3)
-    st = S.quality_gate_stream(S.read_measurement_stream(spark, src, files_per_trigger=1), mon.watcher)
-    got = sorted(r.recordid for r in S.run_to_table(st, "t-gate").collect())
+    gated = S.replay_to_table(mon.measurements, "recordid", 3,
+                              lambda path: S.quality_gate_stream(S.read_measurement_stream(spark, path), mon.watcher), "t-gate")
+    got = sorted(r.recordid for r in gated.collect())
     want = sorted(r.recordid for r in A.quality_gate(mon.measurements, mon.watcher).collect())
     assert got == want and len(got) > 0
 
