@@ -15,8 +15,8 @@ groups that a linked pair fills can differ only if both sets are of this kind.)
 size; a set takes part at its own size's level and, near its upper end, at the next.
 
 1.  Equal sets are one class (their fingerprint); only classes go on.
-2.  Buckets with two classes or more are kept.  Every member is verified against the class of its buckets that shares most
-    buckets with others, and links give a first division into components.  Large groups of near copies, which are edited
+2.  Buckets with two classes or more are kept.  Every member whose point leaves room for it is verified against the class
+    of its buckets that shares most buckets with others, and links give a first division into components.  Large groups of near copies, which are edited
     from one text, are joined here, in linear work.
 3.  Buckets that still hold several components are searched with the R-tree, in pairs of blocks of bounded size, for
     pairs of different components; survivors are verified.  With their links the components are final.
@@ -57,15 +57,15 @@ LEVEL_RATIO = 1.5
 BLOCK_ROWS = 1024
 # Rows of buckets that one call searches, about.
 CALL_ROWS = 1 << 15
-# Sets that one call verifies, about, and sets of a block of a family.
-CALL_SETS = 4096
-FAMILY_ROWS = 512
+# Bytes of sets (8 a shingle) that one call verifies, about, and those of a block of a family.
+CALL_BYTES = 16 << 20
+FAMILY_BYTES = 2 << 20
 # Classes up to which a task remembers those whose buckets it has dealt.
 SEEN_CLASSES = 1 << 19
 SALTS = 16
-CLASS_SCHEMA = "doc_id long, n long, fp long, text_hash long"
+CLASS_SCHEMA = "doc_id long, n long, fp long, text_hash long, point binary"
 KEY_SCHEMA = "key long, fp long"
-SET_SCHEMA = "fp long, n long, point binary, h binary"
+SET_SCHEMA = "fp long, h binary"
 
 
 # ---------------------------------------------------------------- buckets
@@ -129,14 +129,15 @@ def bucket_keys(h: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def class_rows(texts: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, fp, text_hash``: size and fingerprint of every text's set (null for the empty set), and the hash of the
-    text, which tells rows of one id apart."""
+    """``doc_id, n, fp, text_hash, point``: size and fingerprint of every text's set (null for the empty set), the hash of
+    the text, which tells rows of one id apart, and the set's counts by group."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in text_pieces(batches):
             sets = _sets(data, offsets, words)
             yield pa.record_batch([piece.column(0), pa.array([len(h) for h in sets], pa.int64()),
-                                   pa.array([fingerprint(h) for h in sets], pa.int64()), piece.column(2)],
-                                  names=["doc_id", "n", "fp", "text_hash"])
+                                   pa.array([fingerprint(h) for h in sets], pa.int64()), piece.column(2),
+                                   pa.array([packed(points(h)) if len(h) else None for h in sets], pa.binary())],
+                                  names=["doc_id", "n", "fp", "text_hash", "point"])
 
     return map_batches(texts.withColumn("text_hash", F.xxhash64("text")), rows, CLASS_SCHEMA)
 
@@ -313,7 +314,7 @@ def search_pairs(members: DataFrame, t: Fraction) -> DataFrame:
     ship(members.sparkSession)
     size = members.groupBy("low").agg(F.ceil(F.count_distinct("fp") / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = written(
-        members.join(size, "low").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        _salted(members, size, "low", "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         .select("key", "low", "i", "j", "block", "fp", "comp", "n", "point"), "members")
@@ -324,23 +325,45 @@ def search_pairs(members: DataFrame, t: Fraction) -> DataFrame:
         own, first = np.unique(a, return_index=True)
         return pd.DataFrame({"a": own, "others": pd.Series([x.tolist() for x in np.split(b, first[1:])] if len(own) else [], dtype=object)})
 
-    # a class's partners travel as one row a call; calls that share a pair agree on it before it is listed
+    # several calls may find a pair
     return dealt.groupBy(F.pmod(F.xxhash64("low", "i", "j"), F.lit(calls)).alias("call")) \
-        .applyInPandas(search, "a long, others array<long>") \
-        .groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")) \
-        .select("a", F.explode("others").alias("b"))
+        .applyInPandas(search, "a long, others array<long>").select("a", F.explode("others").alias("b")).distinct()
+
+
+def _salted(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key), a key's rows dealt to SALTS tasks by their column ``by``."""
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [key, "salt"]).drop("salt")
+
+
+def bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """Those ``pairs`` (``family, a, b``) whose counts by group leave room for a similarity of ``t``: a check of 128 numbers
+    each, before any set is sent.  Many pairs may have one ``a``."""
+    ends = classes.select("fp", "n", "point")
+    with_b = pairs.join(ends.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
+    with_a = _salted(with_b, ends.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
+                     .join(pairs.select("a").distinct(), "a", "left_semi"), "a", "b")
+
+    def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = batch["na"].to_numpy().astype(np.int64), batch["nb"].to_numpy().astype(np.int64)
+            shared = np.minimum(unpacked(batch["pa"].to_pylist()), unpacked(batch["pb"].to_pylist())).sum(axis=1, dtype=np.int64)
+            fits = shared * (t.numerator + t.denominator) >= t.numerator * (na + nb)
+            yield batch.select(["family", "a", "b"]).filter(pa.array(fits))
+
+    return map_batches(with_a.select("family", "a", "b", "na", "nb", "pa", "pb"), room, "family long, a long, b long")
 
 
 def set_rows(texts: DataFrame, words: int) -> DataFrame:
-    """``fp, n, point, h``: point and whole set (sorted 64-bit hashes) of each text (``fp, text``) with that fingerprint."""
+    """``fp, h``: the whole set (sorted 64-bit hashes) of each text (``fp, text``) with that fingerprint."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in text_pieces(batches):
             # an id may have another text in another row
             sets = [(fp, h) for fp, h in zip(piece.column(0).to_pylist(), _sets(data, offsets, words)) if fp == fingerprint(h)]
-            yield pa.record_batch(
-                [pa.array([fp for fp, _ in sets], pa.int64()), pa.array([len(h) for _, h in sets], pa.int64()),
-                 pa.array([packed(points(h)) for _, h in sets], pa.binary()),
-                 pa.array([h.astype("<u8").tobytes() for _, h in sets], pa.binary())], names=["fp", "n", "point", "h"])
+            yield pa.record_batch([pa.array([fp for fp, _ in sets], pa.int64()),
+                                   pa.array([h.astype("<u8").tobytes() for _, h in sets], pa.binary())], names=["fp", "h"])
 
     return map_batches(texts, rows, SET_SCHEMA)
 
@@ -348,7 +371,7 @@ def set_rows(texts: DataFrame, words: int) -> DataFrame:
 def sets_of(texts: DataFrame, holders: DataFrame, words: int) -> DataFrame:
     """Sets of the classes in ``holders`` (``fp, doc_id, text_hash``: a document of each, by its text where no member has an
     id), from the texts: they are never written."""
-    holders = written(holders, "holders")
+    holders = written(holders.select("fp", "doc_id", "text_hash"), "holders")
     found = texts.join(small_or_shuffled(holders.where(F.col("doc_id").isNotNull()).select("fp", "doc_id")), "doc_id").select("fp", "text")
     unnamed = holders.where(F.col("doc_id").isNull()).select("fp", "text_hash")
     if not unnamed.isEmpty():
@@ -361,18 +384,19 @@ def verified(pairs: DataFrame, texts: DataFrame, holders: DataFrame, words: int,
     """Those ``pairs`` (``family, a, b``) whose sets have a similarity of ``t`` or more, as ``a, b``.
 
     The pairs of a family are verified together.  A set travels once to each call that needs it, not once a pair;
-    families above FAMILY_ROWS are cut into blocks, and many small ones share a call.
+    families whose sets have more than FAMILY_BYTES are cut into blocks, and small ones share a call of about CALL_BYTES.
     """
     ship(pairs.sparkSession)
     pairs = written(pairs, "pairs")
+    sizes = holders.select("fp", (F.col("n") * 8).alias("bytes"))
     ends = pairs.select("family", F.col("a").alias("fp")).union(pairs.select("family", F.col("b").alias("fp"))).distinct()
-    size = ends.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
+    blocks = ends.join(sizes, "fp").groupBy("family").agg(F.ceil(F.sum("bytes") / FAMILY_BYTES).cast("int").alias("blocks"))
     block_a, block_b = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))
-    dealt = written(pairs.join(size, "family").select("a", "b", F.xxhash64(
+    dealt = written(_salted(pairs, blocks, "family", "b").select("a", "b", F.xxhash64(
         "family", F.least(block_a, block_b), F.greatest(block_a, block_b)).alias("place")), "dealt-pairs")
     need = dealt.select("place", F.col("a").alias("fp")).union(dealt.select("place", F.col("b").alias("fp"))).distinct()
-    need = written(need, "needed-sets")
-    calls = -(-need.count() // CALL_SETS) or 1
+    need = written(need.join(sizes, "fp"), "needed-sets")
+    calls = -(-(need.agg(F.sum("bytes")).first()[0] or 0) // CALL_BYTES) or 1
     call = F.pmod(F.xxhash64("place"), F.lit(calls)).alias("call")
     sets = sets_of(texts, holders.join(need.select("fp").distinct(), "fp", "left_semi"), words)
     sent = sets.join(small_or_shuffled(written(need.select("fp", call).distinct(), "set-calls")), "fp").select("call", "fp", "h")
@@ -405,7 +429,8 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
 
     # one document of each class in a shared bucket holds its set
     holders = written(classes.join(buckets.select("fp").distinct(), "fp", "left_semi")
-                      .groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")), "holders")
+                      .groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"),
+                                         F.any_value("n").alias("n"), F.any_value("point").alias("point")), "holders")
 
     # each member against one other class: that of its buckets' members which shares most buckets.  What others
     # are edited from shares more with each of them than they share among themselves.
@@ -415,7 +440,7 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     stars = known.join(hub, "key").where(F.col("fp") != F.col("hub.fp")) \
         .groupBy(F.col("fp").alias("b")).agg(F.max("hub").alias("hub")) \
         .select(F.col("hub.fp").alias("a"), "b", F.col("hub.fp").alias("family"))
-    links = written(verified(stars, texts, holders, words, t), "links")
+    links = written(verified(bounded(stars, holders, t), texts, holders, words, t), "links")
     first = components(links)
 
     # buckets that still hold several components
@@ -423,9 +448,7 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
         .select("key", "low", "fp", F.coalesce("label", "fp").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1"))
     members = placed.join(mixed.select("key"), "key", "left_semi")
-    asked = holders.join(members.select("fp").distinct(), "fp", "left_semi")
-    points_of = written(sets_of(texts, asked, words).select("fp", "n", "point"), "points").dropDuplicates(["fp"])
-    members = members.join(points_of, "fp")
+    members = members.join(holders.select("fp", "n", "point"), "fp")
     pairs = search_pairs(members, t).select(F.col("a").alias("family"), "a", "b")
     more = written(verified(pairs, texts, holders, words, t), "links")
     # the new links join whole components: only those are labelled again

@@ -44,8 +44,8 @@ def test_components_equal_those_of_all_pairs(spark, docs):
 def test_chains_and_hot_groups_of_near_copies(spark, monkeypatch):
     """Texts that each differ a little from the one before: chains, with blocks and hubs far below the group's size."""
     monkeypatch.setattr(rtree_join, "BLOCK_ROWS", 4)
-    monkeypatch.setattr(rtree_join, "FAMILY_ROWS", 5)
-    monkeypatch.setattr(rtree_join, "CALL_SETS", 7)
+    monkeypatch.setattr(rtree_join, "FAMILY_BYTES", 3000)
+    monkeypatch.setattr(rtree_join, "CALL_BYTES", 5000)
     monkeypatch.setattr(rtree_join, "CALL_ROWS", 50)
     r = np.random.default_rng(5)
     rows, words = [], [f"w{i}" for i in r.integers(0, 400, 80)]
