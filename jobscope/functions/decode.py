@@ -56,7 +56,7 @@ aggregate(
 
 
 def hostlist_array(col: str) -> Column:
-    """``c-0-[29-30,32],c-1-[02-04]`` -> array of node names.
+    """``rack7-n[08-11],login3`` -> array of node names.
 
     Zero padding follows the width of each range start; a reversed range is
     swapped; several brackets in one host give the cross product."""

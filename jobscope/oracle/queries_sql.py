@@ -11,9 +11,11 @@ def _dict_values() -> str:
     return f"(VALUES {rows}) AS d(tag, problem, analysis, solution_type, severity)"
 
 
-GPU_TAG = """CASE WHEN zero_util_cnt = measurement_cnt THEN 'completely_no_util' ELSE rtrim(
-  CASE WHEN longest_continuous_zero_util >= measurement_cnt * 0.25 THEN 'try_split | ' ELSE '' END
-  || CASE WHEN low_util_cnt + zero_util_cnt >= 0.9 * measurement_cnt THEN 'investigate_usage' ELSE '' END, '| ') END"""
+# A GPU row's tags, in order, those that hold joined.
+GPU_TAG = """CASE WHEN zero_util_cnt < measurement_cnt THEN array_to_string(list_transform(list_filter([
+    ('try_split', 4 * longest_continuous_zero_util >= measurement_cnt),
+    ('investigate_usage', 10 * (zero_util_cnt + low_util_cnt) >= 9 * measurement_cnt)], lambda x: coalesce(x[2], false)), lambda x: x[1]), ' | ')
+  ELSE 'completely_no_util' END"""
 
 REPORT_CTES = f"""
 e02 AS (SELECT *, {GPU_TAG} AS problem_tag FROM gpu_usage WHERE is_new_in_period),
@@ -106,7 +108,7 @@ ORACLES: dict[str, str] = {
         tot_in_batch, sys_ratio_1_10, sys_ratio_1_3, sys_ratio_2_3, round(sys_ratio_gt_1, 6) AS sys_ratio_gt_1,
         round(major_ratio_unified_tot, 6) AS major_ratio_unified_tot FROM sys_ratio"""),
     "d12_gpu_idle_segments": _r("""SELECT batch, pid, jobid, stepid, gpuid, util, age, measurement_batch,
-        CAST(segment_breaker AS BIGINT) AS segment_breaker, CAST(zero_segment_length AS BIGINT) AS zero_segment_length
+        CAST(zero_segment_length AS BIGINT) AS zero_segment_length
         FROM gf3"""),
     "d13_gpu_usage": _r("""SELECT "user", jobid, stepid, is_new_in_period, name, target_node, gpuid_raw, gpuid,
         submit_line, measurement_cnt, round(avg_util, 6) AS avg_util, zero_util_cnt, low_util_cnt,

@@ -58,7 +58,7 @@ REGISTRY: dict[str, Query] = {
     "d08_timeseries": _q(lambda a, s: a.timeseries.select(*TS_COLS)),
     "d10_sys_ratio": _q(lambda a, s: a.sys_ratio),
     "d12_gpu_idle_segments": _q(lambda a, s: a.gpu_flagged.select(
-        "batch", "pid", "jobid", "stepid", "gpuid", "util", "age", "measurement_batch", "segment_breaker",
+        "batch", "pid", "jobid", "stepid", "gpuid", "util", "age", "measurement_batch",
         "zero_segment_length")),
     "d13_gpu_usage": _q(lambda a, s: a.gpu_usage),
     "d16_gpucpu_usage": _q(lambda a, s: a.gpucpu_usage),
