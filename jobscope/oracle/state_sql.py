@@ -76,6 +76,8 @@ _SCRAPED = ORACLES_OPS["a03_scrape_measurements"]
 
 ORACLES_STATE = {
     "a02_import_rounds": "WITH " + FIXTURE_CTES.strip().rstrip(",") + _IMPORTS.replace("ACCOUNTED", _ACCOUNTED).replace("SCRAPED", _SCRAPED),
+    "s01_envelope_applications": ORACLES_OPS["a05_application_usage"], "s01_envelope_cpus": ORACLES_OPS["a06_cpu_available"],
+    "s01_envelope_gpu": ORACLES_OPS["a04_scrape_gpu_measurements"], "s01_envelope_measurements": _SCRAPED,
     "s03_registry_upserts": ORACLES_OPS["a09_watcher_registry"],
     "s04_growing_gpu_usage": _grown("SELECT * REPLACE (round(avg_util, 6) AS avg_util, round(avg_clock, 6) AS avg_clock, "
                                     "round(avg_power_usage, 6) AS avg_power_usage, round(avg_temperature, 6) AS avg_temperature) FROM gpu_usage"),

@@ -16,6 +16,7 @@ from jobscope.sources import derived as D
 from jobscope.sources import ingest as A
 from jobscope.sources import publish as P
 from jobscope.state import registry as G
+from jobscope.state.envelopes import EnvelopeTables, run_envelopes
 from jobscope.state.imports import MeasurementStore
 from jobscope.state.rounds import HighWaterMarks, Round, in_range
 from jobscope.streaming import stream as S
@@ -107,6 +108,21 @@ def a02_rounds(spark, sf):
                                "gpu_measurement_batch")
 
 
+# ---- S1: envelopes into four tables
+def _envelope_table(name: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        envelopes = D.envelopes(spark, sf)
+        path = scratch_path(spark, "envelopes")
+        tables = EnvelopeTables(spark, path)
+
+        def take_in(folder: str) -> None:
+            run_envelopes(spark.readStream.schema(envelopes.schema).parquet(folder), tables, f"{path}/checkpoint")
+        S.replay(envelopes, "seq", 2, take_in, "envelopes-src")
+        return tables.read(name)
+    run.__doc__ = f"The {name} after two micro-batches of envelopes."
+    return run
+
+
 # ---- S6, S3
 def s06(spark, sf):
     """The quality gate as a stream with keyed value and map state."""
@@ -142,7 +158,9 @@ def _r(fn):
 
 
 REGISTRY_STATE = {
-    "a02_import_rounds": _r(a02_rounds), "s03_registry_upserts": _r(s03_registry), "s04_growing_gpu_usage": _r(s04_gpu_usage),
+    "a02_import_rounds": _r(a02_rounds), "s01_envelope_applications": _envelope_table("applications"),
+    "s01_envelope_cpus": _envelope_table("cpus"), "s01_envelope_gpu": _envelope_table("gpu"),
+    "s01_envelope_measurements": _envelope_table("measurements"), "s03_registry_upserts": _r(s03_registry), "s04_growing_gpu_usage": _r(s04_gpu_usage),
     "s04_growing_sys_ratio": _r(s04_sys_ratio), "s05_high_water_marks": _r(s05), "s05_published_rows": _r(s05_published),
     "s06_gate_with_state": _r(s06),
 }

@@ -178,8 +178,7 @@ def quality_gate(measurements: DataFrame, watcher: DataFrame, chunk: int | None
     tot_time) to an earlier one.  Null-safe on stepid and node.  Using all
     earlier rows equals using the accepted ones (a dropped row never raises
     the maximum, and a dropped duplicate stays dropped).  The running maximum
-    goes through the skew-safe scan; duplicates through a group-by on the
-    (near unique) duplicate key."""
+    goes through the skew-safe scan; of equal rows a group-by keeps the first."""
     w = watcher_registry_columns(watcher).select(F.col("id").alias("watcherid"), "accuracy", "target_node")
     m = measurements.withColumn("__tot", F.col("user_sec") * 1000000 + F.col("user_usec")
                                 + F.col("sys_sec") * 1000000 + F.col("sys_usec"))
@@ -187,11 +186,10 @@ def quality_gate(measurements: DataFrame, watcher: DataFrame, chunk: int | None
     chunk = chunk or scan_chunk(measurements.sparkSession)
     m = ordered_scan(m, ["jobid", "stepid"], ["recordid"], [("__max_prior", "max_excl", "accuracy")], chunk)
     dkey = ["jobid", "stepid", "accuracy", "target_node", "__tot"]
-    first = m.groupBy(*dkey).agg(F.min("recordid").alias("__first"))
-    m = null_safe_join(m, first, dkey, "inner")
-    kept = m.where(~F.coalesce(F.col("__max_prior") > F.col("accuracy"), F.lit(False))
-                   & (F.col("recordid") == F.col("__first")))
-    return kept.drop("__tot", "__max_prior", "__first", "accuracy", "target_node")
+    row = F.struct(*[F.col(c) for c in measurements.columns], "__max_prior")
+    first = m.groupBy(*dkey).agg(F.min_by(row, "recordid").alias("r"))
+    return first.where(~F.coalesce(F.col("r.__max_prior") > F.col("accuracy"), F.lit(False))) \
+        .select(*[F.col(f"r.`{c}`").alias(c) for c in measurements.columns])
 
 
 # ---- A8: sampling-interval change log -----------------------------------------------------

@@ -12,6 +12,7 @@ from jobscope.plans.materialize import scratch_path
 from jobscope.sources import derived as D
 from jobscope.sources import ingest as A
 from jobscope.state import registry as G
+from jobscope.state.envelopes import EnvelopeTables
 from jobscope.state.imports import MeasurementStore
 from jobscope.state.keyed import KeyedTable
 from jobscope.state.rounds import HighWaterMarks, RecordIds
@@ -136,6 +137,30 @@ def test_imported_rounds_feed_the_analysis(spark):
     assert series and all(second[r.recordid][1] in nodes for r in series)
 
 
+def test_envelope_tables_equal_the_batch_after_a_crash_between_tables(spark):
+    envelopes = D.envelopes(spark, SF_SMALL).cache()
+    path = scratch_path(spark, "envelopes")
+    tables = EnvelopeTables(spark, path, buckets=3)
+    assert tables.take_in(envelopes.where("seq < 300"), 0)
+    broken = EnvelopeTables(spark, path, buckets=3)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    broken.cpus.merge = dies
+    with pytest.raises(RuntimeError):
+        broken.take_in(envelopes.where("seq >= 300 AND seq < 700"), 1)
+    assert tables.read("measurements").agg(F.max("recordid")).first()[0] == 300  # not committed: not seen
+    for _ in range(2):
+        tables.take_in(envelopes.where("seq >= 300 AND seq < 700"), 1)
+    tables.take_in(envelopes.where("seq < 0"), 2)
+    tables.take_in(envelopes.where("seq >= 700"), 3)
+    want = {"measurements": A.scrape_measurements(envelopes), "gpu": A.scrape_gpu_measurements(envelopes),
+            "applications": A.application_usage_of(envelopes), "cpus": A.cpu_available(envelopes)}
+    for name, df in want.items():
+        assert rows(tables.read(name).select(*df.columns)) == rows(df)
+
+
 # ---- S4
 def test_growing_period_equals_the_batch_analysis_after_each_trigger(spark):
     mon = fixtures.load(spark, SF_SMALL)
