@@ -321,13 +321,19 @@ def search_pairs(members: DataFrame, t: Fraction) -> DataFrame:
     calls = -(-dealt.count() // CALL_ROWS) or 1
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = pairs_of_buckets(rows, t)  # in order of a
-        own, first = np.unique(a, return_index=True)
-        return pd.DataFrame({"a": own, "others": pd.Series([x.tolist() for x in np.split(b, first[1:])] if len(own) else [], dtype=object)})
-
-    # several calls may find a pair
+        a, b = pairs_of_buckets(rows, t)
+        part = (mix(b.astype(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
+        order = np.lexsort((b, part, a))
+        a, b, part = a[order], b[order], part[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])])) if len(a) else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": a[first], "part": part[first],
+                             "others": pd.Series([x.tolist() for x in np.split(b, first[1:])] if len(first) else [], dtype=object)})
+
+    # a class's partners travel as SALTS rows a call at most; calls that share a pair agree on it before it is listed
     return dealt.groupBy(F.pmod(F.xxhash64("low", "i", "j"), F.lit(calls)).alias("call")) \
-        .applyInPandas(search, "a long, others array<long>").select("a", F.explode("others").alias("b")).distinct()
+        .applyInPandas(search, "a long, part int, others array<long>") \
+        .groupBy("a", "part").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")) \
+        .select("a", F.explode("others").alias("b"))
 
 
 def _salted(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
