@@ -76,6 +76,10 @@ _SCRAPED = ORACLES_OPS["a03_scrape_measurements"]
 
 ORACLES_STATE = {
     "a02_import_rounds": "WITH " + FIXTURE_CTES.strip().rstrip(",") + _IMPORTS.replace("ACCOUNTED", _ACCOUNTED).replace("SCRAPED", _SCRAPED),
+    "a18_period_feed": "WITH " + FIXTURE_CTES.strip().rstrip(",") + f"""
+      SELECT poll, period, version, jobid, stepid, count(*) AS samples
+      FROM measurements, (VALUES (1, 0, 1, 1), (2, 0, 2, 2), (2, 1, 1, 3), (3, 1, 3, 6), (3, 2, 1, 5)) AS p(poll, period, version, last)
+      WHERE recordid > ({_NEWEST}) * period // 4 AND recordid <= ({_NEWEST}) * last // 6 GROUP BY ALL""",
     "s01_envelope_applications": ORACLES_OPS["a05_application_usage"], "s01_envelope_cpus": ORACLES_OPS["a06_cpu_available"],
     "s01_envelope_gpu": ORACLES_OPS["a04_scrape_gpu_measurements"], "s01_envelope_measurements": _SCRAPED,
     "s03_registry_upserts": ORACLES_OPS["a09_watcher_registry"],

@@ -17,6 +17,7 @@ from jobscope.sources import ingest as A
 from jobscope.sources import publish as P
 from jobscope.state import registry as G
 from jobscope.state.envelopes import EnvelopeTables, run_envelopes
+from jobscope.state.feed import Consumer, PeriodFeed
 from jobscope.state.imports import MeasurementStore
 from jobscope.state.rounds import HighWaterMarks, Round, in_range
 from jobscope.streaming import stream as S
@@ -123,6 +124,30 @@ def _envelope_table(name: str):
     return run
 
 
+# ---- A18 as a stream: each renewal once
+def a18_feed(spark, sf):
+    """Six publications of three periods, polled after the first, the third and the last (a fourth poll finds nothing):
+    what each poll was given."""
+    m = fixtures.load(spark, sf).measurements
+    newest = m.agg(F.max("recordid")).first()[0]
+    path = scratch_path(spark, "feed")
+    feed = PeriodFeed(spark, f"{path}/feed", "jobid long, stepid long, samples long")
+    consumer = Consumer(feed, f"{path}/consumer")
+
+    def take_into(poll: int):
+        return lambda rows: rows.withColumn("poll", F.lit(poll).cast(L)).write.mode("overwrite").parquet(f"{path}/out/poll_{poll}")
+
+    polls = 0
+    for period, last, polled in ((0, 1, True), (0, 2, False), (1, 3, True), (1, 4, False), (2, 5, False), (1, 6, True)):
+        here = m.where((F.col("recordid") > newest * period // 4) & (F.col("recordid") <= newest * last // 6))
+        feed.publish(period, here.groupBy("jobid", "stepid").agg(F.count(F.lit(1)).alias("samples")))
+        if polled:
+            polls += 1
+            consumer.poll(take_into(polls))
+    assert consumer.poll(take_into(polls + 1)) == []
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/out").select("poll", "period", "version", "jobid", "stepid", "samples")
+
+
 # ---- S6, S3
 def s06(spark, sf):
     """The quality gate as a stream with keyed value and map state."""
@@ -158,7 +183,7 @@ def _r(fn):
 
 
 REGISTRY_STATE = {
-    "a02_import_rounds": _r(a02_rounds), "s01_envelope_applications": _envelope_table("applications"),
+    "a02_import_rounds": _r(a02_rounds), "a18_period_feed": _r(a18_feed), "s01_envelope_applications": _envelope_table("applications"),
     "s01_envelope_cpus": _envelope_table("cpus"), "s01_envelope_gpu": _envelope_table("gpu"),
     "s01_envelope_measurements": _envelope_table("measurements"), "s03_registry_upserts": _r(s03_registry), "s04_growing_gpu_usage": _r(s04_gpu_usage),
     "s04_growing_sys_ratio": _r(s04_sys_ratio), "s05_high_water_marks": _r(s05), "s05_published_rows": _r(s05_published),

@@ -13,6 +13,7 @@ from jobscope.sources import derived as D
 from jobscope.sources import ingest as A
 from jobscope.state import registry as G
 from jobscope.state.envelopes import EnvelopeTables
+from jobscope.state.feed import Consumer, PeriodFeed
 from jobscope.state.imports import MeasurementStore
 from jobscope.state.keyed import KeyedTable
 from jobscope.state.rounds import HighWaterMarks, RecordIds
@@ -101,6 +102,29 @@ def test_rounds_survive_a_crash_between_announcement_and_commit(spark):
     assert published == [(1, 0, 10), (2, 0, 20), (2, 0, 20), (3, 20, 40), (4, 20, 20)]
 
 
+def test_every_renewal_is_given_once(spark):
+    path = scratch_path(spark, "feed")
+    feed = PeriodFeed(spark, path, "v long")
+    consumer, seen = Consumer(feed, f"{path}-consumer"), []
+    take = lambda rows: seen.append(sorted(tuple(r) for r in rows.select("period", "version", "v").collect()))
+    value = lambda *v: spark.createDataFrame([(x,) for x in v], "v long")
+    assert consumer.poll(take) == []
+    assert feed.publish(7, value(1)) == 1 and consumer.poll(take) == [(7, 1)] and consumer.poll(take) == []
+    feed.publish(7, value(2)), feed.publish(8, value(5, 6)), feed.publish(7, value(3))
+
+    def dies(rows):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        consumer.poll(dies)
+    # another process goes on where the last commit was
+    again = Consumer(PeriodFeed(spark, path, "v long"), f"{path}-consumer")
+    assert again.poll(take) == [(7, 3), (8, 1)] and again.poll(take) == []
+    feed.publish(9, value())  # an empty period is a change as well
+    assert again.poll(take) == [(9, 1)]
+    assert seen == [[(7, 1, 1)], [(7, 3, 3), (8, 1, 5), (8, 1, 6)], []]
+
+
 def test_record_ids_are_dense_and_stay(spark):
     ids = RecordIds(spark, scratch_path(spark, "ids"))
     number = lambda r, df: [x.recordid for x in ids.number(r, df, ["id"]).orderBy("id").collect()]
