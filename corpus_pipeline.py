@@ -4,6 +4,13 @@ Each stage takes all documents that the one before kept, and its decisions take
 document of each near-duplicate group stays, repeated passages leave the texts, documents are repeated as their rates
 say (no document is dropped by mixing), and what is left is encoded.  Between stages the documents are written as
 Parquet and read again.
+
+Edge cases: null and empty texts are scored, stay in the Jaccard join (they are like nothing), lose no bytes, are never
+dropped by mixing, and encode to no tokens; texts of any length are worked on whole; of similar documents the smallest
+id stays, and rows that share an id go or stay by their own texts; a row without an id is never taken for a copy in the
+join, but loses the passages that it repeats; rows that repeat id and text stay side by side until the repeated passages
+leave all but the first of them; an empty table passes through; further columns, whatever their names, are kept up to
+the last stage.
 """
 
 from __future__ import annotations

@@ -14,6 +14,10 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among a vertex's neighbours and then the label of that label, so the number of
     rounds grows with the logarithm of the longest path; it goes on until nothing changes.  Labels are written to the
     shared folder after each round.
+
+    Edge cases: repeated edges, both directions of one and edges of a vertex to itself change nothing (a vertex with no
+    other edge has no row); edges with a null end are left out; without edges the result is empty; only ``a`` and ``b``
+    are read.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                    .where(F.col("a") != F.col("b")).distinct(), "edges")

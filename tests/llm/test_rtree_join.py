@@ -114,6 +114,8 @@ def test_components_of_a_long_path(spark):
     got = components(spark.createDataFrame([(i, i + 1) for i in range(0, 90)] + [(500, 501), (7, 7)], "a long, b long")).collect()
     assert {r.v: r.label for r in got} == {**{i: 0 for i in range(91)}, 500: 500, 501: 500}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    odd = spark.createDataFrame([(1, 2, 9), (2, 1, 9), (1, 2, 8), (None, 2, 0), (3, None, 0), (5, 5, 0)], "a long, b long, v long")
+    assert {r.v: r.label for r in components(odd).collect()} == {1: 1, 2: 1}
 
 
 def test_edge_cases(edge, empty):
