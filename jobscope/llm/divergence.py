@@ -178,15 +178,17 @@ def divergences(docs: DataFrame, min_docs: int = 30, top: int = 50, shard_entrie
     ship(docs.sparkSession)
     kept = written(kept_counts(docs, min_docs, **bounds), "divergence")
     term_rows = kept.where(F.col("term") != "")
+    by_term = term_rows.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.count("*").alias("entries"))
     groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    langs = term_rows.groupBy("lang").agg(F.count_distinct("term").alias("lang_terms"), F.sum("n").alias("lang_total"), F.count("*").alias("entries"))
+    langs = by_term.groupBy("lang").agg(F.count("*").alias("lang_terms"), F.sum("n").alias("lang_total"), F.sum("entries").alias("entries"))
     shards = langs.withColumn("shards", F.ceil(F.col("entries") / shard_entries).cast("int"))
     heads = groups.join(shards, "lang") \
         .select("lang", "source", F.lit("").alias("term"), "n", "lang_terms", "lang_total", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     dealt = term_rows.join(shards.select("lang", "shards"), "lang") \
         .select("lang", "source", "term", "n", F.lit(None).cast("long").alias("lang_terms"), F.lit(None).cast("long").alias("lang_total"),
                 F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"))
-    found = heads.unionByName(dealt).groupBy("lang", "shard") \
+    # dealt by shard: a partitioning by language alone, as the join may leave it, would put a language into one task
+    found = heads.unionByName(dealt).repartition("lang", "shard").groupBy("lang", "shard") \
         .applyInArrow(_shard(top, block_cells), "lang string, source string, part string, item string, value long")
     found = written(found, "divergence-shards")
     # every ordered pair of a language's sources, with value 0 where the language keeps no terms
