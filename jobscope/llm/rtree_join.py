@@ -306,8 +306,8 @@ def pairs_of_buckets(rows: pd.DataFrame, t: Fraction) -> tuple[np.ndarray, np.nd
     return once[0], once[1]
 
 
-def search_pairs(members: DataFrame, t: Fraction) -> DataFrame:
-    """``a, b``: pairs of members (``key, low, fp, comp, n, point``) of one bucket, of different components, that the bound
+def search_pairs(members: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """``a, b``: pairs of members (``key, low, fp, comp``; ``classes`` has ``n, point`` by ``fp``) of one bucket, of different components, that the bound
     lets through.  Buckets with the same lowest class have most of their members in common and are searched in one call,
     which finds a pair once however many of them bring it together; above BLOCK_ROWS members a call is cut into blocks,
     and every pair of blocks is searched by itself.  Small calls share a task."""
@@ -317,7 +317,7 @@ def search_pairs(members: DataFrame, t: Fraction) -> DataFrame:
         _salted(members, size, "low", "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        .select("key", "low", "i", "j", "block", "fp", "comp", "n", "point"), "members")
+        .select("key", "low", "i", "j", "block", "fp", "comp"), "members")
     calls = -(-dealt.count() // CALL_ROWS) or 1
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
@@ -330,7 +330,8 @@ def search_pairs(members: DataFrame, t: Fraction) -> DataFrame:
                              "others": pd.Series([x.tolist() for x in np.split(b, first[1:])] if len(first) else [], dtype=object)})
 
     # a class's partners travel as SALTS rows a call at most; calls that share a pair agree on it before it is listed
-    return dealt.groupBy(F.pmod(F.xxhash64("low", "i", "j"), F.lit(calls)).alias("call")) \
+    return dealt.join(classes.select("fp", "n", "point"), "fp") \
+        .groupBy(F.pmod(F.xxhash64("low", "i", "j"), F.lit(calls)).alias("call")) \
         .applyInPandas(search, "a long, part int, others array<long>") \
         .groupBy("a", "part").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")) \
         .select("a", F.explode("others").alias("b"))
@@ -454,8 +455,7 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
         .select("key", "low", "fp", F.coalesce("label", "fp").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1"))
     members = placed.join(mixed.select("key"), "key", "left_semi")
-    members = members.join(holders.select("fp", "n", "point"), "fp")
-    pairs = search_pairs(members, t).select(F.col("a").alias("family"), "a", "b")
+    pairs = search_pairs(members, holders, t).select(F.col("a").alias("family"), "a", "b")
     more = written(verified(pairs, texts, holders, words, t), "links")
     # the new links join whole components: only those are labelled again
     one = first.select(F.col("v").alias("end"), "label")
