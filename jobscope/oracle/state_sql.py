@@ -71,6 +71,20 @@ stored AS (
   UNION ALL SELECT recordid, watcherid, jobid, stepid, user_sec, user_usec, sys_sec, sys_usec, res_size, batch FROM second_gate)
 SELECT * EXCLUDE (batch), CASE WHEN batch IS NOT NULL THEN recordid END AS gpu_measurement_batch FROM stored"""
 
+# runs as islands: place among all of a key less place among those of the same value
+_SESSIONS = """SELECT "user", row_number() OVER (PARTITION BY "user" ORDER BY first_record) AS session, watcherid, first_record, last_record, samples,
+  last_record = max(last_record) OVER (PARTITION BY "user") AS open
+FROM (SELECT "user", watcherid, min(recordid) AS first_record, max(recordid) AS last_record, count(*) AS samples
+      FROM island GROUP BY "user", watcherid, island)"""
+_IDLE_RUNS = """SELECT * EXCLUDE (idle, last_place, n) FROM (
+  SELECT jobid, stepid, gpuid, row_number() OVER (PARTITION BY jobid, stepid, gpuid ORDER BY last_place) AS run, first_batch, last_batch, readings,
+         last_place = n AS open, idle, last_place, n
+  FROM (SELECT jobid, stepid, gpuid, idle, n, min(batch) AS first_batch, max(batch) AS last_batch, max(place) AS last_place, count(*) AS readings
+        FROM (SELECT *, util = 0 AS idle, count(*) OVER (PARTITION BY jobid, stepid, gpuid) AS n,
+                     place - row_number() OVER (PARTITION BY jobid, stepid, gpuid, util = 0 ORDER BY place) AS stretch FROM gf1)
+        GROUP BY jobid, stepid, gpuid, idle, n, stretch))
+WHERE idle"""
+
 _ACCOUNTED = ORACLES_OPS["a02_accounting_measurements"]
 _SCRAPED = ORACLES_OPS["a03_scrape_measurements"]
 
@@ -95,4 +109,5 @@ ORACLES_STATE = {
       FROM measurements, periods
       WHERE recordid > ({_NEWEST}) * first_quarter // 4 AND recordid <= ({_NEWEST}) * last_quarter // 4 GROUP BY ALL""",
     "s06_gate_with_state": ORACLES_OPS["a07_quality_gate"],
+    "s07_idle_runs": with_ctes(_IDLE_RUNS), "s07_watcher_sessions": with_ctes(_SESSIONS),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobscope import fixtures
 from jobscope.operators.core import Period
 from jobscope.plans.materialize import scratch_path
-from jobscope.queries import round_doubles
+from jobscope.queries import analysis, round_doubles
 from jobscope.session import scan_chunk
 from jobscope.sources import derived as D
 from jobscope.sources import ingest as A
@@ -20,6 +20,7 @@ from jobscope.state.envelopes import EnvelopeTables, run_envelopes
 from jobscope.state.feed import Consumer, PeriodFeed
 from jobscope.state.imports import MeasurementStore
 from jobscope.state.rounds import HighWaterMarks, Round, in_range
+from jobscope.state.runs import RunTable
 from jobscope.streaming import stream as S
 from jobscope.streaming.gate import gate_stream
 from jobscope.streaming.growing import GrowingAnalysis
@@ -175,6 +176,41 @@ def s03_registry(spark, sf):
     return G.registry(table).select("jobstep_str", "target_node", "accuracy", "id", "pid", "source", "lastfetch", "prev_lastfetch")
 
 
+# ---- S7: sessions and idle runs over batches
+def runs_over_batches(spark: SparkSession, rows: DataFrame, keys: list[str], value: str, order: list[str], chunk: int) -> DataFrame:
+    """All runs of ``value`` after four micro-batches, each handed over twice."""
+    path = scratch_path(spark, "runs")
+    table = RunTable(spark, path, rows.schema, keys, value, order, chunk)
+
+    def take_in(batch: DataFrame, epoch: int) -> None:
+        for _ in range(2):
+            table.take_in(batch, epoch)
+
+    def run(folder: str) -> None:
+        spark.readStream.schema(rows.schema).parquet(folder).writeStream.foreachBatch(take_in) \
+            .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    S.replay(rows, order[0], 4, run, "runs-src")
+    return table.read()
+
+
+def s07_sessions(spark, sf):
+    """Watcher sessions of every analysed user's samples: the islands of D4."""
+    samples = analysis(spark, sf).user_stream.select("user", "recordid", "watcherid")
+    runs = runs_over_batches(spark, samples, ["user"], "watcherid", ["recordid"], scan_chunk(spark))
+    return runs.select("user", F.col("number").alias("session"), F.col("value").alias("watcherid"),
+                       F.col("first.recordid").alias("first_record"), F.col("last.recordid").alias("last_record"),
+                       F.col("rows").alias("samples"), "open")
+
+
+def s07_idle(spark, sf):
+    """Idle runs of every GPU of a step among its kept readings: the runs of D12; ``run`` counts idle and busy ones."""
+    readings = analysis(spark, sf).gpu_flagged.select("jobid", "stepid", "gpuid", "batch", "pid", (F.col("util") == 0).alias("idle"))
+    runs = runs_over_batches(spark, readings, ["jobid", "stepid", "gpuid"], "idle", ["batch", "pid"], scan_chunk(spark))
+    return runs.where("value").select("jobid", "stepid", "gpuid", F.col("number").alias("run"), F.col("first.batch").alias("first_batch"),
+                                      F.col("last.batch").alias("last_batch"), F.col("rows").alias("readings"), "open")
+
+
 def _r(fn):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return round_doubles(fn(spark, sf))
@@ -187,5 +223,5 @@ REGISTRY_STATE = {
     "s01_envelope_cpus": _envelope_table("cpus"), "s01_envelope_gpu": _envelope_table("gpu"),
     "s01_envelope_measurements": _envelope_table("measurements"), "s03_registry_upserts": _r(s03_registry), "s04_growing_gpu_usage": _r(s04_gpu_usage),
     "s04_growing_sys_ratio": _r(s04_sys_ratio), "s05_high_water_marks": _r(s05), "s05_published_rows": _r(s05_published),
-    "s06_gate_with_state": _r(s06),
+    "s06_gate_with_state": _r(s06), "s07_idle_runs": _r(s07_idle), "s07_watcher_sessions": _r(s07_sessions),
 }

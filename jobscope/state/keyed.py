@@ -57,6 +57,11 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self._current().drop("bucket")
 
+    def beside(self, keys: DataFrame) -> DataFrame:
+        """The rows of the buckets that hold ``keys``: theirs, and some others."""
+        touched = [r.bucket for r in self._bucket(keys).select("bucket").distinct().collect()]
+        return self._current(touched).drop("bucket")
+
     def merge(self, changes: DataFrame, epoch: int, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> bool:
         """Make one change: ``combine(rows of the touched buckets, changes)`` gives those buckets' new rows.
 
