@@ -60,14 +60,23 @@ class _Everyone(Analysis):
 class _Of(Analysis):
     """The batch analysis of records that have their session batch already."""
 
-    def __init__(self, grouped: DataFrame, mon: Monitoring, per: Period, chunk: int):
+    step_sizes = None  # the scan counts them
+
+    def __init__(self, grouped: DataFrame, texts: DataFrame, mon: Monitoring, per: Period, chunk: int):
         super().__init__(mon, per, chunk)
-        self.grouped = grouped
+        self.grouped, self.texts = grouped, texts
 
     @cached_property
-    def grouped_measurements(self) -> DataFrame:
+    def batched_samples(self) -> DataFrame:
         return self.grouped
 
+    def with_step_columns(self, samples: DataFrame) -> DataFrame:
+        return samples
+
+    @cached_property
+    def step_texts(self) -> DataFrame:
+        return self.texts
+
 
 def _typed(columns: list[tuple[str, str]]) -> T.StructType:
     return T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in columns))
@@ -118,7 +127,7 @@ class GrowingAnalysis:
         changed = materialize(state.where(F.col("new") | ~F.col("signature").eqNullSafe(F.col("old_signature")))
                               .select(*STEP, "latest_recordid", "first_batch"), "changed-steps")
         again = samples.drop("epoch").join(changed.select(*STEP, "latest_recordid"), STEP).join(batches, ["user", "run"]).drop("run")
-        analysed = _Of(again, mon, per, self.chunk)
+        analysed = _Of(again, state.select(*STEP, "name", "submit_line"), mon, per, self.chunk)
         relative = analysed._sys_ratio().join(changed.select(*STEP, "first_batch"), STEP) \
             .withColumn("measurement_batch", F.col("measurement_batch") - F.col("first_batch")).drop("first_batch", "is_new_in_period")
         for name, rows in (("sys_ratio", relative), ("gpu_usage", analysed._gpu_usage().drop("is_new_in_period"))):
