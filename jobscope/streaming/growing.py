@@ -143,11 +143,11 @@ class GrowingAnalysis:
         """Store a batch's records with their runs; all stored records."""
         tails = self._get("tails", TAIL_SCHEMA, epoch - 1)
         last = tails.groupBy("user").agg(F.max_by(F.struct("tail_watcher", "tail_run"), "epoch").alias("t")).select("user", "t.*")
-        seen = ordered_scan(new, ["user"], ["recordid"], [("__watcher", "lag", "watcherid"), ("__has", "lag", F.lit(1))], self.chunk)
+        seen = ordered_scan(new, ["user"], ["recordid"], [("__watcher", "lag", "watcherid"), ("__has", "lag", F.lit(1))], self.chunk, split=True)
         seen = seen.join(last, "user", "left")
         before = F.when(F.col("__has").isNull(), F.col("tail_watcher")).otherwise(F.col("__watcher"))
         seen = seen.withColumn("flag", F.when(before.eqNullSafe(F.col("watcherid")), 0).otherwise(1)).drop("__watcher", "__has", "tail_watcher")
-        runs = ordered_scan(seen, ["user"], ["recordid"], [("__runs", "sum_incl", "flag")], self.chunk)
+        runs = ordered_scan(seen, ["user"], ["recordid"], [("__runs", "sum_incl", "flag")], self.chunk, split=True)
         runs = runs.withColumn("run", (F.coalesce("tail_run", F.lit(0)) + F.col("__runs")).cast("long")).drop("tail_run", "__runs")
         self._put("samples", runs.sortWithinPartitions("jobid", "recordid"), epoch)
         schema = T.StructType([*runs.schema.fields, T.StructField("epoch", T.LongType())])
@@ -168,7 +168,7 @@ class GrowingAnalysis:
         runs = self._get("runs", RUN_SCHEMA, epoch).drop("epoch")
         flagged = null_safe_join(runs, self._active(steps, per).withColumn("one", F.lit(1)), SCRIPT, "left")
         counted = ordered_scan(flagged.withColumn("one", F.coalesce("one", F.lit(0))), ["user"], ["recordid"],
-                               [("measurement_batch", "sum_incl", "one")], self.chunk)
+                               [("measurement_batch", "sum_incl", "one")], self.chunk, split=True)
         return materialize(counted.select("user", "run", F.col("measurement_batch").cast("long").alias("measurement_batch")), "run-batches")
 
     def _result(self, name: str, schema: T.StructType | None = None) -> KeyedTable:
