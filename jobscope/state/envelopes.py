@@ -49,8 +49,9 @@ class EnvelopeTables:
         batch = materialize(envelopes, "envelopes")
         n = batch.agg(F.sum(F.coalesce(F.size("scrape_results"), F.lit(0)))).first()[0] or 0
         first = self.ids.reserve(epoch, n)
-        self._put("measurements", A.scrape_measurements(batch, first_recordid=first), epoch)
-        self._put("gpu", A.scrape_gpu_measurements(batch, first_recordid=first), epoch)
+        results = materialize(A.numbered_results(batch, first), "results")  # both tables come from one numbering
+        self._put("measurements", A.scrape_measurements(batch, results=results), epoch)
+        self._put("gpu", A.scrape_gpu_measurements(batch, results=results), epoch)
         self.applications.merge(A.application_usage_of(batch), epoch, lambda old, new: old.unionByName(new).distinct())
         self.cpus.merge(A.cpu_available(batch), epoch,
                         lambda old, new: old.unionByName(null_safe_join(new, old.select(*CPU_KEYS), CPU_KEYS, "left_anti")))
