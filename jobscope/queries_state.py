@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobscope import fixtures
 from jobscope.operators.core import Period
-from jobscope.plans.materialize import scratch_path
+from jobscope.plans.materialize import materialize, scratch_path
 from jobscope.queries import analysis, round_doubles
 from jobscope.session import scan_chunk
 from jobscope.sources import derived as D
@@ -100,7 +100,7 @@ def a02_rounds(spark, sf):
     watcher = fixtures.load(spark, sf).watcher
     jobs, envelopes = D.jobs_raw(spark, sf), D.envelopes(spark, sf)
     half = envelopes.agg(F.max("seq")).first()[0] // 2
-    accounted = A.accounting_measurements(jobs, F.lit(8))
+    accounted = materialize(A.accounting_measurements(jobs, F.lit(8)), "accounted")  # both rounds take it in
     store = MeasurementStore(spark, scratch_path(spark, "measurement-store"))
     store.import_round(1, accounted.where(F.col("jobid") % 3 != 0), envelopes.where(F.col("seq") <= half), watcher)
     renewed = accounted.withColumn("user_sec", F.col("user_sec") + F.col("jobid") % 2)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobscope.functions.decode import split_ticks, tres_get, tres_map
 from jobscope.operators.core import null_safe_join
 from jobscope.plans.joins import broadcast_if_small
-from jobscope.plans.scan import ordered_scan
+from jobscope.plans.scan import keep_rows, key_sizes, ordered_scan
 from jobscope.session import scan_chunk
 
 L = "bigint"
@@ -114,11 +114,16 @@ def _results(envelopes: DataFrame, first_recordid: int = 1, chunk: int | None =
     return r.join(before, "seq").withColumn("recordid", (F.col("__before") + F.col("__pos") + first_recordid).cast(L))
 
 
+def numbered_results(envelopes: DataFrame, first_recordid: int = 1, chunk: int | None = None) -> DataFrame:
+    """The scrape results with their record ids; stored, they serve as ``results`` of the functions below."""
+    return _results(envelopes, first_recordid, chunk)
+
+
 def scrape_measurements(envelopes: DataFrame, hz: int = 100, first_recordid: int = 1,
-                        chunk: int | None = None) -> DataFrame:
+                        chunk: int | None = None, results: DataFrame | None = None) -> DataFrame:
     """Flatten scrape results; ticks -> (sec, µs); rchar = 0 -> dev_in/out NULL;
     no GPU rows -> batch NULL, else batch = the sample's record id."""
-    r = _results(envelopes, first_recordid, chunk)
+    r = results if results is not None else _results(envelopes, first_recordid, chunk)
     us, uu = split_ticks(F.col("r.utime"), hz)
     ss, su = split_ticks(F.col("r.stime"), hz)
     has_io = F.col("r.rchar") != 0
@@ -133,12 +138,13 @@ def scrape_measurements(envelopes: DataFrame, hz: int = 100, first_recordid: int
 
 
 def scrape_gpu_measurements(envelopes: DataFrame, normalize_nvml_power: bool = True, first_recordid: int = 1,
-                            chunk: int | None = None) -> DataFrame:
+                            chunk: int | None = None, results: DataFrame | None = None) -> DataFrame:
     """GPU rows of each sample; batch = the sample's record id; step 0 -> NULL.
 
     Power is stored as W x 100; NVML reports mW, so NVML rows are divided by 10
     (``normalize_nvml_power=False`` keeps the raw value, as the reference does)."""
-    r = _results(envelopes, first_recordid, chunk).where(F.coalesce(F.size("r.gpu"), F.lit(0)) > 0)
+    r = results if results is not None else _results(envelopes, first_recordid, chunk)
+    r = r.where(F.coalesce(F.size("r.gpu"), F.lit(0)) > 0)
     g = r.select("recordid", "r.watcherid", "r.jobid", "r.stepid", F.explode("r.gpu").alias("g"))
     return g.select(
         F.col("watcherid").cast(L).alias("watcherid"), F.col("recordid").alias("batch"),
@@ -177,19 +183,20 @@ def quality_gate(measurements: DataFrame, watcher: DataFrame, chunk: int | None
     came from a more accurate watcher; drop a row equal (accuracy, node,
     tot_time) to an earlier one.  Null-safe on stepid and node.  Using all
     earlier rows equals using the accepted ones (a dropped row never raises
-    the maximum, and a dropped duplicate stays dropped).  The running maximum
-    goes through the skew-safe scan; of equal rows a group-by keeps the first."""
+    the maximum, and a dropped duplicate stays dropped).  The running maximum and
+    the first of equal rows go through skew-safe scans, on one exchange where no step is hot."""
     w = watcher_registry_columns(watcher).select(F.col("id").alias("watcherid"), "accuracy", "target_node")
     m = measurements.withColumn("__tot", F.col("user_sec") * 1000000 + F.col("user_usec")
                                 + F.col("sys_sec") * 1000000 + F.col("sys_usec"))
     m = m.where(F.col("__tot") != 0).join(broadcast_if_small(w), "watcherid")
     chunk = chunk or scan_chunk(measurements.sparkSession)
-    m = ordered_scan(m, ["jobid", "stepid"], ["recordid"], [("__max_prior", "max_excl", "accuracy")], chunk)
+    m = keep_rows(m)
+    sizes = key_sizes(m, ["jobid", "stepid"])
+    m = ordered_scan(m, ["jobid", "stepid"], ["recordid"], [("__max_prior", "max_excl", "accuracy")], chunk, sizes=sizes)
     dkey = ["jobid", "stepid", "accuracy", "target_node", "__tot"]
-    row = F.struct(*[F.col(c) for c in measurements.columns], "__max_prior")
-    first = m.groupBy(*dkey).agg(F.min_by(row, "recordid").alias("r"))
-    return first.where(~F.coalesce(F.col("r.__max_prior") > F.col("accuracy"), F.lit(False))) \
-        .select(*[F.col(f"r.`{c}`").alias(c) for c in measurements.columns])
+    m = ordered_scan(m, dkey, ["recordid"], [("__equal_before", "lag", F.lit(True))], chunk, sizes=sizes)
+    refused = F.coalesce(F.col("__max_prior") > F.col("accuracy"), F.lit(False))
+    return m.where(F.col("__equal_before").isNull() & ~refused).select(*measurements.columns)
 
 
 # ---- A8: sampling-interval change log -----------------------------------------------------
