@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import CHUNK_BYTES, id_text, map_batches, row_chunks
+from jobscope.llm.common import id_text, map_batches, row_slices
 
 NO_MERGE = 1 << 30
 # Symbols up to which a word is merged by scanning the rank array.
 SCAN_LIMIT = 256
-# Entries of either generation of a worker's word cache: a full one replaces the older (results don't depend on it).
+# Entries of either generation of a task's word cache: a full one replaces the older (results don't depend on it).
 CACHE_WORDS = 180_000
 CACHED_CHARS = 48
 # Control characters that str.split() takes for white space and the tokenizer doesn't.
@@ -163,31 +163,19 @@ class BpeCodec:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-# The codec of a reused worker, with its word caches, by vocabulary and application.
-_CODECS: dict[tuple, BpeCodec] = {}
-
-
 def bpe_encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` (little-endian unsigned 32-bit integers) ``, decoded`` for every row of ``docs``.
 
     Map-only: no shuffle, and a lost executor's partitions are simply encoded again.
     """
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(load_vocabulary(vocabulary_path))
-    key = (context.applicationId, vocabulary_path)
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _CODECS.get(key)
-        if codec is None:
-            _CODECS.clear()
-            codec = _CODECS[key] = BpeCodec(shared.value)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in row_chunks(np.fromiter(map(len, texts), np.int64, len(texts)), CHUNK_BYTES):
-                ids = [codec.encode(t) for t in texts[lo:hi]]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()),
-                                       pa.array([codec.decode(x) for x in ids], pa.string())],
-                                      names=["doc_id", "ids", "decoded"])
+        codec = BpeCodec(shared.value)  # gone with its word caches when the task ends
+        for rows in row_slices(batches, 1):
+            ids = [codec.encode(t) for t in rows.column(1).to_pylist()]
+            yield pa.record_batch([rows.column(0), pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.string())],
+                                  names=["doc_id", "ids", "decoded"])
 
     return map_batches(id_text(docs, id_col, text_col), encode, SCHEMA)
 

@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import BROADCAST_IDS, id_text, map_batches, ship, text_pieces, with_row_keys, written
+from jobscope.llm.common import BROADCAST_IDS, id_text, map_batches, release_memory, row_slices, ship, text_pieces, with_row_keys, written
 from jobscope.llm.shingles import mix, prefix_hash, span_hash
 
 LENGTH = 100
@@ -345,6 +345,7 @@ def transformed(fetched: DataFrame, length: int) -> DataFrame:
         doc, place = repeated_places(rows["content"].tolist(), rows["doc_id"].to_numpy(np.int64), rows["first"].to_numpy(np.int64),
                                      rows["places"].to_numpy(np.int64), length)
         doc, first, places = runs(doc, place, np.ones(len(doc), np.int64))
+        release_memory()  # the transform's arrays
         return pd.DataFrame({"doc_id": doc, "first": first.astype(np.int32), "places": places.astype(np.int32)})
 
     rows, repeats = in_buckets(fetched, length)
@@ -446,10 +447,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows in row_slices(batches, at):
             texts = [t if t is None or not s else _cut(t.encode(), s)[0].decode("utf-8", "ignore")
-                     for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+                     for t, s in zip(rows.column(at).to_pylist(), rows.column(len(names)).to_pylist())]
+            columns = [pa.array(texts, pa.string()) if i == at else rows.column(i) for i in range(len(names))]
             yield pa.record_batch(columns, names=names)
 
     keyed, spans = _keyed_spans(docs, id_col, text_col, length)
