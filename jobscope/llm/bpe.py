@@ -1,12 +1,12 @@
 """BPE encoding and decoding with a contiguous rank array (operator 7).
 
 A word starts as its single byte symbols.  Beside the parts stands one contiguous array with the rank of every
-adjacent pair; the smallest rank is found by scanning it, that boundary is deleted and only the two neighbouring
-ranks are refreshed.  Words are short, so scanning a small array beats any heap; words above ``SCAN_LIMIT`` symbols
+adjacent pair (and the merged symbol, in the low bits of the same number); the smallest rank is found by scanning it,
+that boundary is deleted and only the two neighbouring ranks are refreshed.  Words are short, so scanning a small array beats any heap; words above ``SCAN_LIMIT`` symbols
 (where rescanning would cost the square of their length) take the same merges in the same order from a heap.
 
-The vocabulary file is read on the driver, at a path that is a parameter, and broadcast: its size is fixed by the
-vocabulary, never by the documents.
+The vocabulary file is read on the driver, at a path that is a parameter, and broadcast as the tables that the codec
+looks up, which tasks use as they are: their size is fixed by the vocabulary, never by the documents.
 
 Edge cases: null and empty texts have no tokens and decode to the empty text; repeated rows are encoded each for
 itself; an empty table gives an empty result; only the id and text columns are read, so further columns never clash.
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from jobscope.llm.common import id_text, map_batches, row_slices
 
-NO_MERGE = 1 << 30
+NO_MERGE = 1 << 62
 # Symbols up to which a word is merged by scanning the rank array.
 SCAN_LIMIT = 256
 # Entries of either generation of a task's word cache: a full one replaces the older (results don't depend on it).
-CACHE_WORDS = 180_000
+CACHE_WORDS = 60_000
 CACHED_CHARS = 48
 # Control characters that str.split() takes for white space and the tokenizer doesn't.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
@@ -53,22 +53,21 @@ def load_vocabulary(path: str) -> dict:
     model = spec["model"]
     splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    return {"vocab": model["vocab"], "merges": merges, "suffix": model["end_of_word_suffix"] or "",
-            "pattern": splits[0], "added": {t["content"]: t["id"] for t in spec["added_tokens"]}}
+    vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    alphabet, bits = byte_alphabet(), max(vocab.values()).bit_length()
+    # left id and right id -> rank and merged id, each two in one number
+    pairs = {vocab[a] << bits | vocab[b]: rank << bits | vocab[a + b] for rank, (a, b) in enumerate(merges)}
+    return {"bits": bits, "pairs": pairs, "inner": [vocab[c] for c in alphabet], "final": [vocab[c + suffix] for c in alphabet],
+            "tokens": {i: t for t, i in vocab.items()} | {i: t for t, i in added.items()}, "pattern": splits[0], "added": added}
 
 
 class BpeCodec:
     """Encodes texts to ids and ids to text, as the vocabulary's own tokenizer does without special tokens."""
 
     def __init__(self, spec: dict):
-        vocab, suffix = spec["vocab"], spec["suffix"]
-        alphabet = byte_alphabet()
-        self.inner = [vocab[c] for c in alphabet]
-        self.final = [vocab[c + suffix] for c in alphabet]
-        # (left id, right id) -> (rank, merged id)
-        self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(spec["merges"])}
-        self.added = spec["added"]
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
+        self.bits, self.pairs, self.tokens = spec["bits"], spec["pairs"], spec["tokens"]
+        self.inner, self.final, self.added = spec["inner"], spec["final"], spec["added"]
         self.piece = regex.compile(spec["pattern"])
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") \
             if self.added else None
@@ -81,39 +80,38 @@ class BpeCodec:
         return self._scan(parts) if len(parts) <= SCAN_LIMIT else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        pairs, none = self.pairs, (NO_MERGE, -1)
-        found = [pairs.get(p, none) for p in zip(parts, parts[1:])]
+        get, bits, mask = self.pairs.get, self.bits, (1 << self.bits) - 1
+        found = [get(a << bits | b, NO_MERGE) for a, b in zip(parts, parts[1:])]
         while found:
             best = min(found)
-            if best[0] == NO_MERGE:
+            if best == NO_MERGE:
                 break
             at = found.index(best)
-            parts[at] = best[1]
+            parts[at] = best & mask
             del parts[at + 1], found[at]
             if at:
-                found[at - 1] = pairs.get((parts[at - 1], parts[at]), none)
+                found[at - 1] = get(parts[at - 1] << bits | parts[at], NO_MERGE)
             if at < len(found):
-                found[at] = pairs.get((parts[at], parts[at + 1]), none)
+                found[at] = get(parts[at] << bits | parts[at + 1], NO_MERGE)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
-        pairs, n = self.pairs, len(parts)
+        get, bits, mask, n = self.pairs.get, self.bits, (1 << self.bits) - 1, len(parts)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(*pairs[p], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in pairs]
-        queue = [(rank, i, merged, p) for rank, merged, i, p in queue]
+        queue = [(hit, i, pair) for i, pair in enumerate(a << bits | b for a, b in zip(parts, parts[1:])) if (hit := get(pair)) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, merged, pair = heapq.heappop(queue)
+            best, i, pair = heapq.heappop(queue)
             j = right[i]
-            if parts[i] < 0 or j < 0 or (parts[i], parts[j]) != pair:
+            if parts[i] < 0 or j < 0 or parts[i] << bits | parts[j] != pair:
                 continue
-            parts[i], parts[j] = merged, -1
+            parts[i], parts[j] = best & mask, -1
             right[i] = right[j]
             if right[i] >= 0:
                 left[right[i]] = i
             for a, b in ((left[i], i), (i, right[i])):
-                if a >= 0 and b >= 0 and (hit := pairs.get((parts[a], parts[b]))):
-                    heapq.heappush(queue, (hit[0], a, hit[1], (parts[a], parts[b])))
+                if a >= 0 and b >= 0 and (hit := get(pair := parts[a] << bits | parts[b])) is not None:
+                    heapq.heappush(queue, (hit, a, pair))
         return [p for p in parts if p >= 0]
 
     def _keep(self, word: str, ids: bytes) -> bytes:
