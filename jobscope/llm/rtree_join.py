@@ -1,6 +1,7 @@
 """N-gram Jaccard join over a count-vector R-tree (operator 4).
 
-A document's set of word shingles is hashed into ``GROUPS`` groups; the counts by group are its point.  Two sets share
+A document's set of word shingles is hashed into ``GROUPS`` groups, or more for a large set (:func:`width_of`); the counts
+by group are its point, which folds to one with fewer groups.  Two sets share
 at most sum(min(a_g, b_g)) shingles, and for a whole node of an R-tree over points at most sum(min(a_g, high_g)), with
 ``high`` the upper corner of its box; a pair or node below the overlap that the similarity asks for is passed over, and
 what survives is verified on the sets themselves.
@@ -19,7 +20,8 @@ size; a set takes part at its own size's level and, near its upper end, at the n
     of its buckets that shares most buckets with others, and links give a first division into components.  Large groups of near copies, which are edited
     from one text, are joined here, in linear work.
 3.  Buckets that still hold several components are searched with the R-tree, in pairs of blocks of bounded size, for
-    pairs of different components; survivors are verified.  With their links the components are final.
+    pairs of different components; those that pass the bound in all their groups too are verified.  With their links
+    the components are final.
 
 Every link between different components is looked at, so no link is lost; links inside a component needn't be listed.
 Hashes have 64 bits: different sets or group contents count as equal with a chance of 2^-64 a pair.
@@ -48,16 +50,20 @@ from jobscope.llm.components import components
 from jobscope.llm.shingles import mix, shingle_hashes
 
 GROUPS = 128
+# A point has more groups, up to so many, while a group would hold GROUP_SHINGLES shingles or more on average: with many in
+# each, the counts of any two sets overlap.
+MOST_GROUPS = 1 << 13
+GROUP_SHINGLES = 8
 LEAF = 32
-# Pairs whose bounds are worked out at once.
-BOUND_PAIRS = 1 << 16
+# Pairs whose bounds are worked out at once, at GROUPS groups.
+BOUND_PAIRS = 1 << 15
 # Smallest size whose sets are cut into groups; smaller sets are dealt by single shingles.
 LEAST_CUT = 16
 LEVEL_RATIO = 1.5
 BLOCK_ROWS = 1024
 # Rows of buckets that one call searches, about.
 CALL_ROWS = 1 << 15
-# Bytes of sets (8 a shingle) that one call verifies, about, and those of a block of a family.
+# Bytes of points that one call searches, and of sets (8 a shingle) that one call verifies, about, and those of a block of a family.
 CALL_BYTES = 16 << 20
 FAMILY_BYTES = 2 << 20
 # Classes up to which a task remembers those whose buckets it has dealt.
@@ -194,8 +200,17 @@ def shared_buckets(keyed: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- points and their tree
 
+def width_of(n: int) -> int:
+    """Groups of the point of a set of ``n``: GROUPS times a power of two."""
+    width = GROUPS
+    while n >= GROUP_SHINGLES * width and width < MOST_GROUPS:
+        width *= 2
+    return width
+
+
 def points(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    width = width_of(len(h))
+    return np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width)
 
 
 def packed(point: np.ndarray) -> bytes:
@@ -203,10 +218,32 @@ def packed(point: np.ndarray) -> bytes:
     return point.astype("u1" if point.max() < 256 else "<i4").tobytes()
 
 
-def unpacked(points_: list[bytes]) -> np.ndarray:
-    if all(len(p) == GROUPS for p in points_):
+def unpacked(points_: list[bytes], sizes: np.ndarray, width: int) -> np.ndarray:
+    """Points of sets of these sizes, folded to ``width`` groups; each has as many or a multiple."""
+    if all(len(p) == GROUPS == width for p in points_):
         return np.frombuffer(b"".join(points_), "u1").reshape(-1, GROUPS).astype(np.int32)
-    return np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<i4") for p in points_]).astype(np.int32)
+    out = np.empty((len(points_), width), np.int32)
+    for k, (p, n) in enumerate(zip(points_, sizes.tolist())):
+        out[k] = np.frombuffer(p, "u1" if len(p) == width_of(n) else "<i4").reshape(-1, width).sum(axis=0)
+    return out
+
+
+def leave_room(points_: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray, t: Fraction) -> np.ndarray:
+    """Whether the points (``left`` and ``right`` are places in ``points_``) leave room for a similarity of ``t``, in all the
+    groups that both have."""
+    num, den = t.numerator, t.numerator + t.denominator  # overlap >= t / (1 + t) * (sum of sizes)
+    fits = np.minimum(n[left], n[right]) * t.denominator >= np.maximum(n[left], n[right]) * t.numerator
+    widths = np.array([width_of(x) for x in n.tolist()], np.int64)
+    width_of_both = np.minimum(widths[left], widths[right])
+    for width in np.unique(width_of_both[fits]).tolist():
+        own = np.flatnonzero(fits & (width_of_both == width))
+        step = BOUND_PAIRS * GROUPS // width
+        for at in (own[k:k + step] for k in range(0, len(own), step)):
+            ends, place = np.unique(np.concatenate([left[at], right[at]]), return_inverse=True)
+            counts = unpacked([points_[e] for e in ends.tolist()], n[ends], width)
+            shared = np.minimum(counts[place[:len(at)]], counts[place[len(at):]]).sum(axis=1, dtype=np.int64)
+            fits[at] = shared * den >= num * (n[left[at]] + n[right[at]])
+    return fits
 
 
 class CountTree:
@@ -263,30 +300,23 @@ def _leaf_pairs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, left + 1 + step
 
 
-def pairs_of_buckets(rows: pd.DataFrame, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes of different components that some bucket (``key, i, j``) brings together and the bound lets
-    through.  A bucket that fits one leaf has no tree above it: its points are compared as they are."""
+def pairs_of_buckets(rows: pd.DataFrame, ends: pd.DataFrame, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes (``ends``: ``fp, n, point``) of different components that some bucket (``key, i, j``) brings together
+    and the bound lets through.  A bucket that fits one leaf has no tree above it: its points are compared as they are."""
     rows = rows.sort_values(["key", "i", "j"], kind="stable")
-    fp, comp, n = (rows[c].to_numpy(np.int64) for c in ("fp", "comp", "n"))
-    points_ = unpacked(rows["point"].tolist())
-    key, i, j, block = (rows[c].to_numpy(np.int64) for c in ("key", "i", "j", "block"))
+    ends = ends.sort_values("fp", kind="stable")
+    fp, n, points_ = ends["fp"].to_numpy(np.int64), ends["n"].to_numpy(np.int64), ends["point"].tolist()
+    end = np.searchsorted(fp, rows["fp"].to_numpy(np.int64))  # classes are named by their places from here on
+    key, i, j, block, comp = (rows[c].to_numpy(np.int64) for c in ("key", "i", "j", "block", "comp"))
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
     group = np.cumsum(new) - 1
     size = np.bincount(group)[group]
     small = np.flatnonzero((size <= LEAF) & (i == j))
     left, right = (small[x] for x in _leaf_pairs(group[small]))
     fits = comp[left] != comp[right]
-    a, b = [np.minimum(fp[left], fp[right])[fits]], [np.maximum(fp[left], fp[right])[fits]]
-    if len(a[0]):
-        _, once = np.unique(np.stack([a[0], b[0]]), axis=1, return_index=True)
-        left, right = left[fits][once], right[fits][once]
-        num, den = t.numerator, t.numerator + t.denominator
-        least, most = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-        shared = np.concatenate([np.minimum(points_[left[k:k + BOUND_PAIRS]], points_[right[k:k + BOUND_PAIRS]]).sum(axis=1, dtype=np.int64)
-                                 for k in range(0, len(left), BOUND_PAIRS)])
-        bound = (shared * den >= num * (n[left] + n[right])) & (least * t.denominator >= most * t.numerator)
-        a, b = [a[0][once][bound]], [b[0][once][bound]]
+    a, b = [np.minimum(end[left], end[right])[fits]], [np.maximum(end[left], end[right])[fits]]
     first = np.flatnonzero(new)
+    counts = None
     for lo, hi in zip(first, np.append(first[1:], len(rows))):
         if hi - lo <= LEAF and i[lo] == j[lo]:
             continue
@@ -294,16 +324,19 @@ def pairs_of_buckets(rows: pd.DataFrame, t: Fraction) -> tuple[np.ndarray, np.nd
         ours, theirs = own[block[own] == i[lo]], own[block[own] == j[lo]]
         if not len(ours) or not len(theirs):
             continue
-        tree = CountTree(points_[theirs], n[theirs])
+        if counts is None:
+            counts = unpacked(points_, n, GROUPS)
+        tree = CountTree(counts[end[theirs]], n[end[theirs]])
         for x in ours:
-            at = theirs[tree.search(points_[x], int(n[x]), t)]
+            at = theirs[tree.search(counts[end[x]], int(n[end[x]]), t)]
             at = at[comp[at] != comp[x]]
             if i[lo] == j[lo]:
-                at = at[fp[at] > fp[x]]
-            a.append(np.minimum(fp[at], fp[x]))
-            b.append(np.maximum(fp[at], fp[x]))
-    once = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-    return once[0], once[1]
+                at = at[end[at] > end[x]]
+            a.append(np.minimum(end[at], end[x]))
+            b.append(np.maximum(end[at], end[x]))
+    a, b = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    fits = leave_room(points_, n, a, b, t)
+    return fp[a[fits]], fp[b[fits]]
 
 
 def search_pairs(members: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
@@ -318,10 +351,15 @@ def search_pairs(members: DataFrame, classes: DataFrame, t: Fraction) -> DataFra
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         .select("key", "low", "i", "j", "block", "fp", "comp"), "members")
-    calls = -(-dealt.count() // CALL_ROWS) or 1
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = pairs_of_buckets(rows, t)
+    # a class's point travels once to each call that needs it, not with each of its buckets
+    need = written(dealt.select("low", "i", "j", "fp").distinct().join(classes.select("fp", F.octet_length("point").alias("bytes")), "fp"),
+                   "needed-points")
+    calls = max(-(-dealt.count() // CALL_ROWS), -(-(need.agg(F.sum("bytes")).first()[0] or 0) // CALL_BYTES), 1)
+    call = F.pmod(F.xxhash64("low", "i", "j"), F.lit(calls)).alias("call")
+    sent = need.select(call, "fp").distinct().join(classes.select("fp", "n", "point"), "fp").select("call", "fp", "n", "point")
+
+    def search(rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        a, b = pairs_of_buckets(rows, ends, t)
         part = (mix(b.astype(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
         order = np.lexsort((b, part, a))
         a, b, part = a[order], b[order], part[order]
@@ -330,8 +368,7 @@ def search_pairs(members: DataFrame, classes: DataFrame, t: Fraction) -> DataFra
                              "others": pd.Series([x.tolist() for x in np.split(b, first[1:])] if len(first) else [], dtype=object)})
 
     # a class's partners travel as SALTS rows a call at most; calls that share a pair agree on it before it is listed
-    return dealt.join(classes.select("fp", "n", "point"), "fp") \
-        .groupBy(F.pmod(F.xxhash64("low", "i", "j"), F.lit(calls)).alias("call")) \
+    return dealt.select(call, "key", "i", "j", "block", "fp", "comp").groupBy("call").cogroup(sent.groupBy("call")) \
         .applyInPandas(search, "a long, part int, others array<long>") \
         .groupBy("a", "part").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")) \
         .select("a", F.explode("others").alias("b"))
@@ -344,8 +381,8 @@ def _salted(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
-    """Those ``pairs`` (``family, a, b``) whose counts by group leave room for a similarity of ``t``: a check of 128 numbers
-    each, before any set is sent.  Many pairs may have one ``a``."""
+    """Those ``pairs`` (``family, a, b``) whose counts by group leave room for a similarity of ``t``: a check of a number for
+    some shingles, before any set is sent.  Many pairs may have one ``a``."""
     ends = classes.select("fp", "n", "point")
     with_b = pairs.join(ends.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
     with_a = _salted(with_b, ends.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
@@ -355,9 +392,9 @@ def bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            na, nb = batch["na"].to_numpy().astype(np.int64), batch["nb"].to_numpy().astype(np.int64)
-            shared = np.minimum(unpacked(batch["pa"].to_pylist()), unpacked(batch["pb"].to_pylist())).sum(axis=1, dtype=np.int64)
-            fits = shared * (t.numerator + t.denominator) >= t.numerator * (na + nb)
+            left = np.arange(batch.num_rows)
+            fits = leave_room(batch["pa"].to_pylist() + batch["pb"].to_pylist(),
+                              np.concatenate([batch["na"].to_numpy(), batch["nb"].to_numpy()]).astype(np.int64), left, left + batch.num_rows, t)
             yield batch.select(["family", "a", "b"]).filter(pa.array(fits))
 
     return map_batches(with_a.select("family", "a", "b", "na", "nb", "pa", "pb"), room, "family long, a long, b long")
