@@ -97,10 +97,10 @@ def s04_gpu_usage(spark, sf):
 def a02_rounds(spark, sf):
     """Two rounds of accounting and scrape rows; the second renews every accounting row (odd jobs have used more) and is
     run twice."""
-    watcher = fixtures.load(spark, sf).watcher
+    watcher = fixtures.watcher(spark, sf)  # no samples are read here: they are not curated
     jobs, envelopes = D.jobs_raw(spark, sf), D.envelopes(spark, sf)
     half = envelopes.agg(F.max("seq")).first()[0] // 2
-    accounted = materialize(A.accounting_measurements(jobs, F.lit(8)), "accounted")  # both rounds take it in
+    accounted = materialize(A.accounting_measurements(jobs, F.lit(8)), "accounted", compression="zstd")  # both rounds take it in
     store = MeasurementStore(spark, scratch_path(spark, "measurement-store"))
     store.import_round(1, accounted.where(F.col("jobid") % 3 != 0), envelopes.where(F.col("seq") <= half), watcher)
     renewed = accounted.withColumn("user_sec", F.col("user_sec") + F.col("jobid") % 2)

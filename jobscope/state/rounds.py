@@ -104,9 +104,19 @@ class RecordIds:
             raise ValueError(f"round {round_} reserved {known['n']} record ids and now asks for {n}")
         return known["first_id"]
 
-    def number(self, round_: int, rows: DataFrame, order: list[str]) -> DataFrame:
+    def number(self, round_: int, rows: DataFrame, order: list[str], place: str | None = None) -> DataFrame:
         """``rows`` (stored or cached) with ``recordid``: the round's ids in ``order``, whose first column is a number and
-        which has no ties."""
+        which has no ties.
+
+        ``place`` counts the rows of each value of ``order`` (then one column, with some values per task that stored the
+        rows) from 1 on: only these values are put in order, and no row moves."""
+        if place is not None:
+            runs = rows.groupBy(*order).agg(F.count(F.lit(1)).alias("__n"))
+            first = self.reserve(round_, runs.agg(F.sum("__n")).first()[0] or 0)
+            before = ordered_scan(runs, [], order, [("__before", "sum_excl", "__n")], scan_chunk(rows.sparkSession), persist=False) \
+                .select(*order, F.coalesce("__before", F.lit(0)).alias("__before"))
+            return rows.join(F.broadcast(before), order) \
+                .withColumn("recordid", (F.col("__before") + F.col(place) + (first - 1)).cast("long")).drop("__before")
         first = self.reserve(round_, rows.count())
         seen = ordered_scan(rows, [], order, [("__place", "sum_incl", F.lit(1))], scan_chunk(rows.sparkSession))
         return seen.withColumn("recordid", (F.col("__place") + (first - 1)).cast("long")).drop("__place")
